@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -95,33 +96,37 @@ class Kept(dict):
 
 
 class ByteIds:
-    """A byte-level BPE file's ids, as little-endian bytes of the dtype; special strings as the library's default has them."""
+    """A byte-level BPE file's ids, as little-endian bytes of the dtype; special strings as the library's default has them.
+
+    SAFE texts, nearly all, are merged by the ranks of the file's own vocabulary (its ids are in the order of the
+    merges) with the pre-tokenizer's pattern; the others go through the library, chunk by chunk.
+    """
 
     def __init__(self, path: str, dtype: str = "<u4"):
+        from public_tokenizers import PATTERN
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.dtype(dtype)
-        self.model = self.tokenizer.model
-        self.pieces = Kept(lambda x: np.array([t.id for t in self.model.tokenize(as_symbols(x))], self.dtype).tobytes())
+        byte = {symbol: b for b, symbol in BYTE_SYMBOLS.items()}
+        ranks = {bytes(byte[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        self.merged = Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.chunks = Chunks(self._make)
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _make(self, chunks: list[str]) -> Iterator[bytes]:
-        piece = self.pieces.__getitem__
-        for c in chunks:
-            if len(c) < 200 and SPECIAL not in c and SAFE(c):
-                yield b"".join(map(piece, BYTE_PIECES(c)))
-            else:
-                yield self._whole(c)
+    def _make(self, chunks: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
-        for values in self.chunks.of(texts):
-            yield b"".join(values)
+        code = "H" if self.dtype.itemsize == 2 else "I"
+        for t in texts:
+            if SPECIAL not in t and SAFE(t):
+                yield array(code, self.merged(t)).tobytes()
+            else:
+                (values,) = self.chunks.of([t])
+                yield b"".join(values)
 
 
 _made: dict = {}

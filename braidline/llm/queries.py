@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from public_tokenizers import path
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..runtime import table
 
@@ -21,11 +20,23 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe
 
     return bpe(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_token_counts, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op5_token_counts, op9_substring_dedup, op10_bpe)}
 ORACLES: dict[str, str] = {}

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +15,12 @@ from pyspark.sql import functions as F
 from .chunks import BYTE_PIECES, SAFE, SPECIAL, Chunks, Kept, as_symbols, in_slices, once
 
 LIMIT = 1024
+_TOTAL = itemgetter(0)
 #: A single space between non-spaces: also every prefix is cut there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile(r" ?[^\s']+").fullmatch
+#: Symbols of the longest prefix that is kept.
+_SHORT = 24
 _RUNS = re.compile(r"\s+")
 #: Contractions that are pieces of their own, but whose first two characters are not.
 _CONTRACTIONS = {"'re", "'ve", "'ll"}
@@ -40,38 +45,44 @@ class PrefixCounts:
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
         self.vocabulary = set(self.tokenizer.get_vocab(with_added_tokens=False))
-        self.longest = max(map(len, self.vocabulary))
+        #: What tokens end in: no token ends in anything longer than the first end that is not here.
+        self.suffixes = {t[i:] for t in self.vocabulary for i in range(len(t))}
         self.special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.apart = Kept(lambda ab: [t.value for t in self.model.tokenize(ab[0] + ab[1])] == [*filter(None, ab)])
         self.pieces = Kept(self._piece)
-        #: By prefix of a piece: its count and its last token.
-        self.prefixes: dict[str, tuple[int, str]] = {"": (0, "")}
+        #: By short prefix of a piece: the counts along it and its last token.
+        self.prefixes: dict[str, tuple[tuple[int, ...], str]] = {"": ((), "")}
         self.chunks = Chunks(self._make, _CUT)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         """Counts after each of the piece's characters."""
         s = as_symbols(piece)
+        n = len(s)
         if len(self.prefixes) > 2 * Kept.MOST:
-            self.prefixes = {"": (0, "")}
-        known, vocabulary, apart, counts = self.prefixes, self.vocabulary, self.apart, [0]
-        for i in range(1, len(s) + 1):
-            prefix = s[:i]
-            state = known.get(prefix)
-            if state is None:
-                for start in range(i - 1, max(0, i - self.longest) - 1, -1):
-                    t = s[start:i]
-                    if t in vocabulary:
-                        rest = known[s[:start]]
-                        if apart[rest[1], t]:
-                            break
-                else:
-                    raise ValueError(f"the vocabulary cannot write {piece!r}")
-                state = known[prefix] = rest[0] + 1, t
-            counts.append(state[0])
-        if len(s) == len(piece):
+            self.prefixes = {"": ((), "")}
+        known, vocabulary, suffixes, apart = self.prefixes, self.vocabulary, self.suffixes, self.apart
+        done = n if n <= _SHORT else 0
+        while s[:done] not in known:
+            done -= 1
+        counts = [0, *known[s[:done]][0]]
+        last = [""] * (done + 1)
+        if done < n:
+            last = [known[s[:j]][1] for j in range(done + 1)] if done else [""]
+        for i in range(done + 1, n + 1):
+            start = i - 1
+            while (t := s[start:i]) in suffixes:
+                if t in vocabulary and apart[last[start], t]:
+                    break
+                start -= 1
+            else:
+                raise ValueError(f"the vocabulary cannot write {piece!r}")
+            counts.append(counts[start] + 1)
+            last.append(t)
+            if i <= _SHORT:
+                known[s[:i]] = tuple(counts[1:]), t
+        if n == len(piece):
             return tuple(counts[1:])
-        ends = np.cumsum([len(c.encode()) for c in piece])
-        return tuple(counts[e] for e in ends)
+        return tuple([counts[e] for e in np.cumsum([len(c.encode()) for c in piece]).tolist()])
 
     def _encode(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -126,26 +137,34 @@ class PrefixCounts:
                 at = end
         return out
 
-    def _make(self, chunks: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    def _make(self, chunks: list[str]) -> Iterator[tuple[int, tuple[int, ...]]]:
         for chunk in chunks:
             counts = self.of_chunk(chunk) if chunk else [0]
-            yield (self._encode(chunk) if chunk[-1:].isspace() or not chunk else counts[-1]), np.array(counts if chunk else [], np.int32)
+            yield (self._encode(chunk) if chunk[-1:].isspace() or not chunk else counts[-1]), tuple(counts) if chunk else ()
 
-    def totals_and_counts(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, np.ndarray]]]]:
+    def totals_and_counts(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, tuple[int, ...]]]]]:
         for values in self.chunks.of(texts):
-            yield sum([v[0] for v in values]), values
+            yield sum(map(_TOTAL, values)), values
 
 
-def whole(values: list[tuple[int, np.ndarray]]) -> np.ndarray:
+def whole(values: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
     """The counts of every prefix of a text, the empty one first, from those of its chunks."""
     totals = np.fromiter((v[0] for v in values), np.int64, len(values))
     sizes = np.fromiter((len(v[1]) for v in values), np.int64, len(values))
-    return np.concatenate([np.zeros(1, np.int64), np.concatenate([v[1] for v in values]) + np.repeat(np.cumsum(totals) - totals, sizes)])
+    counts = np.fromiter(chain.from_iterable(v[1] for v in values), np.int64, int(sizes.sum()))
+    return np.concatenate([np.zeros(1, np.int64), counts + np.repeat(np.cumsum(totals) - totals, sizes)])
 
 
-def longest_fit(counts: np.ndarray, limit: int) -> int:
-    """Characters of the longest prefix of at most limit tokens; counts may fall again, as a longer prefix can merge."""
-    return int(np.flatnonzero(counts <= limit)[-1])
+def longest_fit(values: list[tuple[int, tuple[int, ...]]], limit: int) -> int:
+    """Characters of the longest prefix of at most limit tokens. Inside a chunk counts may fall again, but never below its start's."""
+    base = chars = fit = 0
+    for total, counts in values:
+        if base > limit:
+            break
+        fit = max([fit, *(chars + i for i, c in enumerate(counts, 1) if base + c <= limit)])
+        base += total
+        chars += len(counts)
+    return fit
 
 
 def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, with_prefixes: bool = False) -> DataFrame:
@@ -166,12 +185,12 @@ def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 n, fit, stored = [], [], []
                 for text, (total, values) in zip(texts[s], counter.totals_and_counts(texts[s]), strict=True):
                     n.append(total)
-                    counts = whole(values) if with_prefixes or total > limit else None
-                    fit.append(longest_fit(counts, limit) if total > limit else len(text))
-                    stored.append(counts)
+                    fit.append(longest_fit(values, limit) if total > limit else len(text))
+                    if with_prefixes:
+                        stored.append(whole(values).astype(np.int32))
                 columns = [batch.column(0)[s], pa.array([len(t.encode()) for t in texts[s]], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(fit, pa.int64())]
                 if with_prefixes:
-                    columns.append(pa.array([c.astype(np.int32) for c in stored], pa.list_(pa.int32())))
+                    columns.append(pa.array(stored, pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_tokens"][: len(columns)])
 
     return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
