@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,12 +19,25 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, where their Python path does not have it."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    if getattr(context, "_braidline_shipped", False) or root == Path.cwd() or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='braidline-')}/braidline", "zip", root, "braidline")
+    context.addPyFile(made)
+    context._braidline_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -42,6 +58,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: later jobs neither recompute it nor need the executors that made it."""
     spark = df.sparkSession
+    ship(spark)
     path = shared_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
