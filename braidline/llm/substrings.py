@@ -168,7 +168,7 @@ def later_windows(candidates: DataFrame) -> DataFrame:
                 decided, _, _ = _once_a_slice(_mixed(h1) + h2, np.empty(0, np.uint64))
                 salt = _mixed((owner << 32).astype(np.uint64) + at.astype(np.uint64))
                 h1 = np.where(decided, _mixed(h1 + salt), h1)
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(at << 1 >> 1), pa.array(decided)], names=["h1", "h2", "doc_id", "at", "later"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(at), pa.array(decided)], names=["h1", "h2", "doc_id", "at", "later"])
 
     rows = candidates.mapInArrow(run, "h1 long, h2 long, doc_id long, at long, later boolean")
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "at")))
@@ -192,8 +192,8 @@ def without(text: str, covered: np.ndarray) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(keys, starts): what to remove.
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(keys, starts, candidates): what to remove, and the rows with text in which to look for it.
 
     keys: doc_id, n_words, digest, copy for each row; a copy (same words as a smaller doc_id, or as another row of the
     same) of WINDOW words or more goes whole. starts: doc_id, starts, the places of later windows of the other rows; the
