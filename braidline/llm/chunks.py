@@ -11,7 +11,7 @@ import numpy as np
 #: Both vocabularies' pre-tokenizers always start a new word at a space that a non-space follows.
 CUT = re.compile(r" (?=\S)")
 #: Kept chunks and their characters, at most, before a worker starts its memory anew.
-MOST_CHUNKS, MOST_CHARS = 1_000_000, 24_000_000
+MOST_CHUNKS, MOST_CHARS = 400_000, 12_000_000
 #: Characters of text handled at a time.
 AT_ONCE = 4_000_000
 

@@ -26,6 +26,18 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import judged
+
+    return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import substring_dedup
 
@@ -38,5 +50,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op5_token_counts, op9_substring_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op5_token_counts, op6_fingerprints, op7_quality_rules, op9_substring_dedup, op10_bpe)}
 ORACLES: dict[str, str] = {}
