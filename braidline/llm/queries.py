@@ -14,6 +14,18 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard
+
+    return shard(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import write_and_read
+
+    return write_and_read(table(spark, sf_dir, "pages")).drop("target_uri")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokencounts import token_counts
 
@@ -50,5 +62,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op5_token_counts, op6_fingerprints, op7_quality_rules, op9_substring_dedup, op10_bpe)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_sharding, op4_warc, op5_token_counts, op6_fingerprints, op7_quality_rules, op9_substring_dedup, op10_bpe)}
+#: A hexadecimal digit group of five is four base32 digits.
+_BASE32 = "array_to_string(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((('0x' || substr(sha1(p), 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31 AS BIGINT), 1)), '')"
+ORACLES: dict[str, str] = {
+    "op4_warc": f"""
+        WITH own AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
+        digested AS (SELECT page_id, octet_length(p)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest FROM own),
+        lasts AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM digested)
+        SELECT page_id, payload_bytes, payload_digest,
+            CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> last THEN last END AS refers_to
+        FROM lasts""",
+    "op9_substring_dedup": r"""
+        WITH own AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        starts AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS s, ws FROM own WHERE len(ws) >= 20),
+        windows AS (SELECT doc_id, s, array_to_string(ws[s:s + 19], ' ') AS w FROM starts),
+        nth AS (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS n FROM windows),
+        covered AS (SELECT doc_id, list(DISTINCT s + k) AS gone FROM nth, (SELECT unnest(range(0, 20)) AS k) WHERE n > 1 GROUP BY doc_id)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+            sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), x -> NOT list_contains(gone, x[2])), x -> x[1]) END, ' '), '')) AS kept_sha256
+        FROM own LEFT JOIN covered USING (doc_id)""",
+}
