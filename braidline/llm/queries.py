@@ -64,7 +64,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_sharding, op4_warc, op5_token_counts, op6_fingerprints, op7_quality_rules, op9_substring_dedup, op10_bpe)}
 #: A hexadecimal digit group of five is four base32 digits.
-_BASE32 = "array_to_string(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((('0x' || substr(sha1(p), 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31 AS BIGINT), 1)), '')"
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((('0x' || substr(sha1(p), 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31 AS BIGINT), 1)), '')"
 ORACLES: dict[str, str] = {
     "op4_warc": f"""
         WITH own AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
@@ -81,6 +81,6 @@ ORACLES: dict[str, str] = {
         nth AS (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS n FROM windows),
         covered AS (SELECT doc_id, list(DISTINCT s + k) AS gone FROM nth, (SELECT unnest(range(0, 20)) AS k) WHERE n > 1 GROUP BY doc_id)
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
-            sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), x -> NOT list_contains(gone, x[2])), x -> x[1]) END, ' '), '')) AS kept_sha256
+            sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: NOT list_contains(gone, x[2])), lambda x: x[1]) END, ' '), '')) AS kept_sha256
         FROM own LEFT JOIN covered USING (doc_id)""",
 }
