@@ -50,6 +50,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonymized
+
+    return pseudonymized(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import substring_dedup
 
@@ -62,7 +68,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_sharding, op4_warc, op5_token_counts, op6_fingerprints, op7_quality_rules, op9_substring_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_sharding, op4_warc, op5_token_counts, op6_fingerprints, op7_quality_rules, op8_pii, op9_substring_dedup, op10_bpe)}
 #: A hexadecimal digit group of five is four base32 digits.
 _BASE32 = "array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((('0x' || substr(sha1(p), 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31 AS BIGINT), 1)), '')"
 ORACLES: dict[str, str] = {
