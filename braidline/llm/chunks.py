@@ -84,12 +84,12 @@ class Kept(dict):
 
     MOST = 500_000
 
-    def __init__(self, make: Callable):
+    def __init__(self, make: Callable, most: int = MOST):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        if len(self) >= self.MOST:
+        if len(self) >= self.most:
             self.clear()
         value = self[key] = self.make(key)
         return value

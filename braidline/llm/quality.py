@@ -86,26 +86,48 @@ def _js_distance(p: str, q: str) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(both, F.lit(0.0), lambda n, x: n + x)))
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The contract's columns, class_distance and word_distance of every row, and kept.
+def _own(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """doc_id, lang, text, and the row that they are of."""
+    lang = F.col(f"_row.{lang_col}").cast("string")
+    return docs.select(F.struct("*").alias("_row")).select(F.col(f"_row.{id_col}").cast("long").alias("doc_id"), F.when(lang.isin(*COMMON_WORDS), lang).otherwise("").alias("lang"), F.coalesce(F.col(f"_row.{text_col}").cast("string"), F.lit("")).alias("text"), "_row")
 
-    A language's references are the mean shares of each character class, and of each common word, over all its documents
-    that pass the base rules. A document is rejected by the base rules, or because its histogram is further from its
-    language's reference than the limit, if it has enough characters (or words) to be judged; a distance is null where
-    it has not, where the language has no common words listed, or no reference. Null texts are empty, a null lang is a
-    language of its own. Repeated rows give repeated rows; other columns are dropped; an empty table gives no rows.
-    """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    made = features(own).drop("text")
+
+def _shares(made: DataFrame) -> DataFrame:
     made = made.withColumn("base_failed", F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words"))
-    made = cut(made.withColumn("classes", _share("classes")).withColumn("common", _share("common")))
-    long_enough = made.where("not base_failed")
+    return made.withColumn("classes", _share("classes")).withColumn("common", _share("common"))
+
+
+def references(made: DataFrame) -> DataFrame:
+    """A row for each language of COMMON_WORDS, and one for all others: the mean shares over its documents that pass the base rules."""
     n_classes, n_common = len(CLASSES) + 1, max(map(len, COMMON_WORDS.values())) + 2
     means = [F.avg(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)] + [F.avg(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(n_common)]
-    references = long_enough.groupBy("lang").agg(*means)  # a row for each language
-    references = references.select("lang", F.array(*[f"c{i}" for i in range(n_classes)]).alias("class_reference"), F.filter(F.array(*[f"w{i}" for i in range(n_common)]), lambda x: x.isNotNull()).alias("word_reference"))
-    rows = made.join(references, "lang", "left")
+    found = made.where("not base_failed").groupBy("lang").agg(*means)
+    return found.select("lang", F.array(*[f"c{i}" for i in range(n_classes)]).alias("class_reference"), F.filter(F.array(*[f"w{i}" for i in range(n_common)]), lambda x: x.isNotNull()).alias("word_reference"))
+
+
+def _verdicts(made: DataFrame, found: DataFrame) -> DataFrame:
+    rows = made.join(F.broadcast(found), "lang", "left")  # of as many rows as COMMON_WORDS has languages, and one more
     rows = rows.withColumn("class_distance", F.when((F.col("word_chars") >= LEAST_CHARS) & F.col("class_reference").isNotNull(), _js_distance("classes", "class_reference")))
     rows = rows.withColumn("word_distance", F.when((F.col("n_words") >= LEAST_JUDGED_WORDS) & (F.size("common") > 2) & F.col("word_reference").isNotNull(), _js_distance("common", "word_reference")))
     far = (F.coalesce("class_distance", F.lit(0.0)) > MOST_CLASS_DISTANCE) | (F.coalesce("word_distance", F.lit(0.0)) > MOST_WORD_DISTANCE)
-    return rows.select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance")
+    return rows.withColumn("kept", ~F.col("base_failed") & ~far)
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The contract's columns, class_distance and word_distance of every row, and kept.
+
+    A language's references are the mean shares of each character class, and of each common word, over all its documents
+    that pass the base rules. A document is rejected by the base rules, or because its histogram is further from its
+    language's reference than the limit, if it has enough characters (or words) to be judged; a distance is null where
+    it has not, where the language has no common words listed, or no reference. Null texts are empty; documents of null
+    and unlisted languages share a reference of their own. Repeated rows give repeated rows; other columns are dropped;
+    an empty table gives no rows.
+    """
+    made = cut(_shares(features(_own(docs, id_col, text_col, lang_col).drop("_row")).drop("text")))
+    return _verdicts(made, references(made)).select("doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
+def only_kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of docs that judged() keeps, as they are. They are written once with their histograms, so that no text is shuffled."""
+    made = cut(_shares(features(_own(docs, id_col, text_col, lang_col))).drop("text"))
+    return _verdicts(made, references(made)).where("kept").select("_row.*")

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -60,7 +60,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = cut(fingerprints(docs, id_col, text_col, shingle))
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = connected_components(trie_links(nodes, "fp", budget), "a", "b").withColumnRenamed("node", "fp")
+    joined = connected_components(cut(trie_links(nodes, "fp", budget)), "a", "b").withColumnRenamed("node", "fp")
     roots = nodes.join(joined, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     best = roots.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = cut(roots.join(best, "root").select("fp", "component_id"))
@@ -72,5 +72,8 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The rows of docs without near-duplicates: of each component that with the smallest id stays, once. Rows with null ids stay."""
     groups = near_duplicates(docs, id_col, text_col, shingle, budget)
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.join(stay, F.col(id_col) == F.col("_stay"), "left_semi")
-    return kept.dropDuplicates([id_col]).unionByName(docs.where(F.col(id_col).isNull()))
+    kept = docs.withColumn("_key", F.col(f"`{id_col}`").cast("long")).join(stay, F.col("_key") == F.col("_stay"), "left_semi")
+    # of repeated rows with this id the first in the order of their texts
+    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.col(f"`{text_col}`")))
+    kept = kept.withColumn("_nth", first).where("_nth = 1").drop("_nth", "_key")
+    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))

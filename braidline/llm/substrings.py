@@ -1,12 +1,11 @@
 """Removal of repeated word windows, found by difference-cover anchors."""
 
-from __future__ import annotations
-
 import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,7 +19,7 @@ PERIOD, COVER = 13, (0, 1, 3, 9)
 #: Words of an anchor: after any shift it still lies inside the window that both share.
 ANCHOR = WINDOW - PERIOD + 1
 #: Hashes known to repeat that a task keeps, at most; more only means that it sends some of them again.
-MOST_KNOWN = 1_000_000
+MOST_KNOWN = 500_000
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _WORDS = re.compile(rb"[^ \t-\r]+")
 
@@ -48,7 +47,7 @@ def _word_hash(word: bytes) -> int:
     return xxh64_intdigest(word)
 
 
-_WORD_HASHES = Kept(_word_hash)
+_WORD_HASHES = Kept(_word_hash, 200_000)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -251,3 +250,41 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(F.col("copy"), F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
     )
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with the words that substring_dedup() removes cut out of the text; the white space before a cut word goes with it.
+
+    All rows and other columns stay, texts that lose nothing as they are; a copy's text becomes empty. Null texts stay null.
+    """
+    keys, starts, _ = repeated_windows(docs, id_col, text_col)
+    copies = keys.where(f"copy and n_words >= {WINDOW}").groupBy("doc_id").agg(F.collect_set("digest").alias("copies"))
+    edits = starts.join(copies, "doc_id", "full").withColumnRenamed("doc_id", "_doc")
+    names = docs.columns
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    at = f"c{names.index(text_col)}"
+    rows = docs.select(row.alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("_doc")).join(edits, "_doc", "left")
+    rows = rows.withColumn("text", F.col(f"row.{at}").cast("string"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("_doc", "text").orderBy("_doc")))
+
+    @F.pandas_udf("string")
+    def edited(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for text, places, copies, nth in parts:
+            out = []
+            for t, p, c, n in zip(text, places, copies, nth, strict=True):
+                if t is None or p is None and c is None and n == 1:
+                    out.append(t)
+                    continue
+                words = t.encode().split()
+                joined = b" ".join(words)
+                gone = np.zeros(len(words), bool)
+                if p is not None:
+                    q = np.asarray(p, np.int64)
+                    gone = _covered(len(words), q[(q >> 32 << 32) == _order(joined)] & 0xFFFFFFFF)
+                if len(words) >= WINDOW and (n > 1 or c is not None and hashlib.sha256(joined).digest() in [*c]):
+                    gone[:] = True
+                out.append("" if len(gone) and gone.all() else without(t, gone) if gone.any() else t)
+            yield pd.Series(out, dtype=object)
+
+    rows = rows.withColumn("edited", edited("text", "starts", "copies", "nth"))
+    return rows.select(*(F.col("edited").alias(c) if c == text_col else F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)))
