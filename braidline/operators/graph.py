@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut, is_empty
@@ -32,3 +34,50 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
             break
     found = e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def prune_dead_ends(edges: DataFrame, source: int, sink: int, keys: list[str]) -> DataFrame:
+    """The edges (keys, s, t, ...) that lie on a way from source to sink: edges whose start has no way in, or whose end none out, go, round by round, until none does."""
+    edges = cut(edges)
+    while True:
+        live = edges.join(edges.select(*keys, F.col("t").alias("s")).union(edges.select(*keys, F.lit(source).cast("long").alias("s"))).distinct(), [*keys, "s"], "left_semi")
+        live = live.join(edges.select(*keys, F.col("s").alias("t")).union(edges.select(*keys, F.lit(sink).cast("long").alias("t"))).distinct(), [*keys, "t"], "left_semi")
+        live = cut(live.select(*edges.columns))
+        if live.count() == edges.count():
+            return live
+        edges = live
+
+
+def degrees(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, v, n_in, n_out, w_in, w_out, best): degrees and weights of each vertex, and its heaviest edge's other end, of equals the smallest."""
+    ends = edges.select(*keys, F.explode(F.array(F.struct(F.col("s").alias("v"), F.col("t").alias("o"), F.lit(0).alias("into")), F.struct(F.col("t").alias("v"), F.col("s").alias("o"), F.lit(1).alias("into")))).alias("x"), "w").select(*keys, "x.*", "w")
+    into, out = F.col("into") == 1, F.col("into") == 0
+    zero = F.lit(0).cast("long")
+    return ends.groupBy(*keys, "v").agg(F.count_if(into).alias("n_in"), F.count_if(out).alias("n_out"), F.coalesce(F.sum(F.when(into, F.col("w"))), zero).alias("w_in"), F.coalesce(F.sum(F.when(out, F.col("w"))), zero).alias("w_out"), F.max_by("o", F.struct("w", -F.col("o"))).alias("best"))
+
+
+def relaxed(edges: DataFrame, source: int, keys: list[str], start: Column, step: Callable[[Column, Column], Column], best: Callable[[Column], Column], out: str) -> DataFrame:
+    """(keys, v, out): the best value over all ways from source in a DAG. A way's value is start, then step(value, w) along its edges.
+
+    Rounds of relaxation: each joins the values that changed with the edges that leave there, and stops when none changes.
+    """
+    values = changed = cut(edges.select(*keys).distinct().select(*keys, F.lit(source).cast("long").alias("v"), start.alias(out)))
+    while True:
+        new = changed.join(edges.withColumnRenamed("s", "v"), [*keys, "v"])
+        new = new.select(*keys, F.col("t").alias("v"), step(F.col(out), F.col("w")).alias(out))
+        merged = cut(values.union(new).groupBy(*keys, "v").agg(best(F.col(out)).alias(out)))
+        changed = cut(merged.exceptAll(values))
+        values = merged
+        if is_empty(changed):
+            return values
+
+
+def path_counts(edges: DataFrame, source: int, keys: list[str]) -> DataFrame:
+    """(keys, v, n): the number of ways from source to each vertex of a DAG, level by level; ways of any lengths add up."""
+    level = edges.select(*keys).distinct().select(*keys, F.lit(source).cast("long").alias("v"), F.lit(1).cast("long").alias("n"))
+    total = level = cut(level)
+    while True:
+        level = cut(level.join(edges.withColumnRenamed("s", "v"), [*keys, "v"]).groupBy(*keys, "t").agg(F.sum("n").alias("n")).withColumnRenamed("t", "v"))
+        if is_empty(level):
+            return total.groupBy(*keys, "v").agg(F.sum("n").alias("n"))
+        total = total.union(level)
