@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, is_empty
-
 
 def read_filter(df: DataFrame, flag: str, forbidden: int = 0, required: int = 0, between: dict[str, tuple] | None = None) -> DataFrame:
     """Rows with none of the forbidden flag bits, all required ones, and columns inside closed ranges."""
@@ -175,30 +174,46 @@ def rpkm(df: DataFrame, key: str, coverage: Column, length: Column) -> DataFrame
     return df.groupBy(key).agg(F.sum(coverage).alias("_c")).join(F.broadcast(total)).select(key, (F.col("_c") * 1e9 / F.col("_total")).alias("rpkm"))  # one row
 
 
-def decomposed(edges: DataFrame, keys: list[str], source: int, sink: int, least: float = 1.5, most: int = 1000) -> DataFrame:
+def _widest(edges: dict[int, dict[int, float]], order: list[int], source: int, sink: int) -> tuple[float, list[int]]:
+    """The widest way from source to sink of a DAG, of equals that through the least vertices, in one pass in topological order."""
+    best: dict[int, tuple[float, int]] = {source: (float("inf"), source)}
+    for s in order:
+        for t, w in sorted(edges.get(s, {}).items()) if s in best else ():
+            width = min(best[s][0], w)
+            if width > best.get(t, (0.0, s))[0]:
+                best[t] = width, s
+    if sink not in best:
+        return 0.0, []
+    way = [sink]
+    while way[-1] != source:
+        way.append(best[way[-1]][1])
+    return best[sink][0], way[::-1]
+
+
+def decomposed(edges: DataFrame, keys: list[str], source: int, sink: int, least: float = 1.5, vertices: int = 1000) -> DataFrame:
     """(keys, nth, w, path): each graph's widest way from source to sink, taken out, and so on while it is wider than least.
 
-    All graphs go on together, a way of each a round. A round relaxes widths along the edges until none grows; a vertex
-    keeps its widest way, of equals the least, so a way costs as much as it is long.
+    Vertices ascend along edges. A graph is one group of at most vertices squared edges; larger ones are an error, as they
+    are to be divided into components first. Graphs are spread over tasks by their keys.
     """
-    rest, found, nth = cut(edges.select(*keys, "s", "t", F.col("w").cast("double").alias("w"))), None, 0
-    while nth < most:
-        nth += 1
-        state = best = rest.select(*keys).distinct().select(*keys, F.lit(source).cast("long").alias("v"), F.lit(float("inf")).alias("b"), F.array(F.lit(source).cast("long")).alias("path"))
-        while True:
-            new = best.join(rest.withColumnRenamed("s", "v"), [*keys, "v"]).select(*keys, F.col("t").alias("v"), F.least("b", "w").alias("b"), F.concat("path", F.array("t")).alias("path"))
-            # the widest, then the least way
-            merged_ = state.union(new).groupBy(*keys, "v").agg(F.max("b").alias("b"), F.min(F.struct((-F.col("b")).alias("o"), "path")).alias("x")).select(*keys, "v", "b", "x.path")
-            merged_ = cut(merged_)
-            best = cut(merged_.exceptAll(state))
-            state = merged_
-            if is_empty(best):
-                break
-        ways = cut(state.where((F.col("v") == sink) & (F.col("b") > least)).select(*keys, F.lit(nth).alias("nth"), F.col("b").alias("w"), "path"))
-        if is_empty(ways):
-            break
-        found = ways if found is None else found.union(ways)
-        used = ways.select(*keys, F.col("w").alias("u"), F.explode(F.transform(F.slice("path", 1, F.size("path") - 1), lambda s, i: F.struct(s.alias("s"), F.col("path")[i + 1].alias("t")))).alias("e")).select(*keys, "e.s", "e.t", "u")
-        rest = cut(rest.join(used, [*keys, "s", "t"], "left").withColumn("w", F.col("w") - F.coalesce("u", F.lit(0.0))).where("w > 0").drop("u"))
-    empty = rest.where("false").select(*keys, F.lit(0).alias("nth"), "w", F.array("s").alias("path"))
-    return (empty if found is None else found).withColumn("path", F.array_join("path", ","))
+    fields = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    schema = ", ".join([*(f"`{k}` {fields[k]}" for k in keys), "nth int, w double, path string"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = sorted({*pdf["s"], *pdf["t"]})
+        if len(order) > vertices:
+            raise ValueError(f"a graph has {len(order)} vertices, over {vertices}")
+        rest: dict[int, dict[int, float]] = {}
+        for s, t, w in zip(pdf["s"].tolist(), pdf["t"].tolist(), pdf["w"].tolist(), strict=True):
+            rest.setdefault(s, {})[t] = float(w)
+        out = []
+        while (found := _widest(rest, order, source, sink))[0] > least:
+            w, way = found
+            out.append((*pdf[keys].iloc[0], len(out) + 1, w, ",".join(map(str, way))))
+            for s, t in zip(way, way[1:], strict=False):
+                rest[s][t] -= w
+                if rest[s][t] <= 0:
+                    del rest[s][t]
+        return pd.DataFrame(out, columns=[*keys, "nth", "w", "path"])
+
+    return edges.groupBy(*keys).applyInPandas(run, schema)

@@ -34,6 +34,7 @@ _EDGES = """line AS (SELECT DISTINCT l_orderkey AS o, l_linenumber * 100 + least
     step AS (SELECT o, v AS s, lead(v) OVER (PARTITION BY o ORDER BY v) AS t, row_number() OVER (PARTITION BY o ORDER BY v) AS n FROM line),
     hop AS (SELECT g, s, coalesce(t, 10000) AS t FROM step JOIN graphs USING (o) UNION ALL SELECT g, 0, s FROM step JOIN graphs USING (o) WHERE n = 1),
     edges AS (SELECT g, s::BIGINT AS s, t::BIGINT AS t, count(*)::BIGINT AS w FROM hop GROUP BY ALL)"""
+_RARE = f"""{_EDGES}, top AS (SELECT g, s, t, w FROM edges WHERE w >= (SELECT avg(w) FROM edges))"""
 _CHAINS = """chains AS (SELECT l_orderkey AS o, string_agg(l_returnflag || l_linestatus, '-' ORDER BY l_linenumber, l_returnflag || l_linestatus) AS chain, count(*)::BIGINT AS n, min(l_linenumber)::BIGINT AS l, max(l_linenumber)::BIGINT AS r, sum(l_quantity)::DOUBLE AS cov FROM lineitem GROUP BY 1)"""
 
 
@@ -66,6 +67,12 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
     return paths.edges_of_paths(line, "o", "v", "f", source=0, sink=10000)
 
 
+def _heavy(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of at least mean weight: what goes into a vertex need not come out."""
+    edges = _edges(spark, d)
+    return edges.join(F.broadcast(edges.agg(F.avg("w").alias("m"))), F.col("w") >= F.col("m")).drop("m")  # one row
+
+
 def _chains(spark: SparkSession, d: str) -> DataFrame:
     return paths.chains(_lines(spark, d), "l_orderkey", "l_linenumber", F.concat("l_returnflag", "l_linestatus")).select(F.col("l_orderkey").alias("o"), "chain", "n", "l", "r", "cov")
 
@@ -128,11 +135,11 @@ def q04_interval_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {_EV}, a AS (SELECT chrom, id, l FROM ev WHERE ale = 'purchase'), b AS (SELECT chrom, l, max(id) AS view FROM ev WHERE ale = 'view' GROUP BY ALL)
-    SELECT a.chrom, a.id, a.l, b.view FROM a ASOF LEFT JOIN b ON a.chrom = b.chrom AND a.l >= b.l""")
+    SELECT a.chrom, a.id, a.l, coalesce(b.view, -1) AS view FROM a ASOF LEFT JOIN b ON a.chrom = b.chrom AND a.l >= b.l""")
 def q04_asof_region(spark: SparkSession, d: str) -> DataFrame:
     """Each purchase with the user's latest view at or before it."""
     ev = _events(spark, d)
-    return intervals.asof(ev.where("ale = 'purchase'").select("chrom", "id", "l"), ev.where("ale = 'view'").select("chrom", "l", F.col("id").alias("view")), ["chrom"], "l", ["view"], width=DAY)
+    return intervals.asof(ev.where("ale = 'purchase'").select("chrom", "id", "l"), ev.where("ale = 'view'").select("chrom", "l", F.col("id").alias("view")), ["chrom"], "l", ["view"], width=DAY).fillna(-1, ["view"])
 
 
 @query(f"""WITH {_EV}, pair AS (SELECT ale AS a, value AS v, lead(ale) OVER w AS b, lead(value) OVER w AS u FROM ev WINDOW w AS (PARTITION BY chrom ORDER BY l, id))
@@ -180,8 +187,8 @@ def q09_kmer_counts(spark: SparkSession, d: str) -> DataFrame:
     return paths.kmers(_chains(spark, d).withColumn("path", F.split("chain", "-")), "path", 3)
 
 
-@query("""WITH RECURSIVE edge AS (SELECT DISTINCT l_orderkey AS a, -l_partkey AS b FROM lineitem WHERE l_quantity >= 50), both AS (SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge),
-    reach(a, b) AS (SELECT a, a FROM both UNION SELECT r.a, e.b FROM reach r JOIN both e ON r.b = e.a)
+@query("""WITH RECURSIVE edge AS (SELECT DISTINCT l_orderkey AS a, -l_partkey AS b FROM lineitem WHERE l_quantity >= 50), sides AS (SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge),
+    reach(a, b) AS (SELECT a, a FROM sides UNION SELECT r.a, e.b FROM reach r JOIN sides e ON r.b = e.a)
     SELECT a AS node, min(b) AS component FROM reach GROUP BY a""")
 def q10_components(spark: SparkSession, d: str) -> DataFrame:
     """Components of the graph of orders and the parts that they buy in full lots."""
@@ -195,17 +202,12 @@ def q10_subgraph_paths(spark: SparkSession, d: str) -> DataFrame:
     return paths.wholly_inside(_lines(spark, d).select(F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("v")), inside, "o", "v")
 
 
-_RARE = f"""{_EDGES}, top AS (SELECT g, s, t, w FROM edges WHERE w >= (SELECT avg(w) FROM edges))"""
-
-
 @query(f"""WITH RECURSIVE {_RARE}, down(g, v) AS (SELECT DISTINCT g, 0::BIGINT FROM top UNION SELECT e.g, e.t FROM down d JOIN top e ON e.g = d.g AND e.s = d.v),
     up(g, v) AS (SELECT DISTINCT g, 10000::BIGINT FROM top UNION SELECT e.g, e.s FROM up d JOIN top e ON e.g = d.g AND e.t = d.v)
     SELECT e.g, e.s, e.t, e.w FROM top e SEMI JOIN down a ON a.g = e.g AND a.v = e.s SEMI JOIN up b ON b.g = e.g AND b.v = e.t""")
 def q11_dead_end_prune(spark: SparkSession, d: str) -> DataFrame:
     """Edges of at least mean weight, without those on no way from source to sink."""
-    edges = _edges(spark, d)
-    mean = edges.agg(F.avg("w").alias("m"))
-    return graph.prune_dead_ends(edges.join(mean, F.col("w") >= F.col("m")).drop("m"), 0, 10000, ["g"])
+    return graph.prune_dead_ends(_heavy(spark, d), 0, 10000, ["g"])
 
 
 @query(f"""WITH RECURSIVE {_EDGES}, best(g, v, b) AS (SELECT DISTINCT g, 0::BIGINT, 9223372036854775807::BIGINT FROM edges UNION SELECT e.g, e.t, least(b, w) FROM best JOIN edges e ON e.g = best.g AND e.s = best.v)
@@ -372,19 +374,19 @@ def q24_negligible_edges(spark: SparkSession, d: str) -> DataFrame:
     return paths.negligible_edges(_edges(spark, d), ["g"], 0.05)
 
 
-@query(f"""WITH {_EDGES}, i AS (SELECT g, t AS v, sum(w)::DOUBLE AS a FROM edges GROUP BY ALL), o AS (SELECT g, s AS v, sum(w)::DOUBLE AS b FROM edges GROUP BY ALL),
+@query(f"""WITH {_RARE}, i AS (SELECT g, t AS v, sum(w)::DOUBLE AS a FROM top GROUP BY ALL), o AS (SELECT g, s AS v, sum(w)::DOUBLE AS b FROM top GROUP BY ALL),
     x AS (SELECT *, sqrt(b / a) AS r FROM i JOIN o USING (g, v))
-    SELECT e.g, e.s, e.t, round(e.w * coalesce(x.r, 1) , 6) AS balanced FROM edges e LEFT JOIN x ON x.g = e.g AND x.v = e.t""")
+    SELECT e.g, e.s, e.t, round(e.w * coalesce(x.r, 1) , 6) AS balanced FROM top e LEFT JOIN x ON x.g = e.g AND x.v = e.t""")
 def q25_balanced_weights(spark: SparkSession, d: str) -> DataFrame:
     """Weights into each inner vertex scaled half way, geometrically, to those out of it."""
-    return paths.balanced_in_weights(_edges(spark, d), ["g"]).select("g", "s", "t", F.round("balanced", 6).alias("balanced"))
+    return paths.balanced_in_weights(_heavy(spark, d), ["g"]).select("g", "s", "t", F.round("balanced", 6).alias("balanced"))
 
 
-@query(f"""WITH {_EDGES}, i AS (SELECT g, t AS v, sum(w) AS a FROM edges GROUP BY ALL), o AS (SELECT g, s AS v, sum(w) AS b FROM edges GROUP BY ALL)
-    SELECT g, v, CASE WHEN a > b THEN 10000 ELSE 0 END::BIGINT AS via, abs(a - b)::BIGINT AS w FROM i JOIN o USING (g, v) WHERE greatest(a, b) >= 2 * least(a, b)""")
+@query(f"""WITH {_RARE}, i AS (SELECT g, t AS v, sum(w) AS a FROM top GROUP BY ALL), o AS (SELECT g, s AS v, sum(w) AS b FROM top GROUP BY ALL)
+    SELECT g, v, CASE WHEN a > b THEN 10000 ELSE 0 END::BIGINT AS via, abs(a - b)::BIGINT AS w FROM i JOIN o USING (g, v) WHERE greatest(a, b) >= 1.25 * least(a, b)""")
 def q26_extend_boundaries(spark: SparkSession, d: str) -> DataFrame:
-    """New edges to source or sink where a vertex gets, or gives, twice as much as it passes on."""
-    return paths.boundary_edges(_edges(spark, d), ["g"], 0, 10000, 2)
+    """New edges to source or sink where a vertex gets, or gives, a quarter more than it passes on."""
+    return paths.boundary_edges(_heavy(spark, d), ["g"], 0, 10000, 1.25)
 
 
 @query("""SELECT l_suppkey, round(sum(l_quantity) * 1e9 / (SELECT sum(l_quantity * l_linenumber) FROM lineitem), 4) AS rpkm FROM lineitem GROUP BY 1""")
