@@ -51,9 +51,13 @@ class ForcedBoundaryBpe:
         self.words = Kept(self._word)
         self.chunks = Chunks(self._make, CUT)
 
+    def cuts(self, word: str) -> list[int]:
+        """Where a word in byte symbols is certainly cut."""
+        return [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in self.joined]
+
     def word(self, word: str) -> list[int]:
         """Ids of a word in byte symbols: its fragments between certain cuts, encoded one by one."""
-        cuts = [i for i, pair in enumerate(zip(word, word[1:]), 1) if pair not in self.joined]
+        cuts = self.cuts(word)
         if not cuts:
             return [t.id for t in self.final.tokenize(word)]
         ids = []

@@ -153,7 +153,9 @@ def later_windows(candidates: DataFrame) -> DataFrame:
             for s in in_slices(texts):
                 one, two, owners, places = [], [], [], []
                 order = sorted(range(s.start, s.stop), key=lambda i: (ids[i], texts[i] and _order(b" ".join(texts[i].encode().split()))))
-                for row in order:
+                for last, row in zip([None, *order], order, strict=False):
+                    if last is not None and (ids[last], texts[last]) == (ids[row], texts[row]):
+                        continue  # a repeated row has the same places
                     words = texts[row].encode().split()
                     at = _spans(words, anchors[row].values.to_numpy(zero_copy_only=False))
                     if len(at):
@@ -170,7 +172,7 @@ def later_windows(candidates: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(at), pa.array(decided)], names=["h1", "h2", "doc_id", "at", "later"])
 
     rows = candidates.mapInArrow(run, "h1 long, h2 long, doc_id long, at long, later boolean")
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "at")))
+    rows = rows.withColumn("nth", F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "at")))
     return rows.where("later or nth > 1").select("doc_id", "at")
 
 
