@@ -48,9 +48,13 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-def _events(spark: SparkSession, d: str) -> DataFrame:
+def _as_intervals(events: DataFrame) -> DataFrame:
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))")
-    return table(spark, d, "events").select(F.col("user_id").alias("chrom"), F.col("event_id").alias("id"), micros.alias("l"), (micros + (F.floor("value").cast("long") + 1) * 1_000_000).alias("r"), F.col("event_type").alias("ale"), "value")
+    return events.select(F.col("user_id").alias("chrom"), F.col("event_id").alias("id"), micros.alias("l"), (micros + (F.floor("value").cast("long") + 1) * 1_000_000).alias("r"), F.col("event_type").alias("ale"), "value")
+
+
+def _events(spark: SparkSession, d: str) -> DataFrame:
+    return _as_intervals(table(spark, d, "events"))
 
 
 def _loci(spark: SparkSession, d: str) -> DataFrame:
@@ -399,3 +403,21 @@ def q27_rpkm(spark: SparkSession, d: str) -> DataFrame:
 def q28_decompose(spark: SparkSession, d: str) -> DataFrame:
     """Greedy decomposition of the graphs into weighted ways from source to sink."""
     return paths.decomposed(_edges(spark, d), ["g"], 0, 10000, least=1.5)
+
+
+@query(f"WITH {_LOCI} SELECT chrom, locus AS l, max(r) AS r, count(*)::BIGINT AS n FROM marked GROUP BY chrom, locus")
+def q29_stream_loci(spark: SparkSession, d: str) -> DataFrame:
+    """Loci of the events as a stream, all that is there in one go."""
+    from ..runtime import shared_dir
+    from ..streaming.loci import stream_loci
+
+    source = f"{d}/events.parquet"
+    # by a pattern, as a stream's path may not be one file
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{d}/events.parque[t]")
+    made, seen = shared_dir(spark), shared_dir(spark)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{made}/batch={number}")
+
+    stream_loci(_as_intervals(stream).select("chrom", "l", "r"), 12 * HOUR).writeStream.outputMode("update").option("checkpointLocation", seen).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.parquet(made).groupBy("chrom", "l").agg(F.max("r").alias("r"), F.max("n").alias("n"))

@@ -25,8 +25,8 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
     """The lines of GTF files: the nine columns, with starts from 0, and the attributes that transcripts have."""
     line = spark.read.text(path).where("value <> '' and not startswith(value, '#')")
     parts = line.select(F.split("value", "\t").alias("c")).where("size(c) >= 9")
-    attribute = lambda *names: F.coalesce(*(F.nullif(F.regexp_extract(F.col("c")[8], rf'(?:^|;)\s*{n} "?([^";]*)"?', 1), F.lit("")) for n in names))
+    attribute = lambda *names: F.coalesce(*(F.nullif(F.regexp_extract(F.get("c", F.lit(8)), rf'(?:^|;)\s*{n} "?([^";]*)"?', 1), F.lit("")) for n in names))
     return parts.select(
-        F.col("c")[0].alias("seqname"), F.col("c")[1].alias("source"), F.col("c")[2].alias("feature"), (F.col("c")[3].cast("int") - 1).alias("start"), F.col("c")[4].cast("int").alias("end"), F.expr("try_cast(c[5] as double)").alias("score"), F.col("c")[6].alias("strand"), F.col("c")[7].alias("frame"),
-        *(attribute(n).alias(n) for n in ("gene_id", "transcript_id", "gene_type", "transcript_type")), attribute(*COVERAGE).cast("double").alias("coverage"), *(attribute(n).cast("double").alias(n) for n in ("RPKM", "FPKM", "TPM")),
+        F.get("c", F.lit(0)).alias("seqname"), F.get("c", F.lit(1)).alias("source"), F.get("c", F.lit(2)).alias("feature"), (F.get("c", F.lit(3)).try_cast("int") - 1).alias("start"), F.get("c", F.lit(4)).try_cast("int").alias("end"), F.expr("try_cast(get(c, 5) as double)").alias("score"), F.get("c", F.lit(6)).alias("strand"), F.get("c", F.lit(7)).alias("frame"),
+        *(attribute(n).alias(n) for n in ("gene_id", "transcript_id", "gene_type", "transcript_type")), attribute(*COVERAGE).try_cast("double").alias("coverage"), *(attribute(n).try_cast("double").alias(n) for n in ("RPKM", "FPKM", "TPM")),
     )
