@@ -69,9 +69,39 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_sharding, op4_warc, op5_token_counts, op6_fingerprints, op7_quality_rules, op8_pii, op9_substring_dedup, op10_bpe)}
+
+
+def _quality_sql() -> str:
+    from . import quality as q
+
+    lists = " ".join(f"WHEN '{lang}' THEN [{', '.join(repr(w) for w in words)}]" for lang, words in q.COMMON_WORDS.items())
+    count = lambda pattern: f"(length(text) - length(regexp_replace(text, '{pattern}', '', 'g')))"
+    lower, upper, letter = count("[a-z]"), count("[A-Z]"), count(r"\p{L}")
+    classes = f"[{lower}, {upper}, {letter} - {lower} - {upper}, {count('[0-9]')}, {count(q.CLASSES['space'])}, {count(q.CLASSES['symbol'])}]"
+    means = lambda column: f"list_transform(range(1, max(len({column})) + 1), lambda i: list_avg(list_transform(list({column}), lambda x: x[i])))"
+    half = lambda x, y: f"CASE WHEN {x} > 0 THEN {x} * log2({x} / (({x} + {y}) / 2)) ELSE 0 END"
+    distance = lambda x, y: f"sqrt(greatest(0, list_sum(list_transform(range(1, len({x}) + 1), lambda i: ({half(f'{x}[i]', f'{y}[i]')} + {half(f'{y}[i]', f'{x}[i]')}) / 2))))"
+    share = lambda x: f"list_transform({x}, lambda v: CASE WHEN list_sum({x}) > 0 THEN v / list_sum({x})::DOUBLE ELSE 0 END)"
+    return rf"""
+        WITH own AS (SELECT row_number() OVER () AS k, doc_id, CASE WHEN lang IN ({", ".join(map(repr, q.COMMON_WORDS))}) THEN lang ELSE '' END AS lang, coalesce(text, '') AS text FROM documents),
+        split AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, CASE lang {lists} ELSE []::VARCHAR[] END AS common FROM own),
+        starts AS (SELECT k, unnest(list_transform(range(1, len(ws) - {q.REPEAT_WINDOW - 2}), lambda i: {{'i': i, 'w': array_to_string(ws[i:i + {q.REPEAT_WINDOW - 1}], ' ')}})) AS x FROM split WHERE len(ws) >= {q.REPEAT_WINDOW}),
+        windows AS (SELECT k, x.i AS i, count(*) OVER (PARTITION BY k, x.w) AS n FROM starts),
+        repeats AS (SELECT k, count(DISTINCT i + j) AS n_repeat_words FROM windows, (SELECT unnest(range(0, {q.REPEAT_WINDOW})) AS j) WHERE n > 1 GROUP BY k),
+        counted AS (SELECT k, doc_id, lang, text, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, {count(q.CLASSES["symbol"])}::BIGINT AS n_symbols,
+            list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, {classes} AS cs,
+            list_transform(common, lambda c: len(list_filter(ws, lambda w: lower(w) = c))) AS found, len(list_filter(ws, lambda w: NOT regexp_matches(w, '[\p{{L}}\p{{N}}]'))) AS bare FROM split LEFT JOIN repeats USING (k)),
+        histograms AS (SELECT *, list_append(cs, length(text) - list_sum(cs)) AS c, list_concat(found, [bare, n_words - coalesce(list_sum(found), 0) - bare]) AS m, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed FROM counted),
+        shares AS (SELECT *, {share("c")} AS p, {share("m")} AS r FROM histograms),
+        refs AS (SELECT lang, {means("p")} AS pr, {means("r")} AS rr FROM shares WHERE NOT base_failed GROUP BY lang),
+        far AS (SELECT *, CASE WHEN word_chars >= {q.LEAST_CHARS} AND pr IS NOT NULL THEN {distance("p", "pr")} ELSE 0 END AS cd, CASE WHEN n_words >= {q.LEAST_JUDGED_WORDS} AND len(m) > 2 AND rr IS NOT NULL THEN {distance("r", "rr")} ELSE 0 END AS wd FROM shares LEFT JOIN refs USING (lang))
+        SELECT doc_id, n_words, word_chars, n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND cd <= {q.MOST_CLASS_DISTANCE} AND wd <= {q.MOST_WORD_DISTANCE} AS kept FROM far"""
+
+
 #: A hexadecimal digit group of five is four base32 digits.
 _BASE32 = "array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + cast((('0x' || substr(sha1(p), 1 + 5 * (k // 4), 5))::BIGINT >> (15 - 5 * (k % 4))) & 31 AS BIGINT), 1)), '')"
 ORACLES: dict[str, str] = {
+    "op7_quality_rules": _quality_sql(),
     "op4_warc": f"""
         WITH own AS (SELECT page_id, encode(coalesce(html, '')) AS p FROM pages),
         digested AS (SELECT page_id, octet_length(p)::BIGINT AS payload_bytes, {_BASE32} AS payload_digest FROM own),
