@@ -21,6 +21,8 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _PLAIN = re.compile(r" ?[^\s']+").fullmatch
 #: Symbols of the longest prefix that is kept.
 _SHORT = 24
+#: Prefixes kept, at most.
+_PREFIXES = 500_000
 _RUNS = re.compile(r"\s+")
 #: Contractions that are pieces of their own, but whose first two characters are not.
 _CONTRACTIONS = {"'re", "'ve", "'ll"}
@@ -48,8 +50,8 @@ class PrefixCounts:
         #: What tokens end in: no token ends in anything longer than the first end that is not here.
         self.suffixes = {t[i:] for t in self.vocabulary for i in range(len(t))}
         self.special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.apart = Kept(lambda ab: [t.value for t in self.model.tokenize(ab[0] + ab[1])] == [*filter(None, ab)])
-        self.pieces = Kept(self._piece)
+        self.apart = Kept(lambda ab: [t.value for t in self.model.tokenize(ab[0] + ab[1])] == [*filter(None, ab)], 300_000)
+        self.pieces = Kept(self._piece, 300_000)
         #: By short prefix of a piece: the counts along it and its last token.
         self.prefixes: dict[str, tuple[tuple[int, ...], str]] = {"": ((), "")}
         self.chunks = Chunks(self._make, _CUT)
@@ -58,7 +60,7 @@ class PrefixCounts:
         """Counts after each of the piece's characters."""
         s = as_symbols(piece)
         n = len(s)
-        if len(self.prefixes) > 2 * Kept.MOST:
+        if len(self.prefixes) > _PREFIXES:
             self.prefixes = {"": ((), "")}
         known, vocabulary, suffixes, apart = self.prefixes, self.vocabulary, self.suffixes, self.apart
         done = n if n <= _SHORT else 0
