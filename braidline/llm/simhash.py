@@ -70,7 +70,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
     """The rows of docs without near-duplicates: of each component that with the smallest id stays, once. Rows with null ids stay."""
-    groups = near_duplicates(docs, id_col, text_col, shingle, budget)
+    return first_of_each(docs, near_duplicates(docs, id_col, text_col, shingle, budget), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs whose id is its component's in groups (doc_id, component_id), once; and those with null ids."""
     stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
     kept = docs.withColumn("_key", F.col(f"`{id_col}`").cast("long")).join(stay, F.col("_key") == F.col("_stay"), "left_semi")
     # of repeated rows with this id the first in the order of their texts
