@@ -17,8 +17,6 @@ from ..runtime import cut, is_empty
 from .chunks import Kept
 
 KEY = b"braidline"
-#: Rounds of new draws before colliding surrogates are an error.
-MOST_ROUNDS = 50
 
 #: Titles before names, by the gender that they tell.
 TITLES = {
@@ -48,8 +46,8 @@ _FIND = re.compile(
             r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))",
             r"(?P<phone>(?<![\w.])(?:\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w]))",
             r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
-            r"(?P<secret>(?<!\w)(?i:token|api[_-]?key|secret|password|passwd|pwd|access[_-]?key)[ \t]?[=:][ \t]?[\"']?(?P<value>[\w+/=.~-]{8,512}))",
-            r"(?P<key>(?<!\w)(?i:AKIA|ASIA|ghp_|gho_|sk-|xox[bap]-)[\w-]{16,512}(?![\w]))",
+            r"(?P<secret>(?<!\w)(?i:token|api[_-]?key|secret|password|passwd|pwd|access[_-]?key)[ \t]?[=:][ \t]?[\"']?(?P<value>(?=[+/=.~_-]*[^\W_])[\w+/=.~-]{8,512}))",
+            r"(?P<key>(?<!\w)(?i:AKIA|ASIA|ghp_|gho_|sk-|xox[bap]-)(?=[_-]*[^\W_])[\w-]{16,512}(?![\w]))",
             r"(?P<hex>(?<!\w)(?=[a-fA-F]*\d)(?=\d*[a-fA-F])[0-9a-fA-F]{32,128}(?!\w))",
             rf"(?P<person>(?<!\w)(?P<title>{'|'.join(sorted(_GENDER, key=len, reverse=True))})\.? (?P<name>{_NAME}(?: {_NAME}){{0,2}}))",
         )
@@ -111,8 +109,13 @@ class Surrogates:
             n += 1
 
     def of(self, kind: str, entity: str, attempt: int = 0) -> str:
-        """The surrogate of an entity, in the same form as entities."""
+        """The surrogate of an entity, in the same form as entities.
+
+        From the second new draw on each is a character or syllable longer than the one before, so that entities of any
+        number find surrogates of their own, also where a form has few.
+        """
         draw = self._stream(kind, entity, attempt)
+        longer = max(0, attempt - 1)
 
         def swapped(s: str, keep: int = 0) -> str:
             out = []
@@ -121,6 +124,8 @@ class Surrogates:
                     out.append(c)
                 elif c.isascii() and c.isdigit():
                     out.append(str(next(draw) % 10))
+                elif c.isalnum() and not c.isalpha():
+                    out.append(str(next(draw) % 10))  # other scripts' digits
                 elif c.isalpha():
                     out.append("abcdef"[next(draw) % 6] if kind == "hex" else chr(ord("a") + next(draw) % 26))
                 else:
@@ -128,45 +133,49 @@ class Surrogates:
             return "".join(out)
 
         if kind == "ip":
+            if longer > 1:  # that block and all of IPv4 are full
+                return str(ipaddress.IPv6Address(bytes([0xFD, *(next(draw) for _ in range(15))])))
             number = int.from_bytes(bytes(next(draw) for _ in range(4)), "big")
+            if longer:
+                return str(ipaddress.IPv4Address(number))
             return str(ipaddress.IPv4Address(0xF0000000 | number & 0x0FFFFFFF))  # the reserved block 240.0.0.0/4
         if kind == "email":
             local, _, domain = entity.rpartition("@")
             labels = domain.split(".")
-            return f"{swapped(local)}@{''.join(swapped(x) + '.' for x in labels[:-2])}example.net"
+            return f"{swapped(local + 'x' * longer)}@{''.join(swapped(x) + '.' for x in labels[:-2])}example.net"
         if kind == "card":
-            digits = swapped(entity, 1)
+            digits = swapped(entity + "0" * longer, 1)
             if luhn(entity) != luhn(digits):
                 digits = next(d for d in (digits[:-1] + str(x) for x in range(10)) if luhn(d) == luhn(entity))
             return digits
         if kind == "phone":
-            return swapped(entity, max(0, len(entity) - 10))
+            return swapped(entity + "0" * longer, max(0, len(entity) - 10))
         if kind == "iban":
-            return swapped(entity, 2)
+            return swapped(entity + "0" * longer, 2)
         if kind == "key":
-            return swapped(entity, 4)
+            return swapped(entity + "x" * longer, 3 if entity.startswith("sk-") else 5 if entity.startswith("xox") else 4)
         if kind.startswith("name-"):
             _, role, script = kind.split("-")
             syllables, ends = SYLLABLES[script], ENDS[script][role]
-            n = 1 + next(draw) % 2 + (attempt > 3)
+            n = 1 + next(draw) % 2 + longer
             return "".join(syllables[(next(draw) * 256 + next(draw)) % len(syllables)] for _ in range(n)).capitalize() + ends[next(draw) % len(ends)]
-        return swapped(entity)
+        return swapped(entity + ("0" if kind == "ssn" else "x") * longer)
 
     @staticmethod
     def dressed(surrogate: str, mention: str, kind: str) -> str:
         """The surrogate with the mention's separators and case."""
         if kind in ("card", "phone", "ssn"):
             digits = iter(surrogate)
-            return "".join(next(digits) if c.isdigit() else c for c in mention)
+            return "".join([*(next(digits) if c.isdigit() else c for c in mention), *digits])
         if kind in ("iban",):
             rest = iter(surrogate.upper())
-            return "".join(c if c == " " else next(rest) for c in mention)
+            return "".join([*(c if c == " " else next(rest) for c in mention), *rest])
         if kind.startswith("name-"):
             return surrogate
         if mention.isupper():
             return surrogate.upper()
-        if len(surrogate) == len(mention):
-            return "".join(s.upper() if c.isupper() else s for s, c in zip(surrogate, mention, strict=True))
+        if len(surrogate) == len(mention) or kind in ("secret", "key", "hex"):
+            return "".join(s.upper() if c.isupper() else s for s, c in zip(surrogate, mention.ljust(len(surrogate)), strict=False))
         return surrogate
 
 
@@ -196,7 +205,7 @@ def redrawn(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
 
     drawn = cut(distinct.select("kind", "entity", F.lit(0).alias("attempt")).withColumn("surrogate", surrogate("kind", "entity", "attempt")))
     real = distinct.select("kind", F.col("entity").alias("surrogate"))
-    for _ in range(MOST_ROUNDS):
+    while True:
         # settled surrogates win over new ones, then the smaller entity
         first = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n")).where("n > 1")
         shared = drawn.join(first, ["kind", "surrogate"]).where("first.entity <> entity").select("kind", "entity")
@@ -206,7 +215,6 @@ def redrawn(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
         marked = drawn.join(bad.withColumn("again", F.lit(1)), ["kind", "entity"], "left")
         again = marked.where("again = 1").select("kind", "entity", (F.col("attempt") + 1).alias("attempt"))
         drawn = cut(marked.where("again is null").select(*drawn.columns).union(again.withColumn("surrogate", surrogate("kind", "entity", "attempt"))))
-    raise RuntimeError(f"surrogates still collide after {MOST_ROUNDS} rounds")
 
 
 def pseudonymized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
@@ -215,7 +223,7 @@ def pseudonymized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Found are e-mail and IPv4 addresses, phone, card, bank account and social security numbers, keys and secrets, and
     names after titles. The same entity has the same surrogate in all documents, under the key; different ones have
     different surrogates, none of which is an entity of the corpus: redrawn() checks all distinct entities and has
-    colliding ones drawn again. A surrogate keeps the type, length and separators (numbers), the case, the script and the
+    colliding ones drawn again, in longer forms if need be. A surrogate keeps the type, length (but for those) and separators (numbers), the case, the script and the
     gender (names), and validity of check digits (cards).
 
     Null texts stay null, with 0 entities. All rows and other columns stay as they are; where n_entities is a column
