@@ -37,22 +37,24 @@ ENDS = {
 }
 _GENDER = {t: g for g, ts in TITLES.items() for t in ts}
 _NAME = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]{1,30}|[А-ЯЁ][а-яё-]{1,30}|[\u0386-\u038F\u0391-\u03A9][\u03AC-\u03CE-]{1,30})"
-_FIND = re.compile(
-    "|".join(
-        (
-            r"(?P<email>(?<![\w.+@-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))",
-            r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))",
-            r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
-            r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))",
-            r"(?P<phone>(?<![\w.])(?:\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w]))",
-            r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
-            r"(?P<secret>(?<!\w)(?i:token|api[_-]?key|secret|password|passwd|pwd|access[_-]?key)[ \t]?[=:][ \t]?[\"']?(?P<value>(?=[+/=.~_-]*[^\W_])[\w+/=.~-]{8,512}))",
-            r"(?P<key>(?<!\w)(?i:AKIA|ASIA|ghp_|gho_|sk-|xox[bap]-)(?=[_-]*[^\W_])[\w-]{16,512}(?![\w]))",
-            r"(?P<hex>(?<!\w)(?=[a-fA-F]*\d)(?=\d*[a-fA-F])[0-9a-fA-F]{32,128}(?!\w))",
-            rf"(?P<person>(?<!\w)(?P<title>{'|'.join(sorted(_GENDER, key=len, reverse=True))})\.? (?P<name>{_NAME}(?: {_NAME}){{0,2}}))",
-        )
-    )
+_PATTERNS = (
+    r"(?P<email>(?<![\w.+@-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))",
+    r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))",
+    r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
+    r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))",
+    r"(?P<phone>(?<![\w.])(?:\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w]))",
+    r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
+    r"(?P<secret>(?<!\w)(?i:token|api[_-]?key|secret|password|passwd|pwd|access[_-]?key)[ \t]?[=:][ \t]?[\"']?(?P<value>(?=[+/=.~_-]*[^\W_])[\w+/=.~-]{8,512}))",
+    r"(?P<key>(?<!\w)(?i:AKIA|ASIA|ghp_|gho_|sk-|xox[bap]-)(?=[_-]*[^\W_])[\w-]{16,512}(?![\w]))",
+    r"(?P<hex>(?<!\w)(?=[a-fA-F]*\d)(?=\d*[a-fA-F])[0-9a-fA-F]{32,128}(?!\w))",
+    rf"(?P<person>(?<!\w)(?P<title>{'|'.join(sorted(_GENDER, key=len, reverse=True))})\.? (?P<name>{_NAME}(?: {_NAME}){{0,2}}))",
 )
+KINDS = ("email", "ip", "iban", "card", "phone", "ssn", "secret", "key", "hex", "person")
+_FIND = re.compile("|".join(_PATTERNS))
+#: Each kind alone, for places where another's match is rejected.
+_ALONE = dict(zip(KINDS, map(re.compile, _PATTERNS), strict=True))
+#: What may follow numbers whose end is at a choice of spaces.
+_ENDS = {"card": re.compile(r"(?![\w-]|\.\d)"), "phone": re.compile(r"(?!\w)"), "iban": re.compile(r"(?!\w)")}
 #: A text without any of these has nothing to find.
 _MAYBE = re.compile(rf"[0-9@]|(?<!\w)(?:{'|'.join(sorted(_GENDER, key=len, reverse=True))}|(?i:token|key|secret|passw|pwd))")
 
@@ -67,6 +69,32 @@ def _script(word: str) -> str:
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
 
 
+def _valid(kind: str, s: str) -> bool:
+    digits = re.sub(r"\D", "", s)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in s.split("."))
+    if kind == "card":
+        return luhn(digits) and digits[0] in "3456"
+    if kind == "iban":
+        return any(c.isdigit() for c in s[4:])
+    return kind != "phone" or 7 <= len(digits) <= 15
+
+
+def _at(text: str, m: re.Match) -> tuple[re.Match, str] | None:
+    """(match, kind) of what stands at the match's start: itself, a shorter grouping of a number, or another kind's match there."""
+    first = next(i for i, k in enumerate(KINDS) if m.group(k) is not None)
+    for i, kind in enumerate(KINDS[first:]):
+        x = m if i == 0 else _ALONE[kind].match(text, m.start())
+        if x and _valid(kind, x.group()):
+            return x, kind
+        if x and kind in _ENDS:
+            for end in range(x.end() - 1, x.start(), -1):
+                shorter = text[end - 1].isalnum() and _ENDS[kind].match(text, end) and _ALONE[kind].fullmatch(text, x.start(), end)
+                if shorter and _valid(kind, shorter.group()):
+                    return shorter, kind
+    return None
+
+
 def found(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, entity) of the private strings of a text, in order; the entity is in a form that all its mentions share.
 
@@ -76,8 +104,12 @@ def found(text: str) -> Iterator[tuple[int, int, str, str]]:
         return
     at = 0
     while m := _FIND.search(text, at):
+        place = _at(text, m)
+        if place is None:
+            at = m.start() + 1
+            continue
+        m, kind = place
         at = m.end()
-        kind = next(k for k in ("email", "ip", "iban", "card", "phone", "ssn", "secret", "key", "hex", "person") if m.group(k) is not None)
         if kind == "person":
             gender, start = _GENDER[m["title"]], m.start("name")
             names = list(re.finditer(_NAME, m["name"]))
@@ -90,9 +122,6 @@ def found(text: str) -> Iterator[tuple[int, int, str, str]]:
             continue
         s = m.group(kind)
         digits = re.sub(r"\D", "", s)
-        if kind == "ip" and any(int(x) > 255 for x in s.split(".")) or kind == "card" and not (luhn(digits) and digits[0] in "3456") or kind == "iban" and not any(c.isdigit() for c in s[4:]) or kind == "phone" and not 7 <= len(digits) <= 15:
-            at = m.start() + 1
-            continue
         yield m.start(), m.end(), kind, digits if kind in ("card", "phone", "ssn") else re.sub(" ", "", s).lower()
 
 

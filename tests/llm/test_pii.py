@@ -27,3 +27,18 @@ def test_longer_surrogates_keep_their_form():
     card = made.of("card", "4111111111111111", 3)
     assert len(card) == 18 and pii.luhn(card) and made.dressed(card, "4111 1111 1111 1111", "card").replace(" ", "") == card
     assert made.dressed(made.of("secret", "abcdefgh", 2), "ABCDefgh", "secret")[:4].isupper()
+
+
+def test_numbers_before_other_numbers():
+    card = "4111 1111 1111 1111"
+    for text, want in (
+        (f"pay {card} 123", ("card", card)),
+        ("4111111111111111 12/27", ("card", "4111111111111111")),
+        ("4111111111111111 20 items", ("card", "4111111111111111")),
+        (f"2024 {card}", ("card", card)),
+        ("ssn 123-45-6789 2024", ("ssn", "123-45-6789")),
+        ("call 555-123-4567 2021", ("phone", "555-123-4567")),
+        ("call +1 555 123 4567 2021 2022", ("phone", "+1 555 123 4567 2021")),  # 15 digits may be a number
+    ):
+        assert want in spans(text), text
+    assert spans("9807915762804490 12") == [] and spans("999.1.2.3") == []
