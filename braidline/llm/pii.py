@@ -44,9 +44,9 @@ _PATTERNS = (
     r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))",
     r"(?P<phone>(?<![\w.])(?:\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w]))",
     r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
-    r"(?P<secret>(?<!\w)(?i:token|api[_-]?key|secret|password|passwd|pwd|access[_-]?key)[ \t]?[=:][ \t]?[\"']?(?P<value>(?=[+/=.~_-]*[^\W_])[\w+/=.~-]{8,512}))",
-    r"(?P<key>(?<!\w)(?i:AKIA|ASIA|ghp_|gho_|sk-|xox[bap]-)(?=[_-]*[^\W_])[\w-]{16,512}(?![\w]))",
-    r"(?P<hex>(?<!\w)(?=[a-fA-F]*\d)(?=\d*[a-fA-F])[0-9a-fA-F]{32,128}(?!\w))",
+    r"(?P<secret>(?<!\w)(?i:token|api[_-]?key|secret|password|passwd|pwd|access[_-]?key)[ \t]?[=:][ \t]?[\"']?(?P<value>(?=[+/=.~_-]*[^\W_])[\w+/=.~-]{8,}))",
+    r"(?P<key>(?<!\w)(?i:AKIA|ASIA|ghp_|gho_|sk-|xox[bap]-)(?=[_-]*[^\W_])[\w-]{16,}(?![\w]))",
+    r"(?P<hex>(?<!\w)(?=[a-fA-F]*\d)(?=\d*[a-fA-F])[0-9a-fA-F]{32,}(?!\w))",
     rf"(?P<person>(?<!\w)(?P<title>{'|'.join(sorted(_GENDER, key=len, reverse=True))})\.? (?P<name>{_NAME}(?: {_NAME}){{0,2}}))",
 )
 KINDS = ("email", "ip", "iban", "card", "phone", "ssn", "secret", "key", "hex", "person")

@@ -42,3 +42,10 @@ def test_numbers_before_other_numbers():
     ):
         assert want in spans(text), text
     assert spans("9807915762804490 12") == [] and spans("999.1.2.3") == []
+
+
+def test_long_secrets_are_found_whole():
+    value, hexadecimal = "aB3" * 300, "0a" * 300
+    assert spans(f"token = {value} end") == [("secret", value)]
+    assert spans(f"AKIA{value}.") == [("key", f"AKIA{value}")]
+    assert spans(f"sum {hexadecimal}.") == [("hex", hexadecimal)]
