@@ -51,6 +51,9 @@ _PATTERNS = (
 )
 KINDS = ("email", "ip", "iban", "card", "phone", "ssn", "secret", "key", "hex", "person")
 _FIND = re.compile("|".join(_PATTERNS))
+#: Words that can hold names, and the ends that do not belong to a name.
+_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’-][^\W\d_]+)*(?!\w)")
+_OWNED = re.compile(r"(?<=\w\w)(?:['’]s|['’-]+)$")
 #: Each kind alone, for places where another's match is rejected.
 _ALONE = dict(zip(KINDS, map(re.compile, _PATTERNS), strict=True))
 #: What may follow numbers whose end is at a choice of spaces.
@@ -98,10 +101,35 @@ def _at(text: str, m: re.Match) -> tuple[re.Match, str] | None:
 def found(text: str) -> Iterator[tuple[int, int, str, str]]:
     """(start, end, kind, entity) of the private strings of a text, in order; the entity is in a form that all its mentions share.
 
-    A person's given and family names are entities of their own, so that a later mention by family name alone agrees.
+    A person's given and family names, as they stand after titles, are entities of their own. Other mentions of these
+    names in the text, before or after, without titles, are mentions of the same entities.
     """
     if not _MAYBE.search(text):
         return
+    direct = list(_direct(text))
+    names: dict[str, str] = {}
+    for _, _, kind, entity in direct:
+        if kind.startswith("name-"):
+            names.setdefault(entity, kind)
+    if not names:
+        yield from direct
+        return
+    plain, at = [], 0  # direct mentions that start before are passed
+    for m in _WORD.finditer(text):
+        while at < len(direct) and direct[at][1] <= m.start():
+            at += 1
+        word = m.group()
+        whole = _OWNED.sub("", word)
+        parts = [(0, whole)] if whole in names else [(x.start(), x.group()) for x in re.finditer(r"[^'’-]+", word)]
+        for start, name in parts:
+            start += m.start()
+            if name in names and not any(s < start + len(name) and start < e for s, e, _, _ in direct[at : at + len(word)]):
+                plain.append((start, start + len(name), names[name], name))
+    yield from sorted(direct + plain) if plain else direct
+
+
+def _direct(text: str) -> Iterator[tuple[int, int, str, str]]:
+    """found(), without the names that stand without titles."""
     at = 0
     while m := _FIND.search(text, at):
         place = _at(text, m)
@@ -114,8 +142,8 @@ def found(text: str) -> Iterator[tuple[int, int, str, str]]:
             gender, start = _GENDER[m["title"]], m.start("name")
             names = list(re.finditer(_NAME, m["name"]))
             for i, n in enumerate(names):
-                role = "s" if i == len(names) - 1 else gender
-                yield start + n.start(), start + n.end(), f"name-{role}-{_script(n.group())}", n.group()
+                role, name = "s" if i == len(names) - 1 else gender, _OWNED.sub("", n.group())
+                yield start + n.start(), start + n.start() + len(name), f"name-{role}-{_script(name)}", name
             continue
         if kind == "secret":
             yield m.start("value"), m.end("value"), "secret", m["value"].lower()
@@ -250,7 +278,8 @@ def pseudonymized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """docs with every detected entity of the text column replaced by its surrogate, and n_entities, the mentions replaced.
 
     Found are e-mail and IPv4 addresses, phone, card, bank account and social security numbers, keys and secrets, and
-    names after titles. The same entity has the same surrogate in all documents, under the key; different ones have
+    names after titles, with all other mentions of these names in the same document. Not found are the names of people
+    whom a document never gives a title. The same entity has the same surrogate in all documents, under the key; different ones have
     different surrogates, none of which is an entity of the corpus: redrawn() checks all distinct entities and has
     colliding ones drawn again, in longer forms if need be. A surrogate keeps the type, length (but for those) and separators (numbers), the case, the script and the
     gender (names), and validity of check digits (cards).

@@ -49,3 +49,14 @@ def test_long_secrets_are_found_whole():
     assert spans(f"token = {value} end") == [("secret", value)]
     assert spans(f"AKIA{value}.") == [("key", f"AKIA{value}")]
     assert spans(f"sum {hexadecimal}.") == [("hex", hexadecimal)]
+
+
+def test_plain_mentions_of_titled_names(spark):
+    text = "Keller came. Dr. Anna Keller said: Anna Keller's car, Keller-Smith, Kellerman, KELLER, keller@x.org; Mr. Smith's Keller."
+    names = [(text[s:e], k) for s, e, k, _ in pii.found(text) if k.startswith("name-")]
+    assert [n for n, _ in names] == ["Keller", "Anna", "Keller", "Anna", "Keller", "Keller", "Smith", "Smith", "Keller"]
+    assert len(set(names)) == 3
+    assert spans("Keller and Anna Keller came, 1 time") == []
+    out = pii.pseudonymized(spark.createDataFrame([(1, text), (2, "Keller 1")], "doc_id long, text string")).orderBy("doc_id").collect()
+    first = out[0].text.split()[0]
+    assert out[0].text.count(first) == 5 and "Keller " not in out[0].text and "Anna" not in out[0].text and out[1].text == "Keller 1"
