@@ -199,6 +199,12 @@ def q10_components(spark: SparkSession, d: str) -> DataFrame:
     return graph.connected_components(_lines(spark, d).where("l_quantity >= 50").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey")).alias("dst")))
 
 
+@query()
+def q10_components_all(spark: SparkSession, d: str) -> DataFrame:
+    """Components of the graph of all orders and parts, without a filter of lines; held against union-find, as q10_components has the SQL."""
+    return graph.connected_components(_lines(spark, d).select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey")).alias("dst")))
+
+
 @query("""SELECT l_orderkey AS o, count(*)::BIGINT AS n FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size <= 40) ON l_partkey = p_partkey GROUP BY 1 HAVING count(p_partkey) = count(*)""")
 def q10_subgraph_paths(spark: SparkSession, d: str) -> DataFrame:
     """Paths all of whose vertices are in a part of the graph."""
