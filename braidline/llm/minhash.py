@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from .text import shingle_hashes, words
+from .text import with_shingle_hashes, words
 
 SHINGLE = 5
 #: 2**BIN_BITS bins; of each bin's minimum the low LOW_BITS are stored, as two hexadecimal digits.
@@ -27,11 +27,12 @@ def with_fingerprint(df: DataFrame, text: str, out: str, shingle: int = SHINGLE)
     for all texts. Texts of fewer words than a shingle have one shingle, all their words; those without words, an empty
     one. Nulls are empty texts.
     """
-    w, h, s, m, f = (f"_{out}_{x}" for x in "whsmf")
+    w, h, g, s, m, f = (f"_{out}_{x}" for x in "whgsmf")
     df = df.withColumn(w, words(F.coalesce(F.col(text), F.lit(""))))
     df = df.withColumn(h, F.transform(w, lambda x: F.xxhash64(x)))
     whole = F.array(F.xxhash64(F.array_join(w, " ")))
-    df = df.withColumn(s, F.sort_array(F.when(F.size(h) < shingle, whole).otherwise(shingle_hashes(F.col(h), shingle))))
+    df = with_shingle_hashes(df, h, shingle, g)
+    df = df.withColumn(s, F.sort_array(F.when(F.size(h) < shingle, whole).otherwise(F.transform(g, lambda x: F.xxhash64(x)))))
     sorted_ = F.col(s)
     df = df.withColumn(m, F.filter(sorted_, lambda x, i: (i == 0) | (F.shiftright(x, _REST) != F.shiftright(sorted_[F.greatest(i - 1, F.lit(0))], _REST))))
     minima = F.col(m)
@@ -43,7 +44,7 @@ def with_fingerprint(df: DataFrame, text: str, out: str, shingle: int = SHINGLE)
 
     df = df.withColumn(f, F.sort_array(F.concat(minima, F.transform(empty, filled))))
     low = F.transform(f, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit((1 << LOW_BITS) - 1))), 2, "0"))
-    return df.withColumn(out, F.lower(F.array_join(low, ""))).drop(w, h, s, m, f)
+    return df.withColumn(out, F.lower(F.array_join(low, ""))).drop(w, h, g, s, m, f)
 
 
 def likeness(a: str, b: str) -> Column:

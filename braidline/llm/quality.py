@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut
-from .text import SPACE, shingle_hashes, words
+from .text import with_shingle_hashes, words
 
 #: The base rules: fewest words, and the most words, in percent, inside repeated windows of so many words.
 LEAST_WORDS, MOST_REPEATED, REPEAT_WINDOW = 20, 30, 8
@@ -24,8 +24,8 @@ MOST_CLASS_DISTANCE, MOST_WORD_DISTANCE = 0.25, 0.35
 LEAST_CHARS, LEAST_JUDGED_WORDS = 400, 60
 
 
-def _repeat_words(h: str) -> Column:
-    """Words inside windows of REPEAT_WINDOW words that the text has at least twice; h: the words' hashes.
+def _repeat_words() -> Column:
+    """Words inside windows of REPEAT_WINDOW words that the text has at least twice, from the column _windows of their hashes.
 
     Only texts with a repeated window pay for more than a count of distinct ones: their windows are sorted by hash, the
     repeated ones put in the order of their starts, and each adds the words up to the next.
@@ -41,42 +41,57 @@ def _repeat_words(h: str) -> Column:
     return F.expr(f"if(size({w}) = size(array_distinct({w})), 0L, {covered})")
 
 
-def _histograms(df: DataFrame) -> DataFrame:
-    """Adds classes and common: the counts of the text's character classes, and of its language's common words, of words without a letter or digit, and of all others."""
-    counts = [F.regexp_count("text", F.lit(p)) for p in CLASSES.values()]
-    df = df.withColumn("_counts", F.array(*counts))
-    total = F.aggregate("_counts", F.lit(0), lambda n, x: n + x)
-    df = df.withColumn("classes", F.concat("_counts", F.array(F.length("text") - total)))
-    lists = F.create_map(*[x for lang, ws in COMMON_WORDS.items() for x in (F.lit(lang), F.array(*map(F.lit, ws)))])
-    df = df.withColumn("_list", F.coalesce(lists[F.coalesce("lang", F.lit(""))], F.array().cast("array<string>")))
-    df = df.withColumn("_found", F.filter(F.transform("_words", lambda w: F.lower(w)), lambda w: F.array_contains("_list", w)))
-    each = F.transform("_list", lambda c: F.size(F.filter("_found", lambda w: w == c)))
+def _counted_classes(df: DataFrame) -> DataFrame:
+    """Adds classes, the counts of the text's character classes, and what is left over.
+
+    A class's runs are taken out, then the next one's from what is left: the first takes most of a text, run by run,
+    and the others go over little.
+    """
+    left, counts = "text", []
+    for name, pattern in CLASSES.items():
+        df = df.withColumn(f"_without_{name}", F.regexp_replace(left, f"{pattern}+", ""))
+        counts.append(F.length(left) - F.length(f"_without_{name}"))
+        left = f"_without_{name}"
+    return df.withColumn("classes", F.array(*counts, F.length(left)))
+
+
+def _counted_words(df: DataFrame) -> DataFrame:
+    """Adds common: the counts of each of the language's common words, of words without a letter or digit, and of all others."""
+    listed = {lang: ", ".join(f"'{w}'" for w in ws) for lang, ws in COMMON_WORDS.items()}
+    found = " ".join(f"when '{lang}' then filter(transform(_words, w -> lower(w)), w -> w in ({ws}))" for lang, ws in listed.items())
+    df = df.withColumn("_found", F.expr(f"case lang {found} else cast(array() as array<string>) end"))
+    # each found word between spaces of its own: taking one word out shortens the whole by its bytes
+    df = df.withColumn("_line", F.expr("concat(' ', array_join(_found, '  '), ' ')"))
+    count = lambda w: f"(octet_length(_line) - octet_length(replace(_line, ' {w} ', ''))) div {len(w.encode()) + 2}"
+    each = " ".join(f"when '{lang}' then array({', '.join(map(count, ws))})" for lang, ws in COMMON_WORDS.items())
+    df = df.withColumn("_each", F.expr(f"cast(case lang {each} else cast(array() as array<bigint>) end as array<int>)"))
     bare = F.size(F.filter("_words", lambda w: ~w.rlike(r"[\p{L}\p{N}]")))
-    return df.withColumn("_bare", bare).withColumn("common", F.concat(each, F.array("_bare", F.size("_words") - F.size("_found") - F.col("_bare"))))
+    df = df.withColumn("_bare", bare)
+    return df.withColumn("common", F.concat("_each", F.array("_bare", F.size("_words") - F.size("_found") - F.col("_bare"))))
 
 
 def features(docs: DataFrame) -> DataFrame:
     """doc_id, lang, the contract's counts, and both histograms, of every row. docs: doc_id, lang, text (no nulls)."""
     df = docs.withColumn("_words", words(F.col("text")))
-    df = df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
-    df = df.withColumn("_windows", shingle_hashes(F.col("_hashes"), REPEAT_WINDOW)).where("true")
+    df = with_shingle_hashes(df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))), "_hashes", REPEAT_WINDOW, "_windows")
     df = df.withColumn("_lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    df = _histograms(df)
+    df = _counted_words(_counted_classes(df))
+    of_class = {c: F.col("classes")[i].cast("long") for i, c in enumerate(CLASSES)}
     return df.select(
         *docs.columns,
         F.size("_words").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
-        F.col("_counts")[list(CLASSES).index("symbol")].cast("long").alias("n_symbols"),
+        (F.length("text") - of_class["space"]).cast("long").alias("word_chars"),
+        of_class["symbol"].alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words("_hashes").cast("long").alias("n_repeat_words"),
+        _repeat_words().cast("long").alias("n_repeat_words"),
         "classes",
         "common",
     )
 
 
 def _share(histogram: str) -> Column:
-    total = F.aggregate(histogram, F.lit(0), lambda n, x: n + x)
-    return F.transform(histogram, lambda x: F.when(total > 0, x / total).otherwise(F.lit(0.0)))
+    """Each count's share of their total, which is the column of that name after "_all_"."""
+    return F.transform(histogram, lambda x: F.when(F.col(f"_all_{histogram}") > 0, x / F.col(f"_all_{histogram}")).otherwise(F.lit(0.0)))
 
 
 def _js_distance(p: str, q: str) -> Column:
@@ -94,7 +109,9 @@ def _own(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFram
 
 def _shares(made: DataFrame) -> DataFrame:
     made = made.withColumn("base_failed", F.expr(f"n_words < {LEAST_WORDS} or 100 * n_repeat_words > {MOST_REPEATED} * n_words"))
-    return made.withColumn("classes", _share("classes")).withColumn("common", _share("common"))
+    for histogram in ("classes", "common"):
+        made = made.withColumn(f"_all_{histogram}", F.aggregate(histogram, F.lit(0), lambda n, x: n + x)).withColumn(histogram, _share(histogram))
+    return made.drop("_all_classes", "_all_common")
 
 
 def references(made: DataFrame) -> DataFrame:
