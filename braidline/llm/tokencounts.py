@@ -3,88 +3,131 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterator, Sequence
+from itertools import accumulate
 from operator import itemgetter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import BYTE_PIECES, SAFE, SPECIAL, Chunks, Kept, as_symbols, in_slices, once
+from ..runtime import cut
+from .chunks import BYTE_PIECES, BYTE_SYMBOLS, SAFE, SPECIAL, Chunks, Kept, in_slices, once
 
 LIMIT = 1024
-_TOTAL = itemgetter(0)
+_TOTAL, _COUNTS = itemgetter(0), itemgetter(1)
 #: A single space between non-spaces: also every prefix is cut there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_PLAIN = re.compile(r" ?[^\s']+").fullmatch
-#: Symbols of the longest prefix that is kept.
-_SHORT = 24
-#: Prefixes kept, at most.
-_PREFIXES = 500_000
+#: A SAFE word without an apostrophe, or a sign with which special strings begin.
+_PLAIN = re.compile(r" ?[!-&(-;=-~À-ÖØ-öø-ÿ]+").fullmatch
+#: Entries of each kept table, at most.
+_KEPT = 300_000
+#: Stands for no token.
+_NONE = 0xFFFFFFFF
 _RUNS = re.compile(r"\s+")
 #: Contractions that are pieces of their own, but whose first two characters are not.
 _CONTRACTIONS = {"'re", "'ve", "'ll"}
 
 
+def _packed(counts: list[int]) -> Sequence[int]:
+    """Small counts as bytes, which take little memory and are joined at once."""
+    try:
+        return bytes(counts)
+    except ValueError:
+        return tuple(counts)
+
+
 class PrefixCounts:
     """Token counts of every prefix under a byte-level BPE file.
 
-    Over a piece (the pre-tokenizer's unit) the table runs from left to right: the encoding of a prefix ends in the one
-    token t for which the encoding of the rest ends in a token that stays apart from t, so its count is the rest's count
-    plus one. The table is kept by prefix, so pieces that begin alike
-    share it; counts are also kept by piece and by chunk, and a text's counts are the running sums.
+    Over a piece (the pre-tokenizer's unit) the table runs from left to right, token by token of its encoding. At a
+    token's end the count is that of the tokens so far. Inside a token it is theirs plus that of the token's own
+    beginning, if that beginning's first token stays apart from the token before; such tables are kept by pairs of
+    tokens. Where it does not, the encoding of the prefix ends in the one token t for which the encoding of the rest
+    ends in a token that stays apart from t, and the count is the rest's count plus one. Whether two tokens stay apart is
+    decided once for each pair, by the merge ranks (ids are in the order of the merges). Counts are also kept by piece
+    and by chunk, and a text's counts are the running sums.
     Where a prefix divides otherwise than the whole text (white space before a word, contractions, special strings), the
     count is that of the prefix's own division.
     """
 
     def __init__(self, path: str):
+        from public_tokenizers import PATTERN
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        self.vocabulary = set(self.tokenizer.get_vocab(with_added_tokens=False))
-        #: What tokens end in: no token ends in anything longer than the first end that is not here.
-        self.suffixes = {t[i:] for t in self.vocabulary for i in range(len(t))}
+        byte = {symbol: b for b, symbol in BYTE_SYMBOLS.items()}
+        self.ids = {bytes(byte[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
+        self.tokens = {i: t for t, i in self.ids.items()}
         self.special = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
-        self.apart = Kept(lambda ab: [t.value for t in self.model.tokenize(ab[0] + ab[1])] == [*filter(None, ab)], 300_000)
-        self.pieces = Kept(self._piece, 300_000)
-        #: By short prefix of a piece: the counts along it and its last token.
-        self.prefixes: dict[str, tuple[tuple[int, ...], str]] = {"": ((), "")}
+        self.merged, tokens = Encoding("ranks", pat_str=PATTERN, mergeable_ranks=self.ids, special_tokens={})._core_bpe.encode_single_piece, self.tokens
+        #: By both ids, in one number.
+        self.apart = Kept(lambda pair: self.merged(tokens[pair >> 32] + tokens[pair & 0xFFFFFFFF]) == [pair >> 32, pair & 0xFFFFFFFF])
+        #: The encodings of tokens' own beginnings, and the tables of tokens after others.
+        self.starts = Kept(self.merged, _KEPT)
+        self.within = Kept(self._within, _KEPT)
+        self.pieces = Kept(self._piece, _KEPT)
         self.chunks = Chunks(self._make, _CUT)
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _within(self, pair: int) -> tuple[bytes | None, list[int], list[int]]:
+        """(counts, the same with 0 where undecided, last tokens) of the prefixes of a token's bytes, the whole included, after another token (_NONE: after nothing).
+
+        A prefix's own encoding stands after the other token as it is if its first token stays apart from that one; else
+        the prefix is undecided.
+        """
+        before, token = pair >> 32, pair & 0xFFFFFFFF
+        s, counts, last = self.tokens[token], [], []
+        for i in range(1, len(s)):
+            ids = self.starts[s[:i]]
+            fits = before == _NONE or self.apart[before << 32 | ids[0]]
+            counts.append(len(ids) if fits else 0)
+            last.append(ids[-1])
+        counts, last = [*counts, 1], [*last, token]
+        return bytes(counts) if all(counts) else None, counts, last
+
+    def _piece(self, piece: str) -> Sequence[int]:
         """Counts after each of the piece's characters."""
-        s = as_symbols(piece)
-        n = len(s)
-        if len(self.prefixes) > _PREFIXES:
-            self.prefixes = {"": ((), "")}
-        known, vocabulary, suffixes, apart = self.prefixes, self.vocabulary, self.suffixes, self.apart
-        done = n if n <= _SHORT else 0
-        while s[:done] not in known:
-            done -= 1
-        counts = [0, *known[s[:done]][0]]
-        last = [""] * (done + 1)
-        if done < n:
-            last = [known[s[:j]][1] for j in range(done + 1)] if done else [""]
-        for i in range(done + 1, n + 1):
-            start = i - 1
-            while (t := s[start:i]) in suffixes:
-                if t in vocabulary and apart[last[start], t]:
-                    break
-                start -= 1
+        s = piece.encode()
+        within, base, before = self.within, 0, _NONE
+        tokens = self.merged(s)
+        out, decided = [], True
+        for t in tokens:
+            counts, unsure, _ = within[before << 32 | t]
+            if counts is None:
+                decided, counts = False, unsure
+                out += [c and base + c for c in counts]
             else:
-                raise ValueError(f"the vocabulary cannot write {piece!r}")
-            counts.append(counts[start] + 1)
-            last.append(t)
-            if i <= _SHORT:
-                known[s[:i]] = tuple(counts[1:]), t
-        if n == len(piece):
-            return tuple(counts[1:])
-        return tuple([counts[e] for e in np.cumsum([len(c.encode()) for c in piece]).tolist()])
+                out += [base + c for c in counts] if base else counts
+            base, before = base + 1, t
+        if not decided:
+            self._decide(s, tokens, out)
+        if len(s) == len(piece):
+            return _packed(out)
+        return _packed([out[e - 1] for e in accumulate([len(c.encode()) for c in piece])])
+
+    def _decide(self, s: bytes, encoded: list[int], counts: list[int]) -> None:
+        """Puts in the counts of the prefixes of s that are undecided (0), from left to right."""
+        ids, apart = self.ids, self.apart
+        last, before = [], _NONE
+        for t in encoded:
+            last += self.within[before << 32 | t][2]
+            before = t
+        for i in [i for i, c in enumerate(counts, 1) if not c]:
+            # most often the last token has grown by a byte, or begins there or shortly before
+            grown = i - 1 - len(self.tokens[last[i - 2]])
+            start, step = grown, i - 1
+            while (t := ids.get(s[start:i])) is None or start and not apart[last[start - 1] << 32 | t]:
+                if step == grown:
+                    step -= 1
+                if step < 0:
+                    raise ValueError(f"the vocabulary cannot write {s!r}")
+                start, step = step, step - 1
+            counts[i - 1], last[i - 1] = (counts[start - 1] if start else 0) + 1, t
 
     def _encode(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -115,14 +158,15 @@ class PrefixCounts:
             out += [(out[-1] if out else 0) + c for c in self.pieces[piece]]
         return out
 
-    def of_chunk(self, text: str) -> list[int]:
-        if _PLAIN(text) and SAFE(text) and SPECIAL not in text:
-            first, *rest = BYTE_PIECES(text)
-            out = [*self.pieces[first]]
-            for piece in rest:
-                base = out[-1]
+    def of_chunk(self, text: str) -> Sequence[int]:
+        if _PLAIN(text):
+            if (text[1:] if text[0] == " " else text).isalpha():
+                return self.pieces[text]
+            out: list[int] = []
+            for piece in BYTE_PIECES(text):
+                base = out[-1] if out else 0
                 out += [base + c for c in self.pieces[piece]]
-            return out
+            return _packed(out)
         out, base, at = [], 0, 0
         while at < len(text):
             found = min(((i, -len(s), s) for s in self.special if (i := text.find(s, at)) >= 0), default=None)
@@ -137,72 +181,91 @@ class PrefixCounts:
                 at = stop
             else:
                 at = end
-        return out
+        return _packed(out)
 
-    def _make(self, chunks: list[str]) -> Iterator[tuple[int, tuple[int, ...]]]:
+    def _make(self, chunks: list[str]) -> Iterator[tuple[int, Sequence[int]]]:
         for chunk in chunks:
-            counts = self.of_chunk(chunk) if chunk else [0]
-            yield (self._encode(chunk) if chunk[-1:].isspace() or not chunk else counts[-1]), tuple(counts) if chunk else ()
+            counts = self.of_chunk(chunk) if chunk else b""
+            yield (self._encode(chunk) if chunk[-1:].isspace() or not chunk else counts[-1]), counts
 
-    def totals_and_counts(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, tuple[int, ...]]]]]:
+    def totals_and_counts(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, Sequence[int]]]]]:
         for values in self.chunks.of(texts):
             yield sum(map(_TOTAL, values)), values
 
 
-def whole(values: list[tuple[int, tuple[int, ...]]]) -> np.ndarray:
+def whole(values: list[tuple[int, Sequence[int]]]) -> np.ndarray:
     """The counts of every prefix of a text, the empty one first, from those of its chunks."""
-    totals = np.fromiter((v[0] for v in values), np.int64, len(values))
-    sizes = np.fromiter((len(v[1]) for v in values), np.int64, len(values))
-    counts = np.fromiter(chain.from_iterable(v[1] for v in values), np.int64, int(sizes.sum()))
+    totals = np.fromiter(map(_TOTAL, values), np.int64, len(values))
+    sizes = np.fromiter(map(len, map(_COUNTS, values)), np.int64, len(values))
+    try:
+        counts = np.frombuffer(b"".join(map(_COUNTS, values)), np.uint8).astype(np.int64)
+    except TypeError:  # some are not bytes
+        counts = np.concatenate([np.array([*v[1]], np.int64) for v in values])
     return np.concatenate([np.zeros(1, np.int64), counts + np.repeat(np.cumsum(totals) - totals, sizes)])
 
 
-def longest_fit(values: list[tuple[int, tuple[int, ...]]], limit: int) -> int:
-    """Characters of the longest prefix of at most limit tokens. Inside a chunk counts may fall again, but never below its start's."""
-    base = chars = fit = 0
-    for total, counts in values:
-        if base > limit:
-            break
-        fit = max([fit, *(chars + i for i, c in enumerate(counts, 1) if base + c <= limit)])
-        base += total
-        chars += len(counts)
-    return fit
+def as_steps(counts: np.ndarray) -> bytes:
+    """The steps between the counts, each one byte, or four where that is too little; the first byte tells which."""
+    steps = np.diff(counts)
+    small = not len(steps) or -128 <= steps.min() and steps.max() <= 127
+    return (b"\1" + steps.astype(np.int8).tobytes()) if small else (b"\4" + steps.astype("<i4").tobytes())
 
 
-def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, with_prefixes: bool = False) -> DataFrame:
-    """id column, n_bytes, n_tokens, over_limit (n_tokens > limit), fit_chars (characters of the longest prefix of at most limit tokens).
+def from_steps(steps: bytes) -> np.ndarray:
+    """The counts of every prefix, the empty one first."""
+    return np.concatenate([np.zeros(1, np.int64), np.frombuffer(steps, "<i4" if steps[0] == 4 else np.int8, offset=1).cumsum(dtype=np.int64)])
+
+
+def prefix_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id column, n_bytes and prefix_steps of every row: the exact token count at each prefix of the text, by characters, as as_steps() has it.
 
-    with_prefixes adds prefix_tokens (array<int>): the token count of each prefix, by characters, the empty one first.
-    With it, truncated() and tokens_at() answer later questions without encoding again. Null texts are empty: 0
-    bytes, 0 tokens. Repeated rows give repeated rows, a null id stays null, other columns are dropped.
+    Null texts are empty. Repeated rows give repeated rows, a null id stays null, other columns are dropped.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean, fit_chars long" + ", prefix_tokens array<int>" * with_prefixes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = once(PrefixCounts, tokenizer)
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for s in in_slices(texts):
-                n, fit, stored = [], [], []
-                for text, (total, values) in zip(texts[s], counter.totals_and_counts(texts[s]), strict=True):
-                    n.append(total)
-                    fit.append(longest_fit(values, limit) if total > limit else len(text))
-                    if with_prefixes:
-                        stored.append(whole(values).astype(np.int32))
-                columns = [batch.column(0)[s], pa.array([len(t.encode()) for t in texts[s]], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_()), pa.array(fit, pa.int64())]
-                if with_prefixes:
-                    columns.append(pa.array(stored, pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars", "prefix_tokens"][: len(columns)])
+                steps = []
+                for total, values in counter.totals_and_counts(texts[s]):
+                    counts = whole(values)
+                    counts[-1] = total
+                    steps.append(as_steps(counts))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[s], pa.array([len(t.encode()) for t in texts[s]], pa.int64()), pa.array(steps, pa.binary())], names=[id_col, "n_bytes", "prefix_steps"])
 
-    return docs.select(id_col, F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, prefix_steps binary")
 
 
-def truncated(counted: DataFrame, limit: int, prefix_col: str = "prefix_tokens", out_col: str = "fit_chars") -> DataFrame:
+def truncated(counted: DataFrame, limit: int, steps_col: str = "prefix_steps", out_col: str = "fit_chars") -> DataFrame:
     """Adds the characters of the longest prefix of at most limit tokens, from the stored counts alone."""
-    return counted.withColumn(out_col, F.expr(f"cast(array_max(transform(`{prefix_col}`, (c, i) -> if(c <= {int(limit)}, i, 0))) as long)"))
 
+    @F.pandas_udf("long")
+    def fit(steps: pd.Series) -> pd.Series:
+        return pd.Series([np.flatnonzero(from_steps(x) <= limit)[-1] for x in steps], dtype="int64")
 
-def tokens_at(counted: DataFrame, chars: int, prefix_col: str = "prefix_tokens", out_col: str = "tokens_at") -> DataFrame:
+    return counted.withColumn(out_col, fit(steps_col))
+
+
+def tokens_at(counted: DataFrame, chars: int, steps_col: str = "prefix_steps", out_col: str = "tokens_at") -> DataFrame:
     """Adds the token count of the first chars characters (of the whole text where it is shorter), from the stored counts alone."""
-    return counted.withColumn(out_col, F.expr(f"element_at(`{prefix_col}`, least({int(chars)}, size(`{prefix_col}`) - 1) + 1)"))
+
+    @F.pandas_udf("long")
+    def at(steps: pd.Series) -> pd.Series:
+        return pd.Series([c[min(chars, len(c) - 1)] for c in map(from_steps, steps)], dtype="int64")
+
+    return counted.withColumn(out_col, at(steps_col))
+
+
+def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, with_prefixes: bool = False) -> DataFrame:
+    """id column, n_bytes, n_tokens, over_limit (n_tokens > limit), fit_chars (characters of the longest prefix of at most limit tokens).
+
+    prefix_counts() are written to the shared folder, and all answers come from there. with_prefixes adds prefix_steps,
+    with which truncated() and tokens_at() answer later questions without encoding again. Null texts are empty: 0
+    bytes, 0 tokens. Repeated rows give repeated rows, a null id stays null, other columns are dropped; an empty table
+    gives no rows. A text of any length is counted whole.
+    """
+    stored = cut(prefix_counts(docs, tokenizer, id_col, text_col))
+    counted = truncated(tokens_at(stored, 1 << 62, out_col="n_tokens"), limit).withColumn("over_limit", F.col("n_tokens") > limit)
+    return counted.select(id_col, "n_bytes", "n_tokens", "over_limit", "fit_chars", *["prefix_steps"] * with_prefixes)
