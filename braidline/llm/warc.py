@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 
-from ..runtime import shared_dir, ship
+from ..runtime import cut, shared_dir, ship
+from .skew import with_groups
 
 SCHEMA = T.StructType([T.StructField(n, t) for n, t in (("record_type", T.StringType()), ("record_id", T.StringType()), ("target_uri", T.StringType()), ("payload_digest", T.StringType()), ("refers_to", T.StringType()), ("payload_bytes", T.LongType()), ("payload", T.BinaryType()))])
-#: A file's bytes, about, from which a writer begins another; the deflate level; the bytes read, and inflated for headers, at a time.
-FILE_BYTES, LEVEL, BLOCK, HEAD = 256 << 20, 1, 1 << 20, 4096
-MANIFEST = "_files.json"
+#: A file's bytes, about, from which a writer begins another; the deflate level; the bytes read, and inflated, at a time.
+FILE_BYTES, LEVEL, BLOCK, PIECE = 256 << 20, 1, 1 << 20, 4096
+#: How the names of manifests, and of archives that a manifest has to name, begin.
+MANIFEST, PART = "_commit-", "part-"
 #: WARC header fields by column.
 _FIELDS = {"record_type": "warc-type", "record_id": "warc-record-id", "target_uri": "warc-target-uri", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 #: Magic, method and flags; time; extra flags and system; length of the extra field; its name, length, and the two lengths.
@@ -74,11 +76,40 @@ class _Written(WriterCommitMessage):
     files: list
 
 
+def _names(fs, root: str) -> list[str]:
+    from pyarrow.fs import FileSelector, FileType
+
+    return sorted(x.base_name for x in fs.get_file_info(FileSelector(root, allow_not_found=True)) if x.type == FileType.File)
+
+
+def archives(path: str) -> list[str]:
+    """The archives that count in a folder (or the one file itself): those that a commit names and no later one replaces, and those of others."""
+    from pyarrow.fs import FileType
+
+    fs, root = filesystem(path)
+    if fs.get_file_info(root).type == FileType.File:
+        return [root]
+    names, kept, gone = _names(fs, root), [], set()
+    for m in names:
+        if m.startswith(MANIFEST):
+            with fs.open_input_stream(posixpath.join(root, m)) as f:
+                told = json.loads(f.read())
+            gone |= set(told["replaces"])
+            kept.append((m, told["files"]))
+    own = [x for m, files in kept if m not in gone for x in files]
+    others = [x for x in names if x.endswith((".warc", ".warc.gz")) and not x.startswith(PART) and x not in gone]
+    return [posixpath.join(root, x) for x in sorted({*own, *others})]
+
+
 class WarcWriter(DataSourceArrowWriter):
-    """Each task writes files of its own name; the commit names those of the tasks that counted in a manifest."""
+    """Each task writes files of its own name; each commit names those of the tasks that counted in a manifest of its own.
+
+    Appends add up. With overwrite the manifest also names all that it replaces, so that readers see the old archives or
+    the new ones; then the old ones are deleted.
+    """
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = filesystem(self.path)
@@ -89,7 +120,7 @@ class WarcWriter(DataSourceArrowWriter):
                 if out is None or size > FILE_BYTES:
                     if out is not None:
                         out.close()
-                    files.append(f"part-{uuid.uuid4().hex}.warc.gz")
+                    files.append(f"{PART}{uuid.uuid4().hex}.warc.gz")
                     out, size = fs.open_output_stream(posixpath.join(root, files[-1]), compression=None), 0
                 data = member(record(row))
                 out.write(data)
@@ -101,8 +132,12 @@ class WarcWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         fs, root = filesystem(self.path)
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(posixpath.join(root, MANIFEST)) as f:
-            f.write(json.dumps(sorted(x for m in messages if m for x in m.files)).encode())
+        new = sorted(x for m in messages if m for x in m.files)
+        old = [x for x in _names(fs, root) if x not in new and (x.startswith(MANIFEST) or x.endswith((".warc", ".warc.gz")))] if self.overwrite else []
+        with fs.open_output_stream(posixpath.join(root, f"{MANIFEST}{uuid.uuid4().hex}.json")) as f:
+            f.write(json.dumps({"files": new, "replaces": old}).encode())
+        for x in old:
+            fs.delete_file(posixpath.join(root, x))
 
     def abort(self, messages: list) -> None:
         fs, root = filesystem(self.path)
@@ -111,13 +146,110 @@ class WarcWriter(DataSourceArrowWriter):
                 fs.delete_file(posixpath.join(root, x))
 
 
+class _Window:
+    """A file's bytes by place, through one buffer that moves forward; what is passed over is not read."""
+
+    def __init__(self, f):
+        self.f, self.end, self.base, self.data = f, f.size(), 0, b""
+
+    def at(self, place: int, n: int) -> bytes:
+        """The n bytes from a place on; fewer at the file's end."""
+        have = self.base + len(self.data)
+        if place < self.base or place + n > have and have < self.end:
+            kept = self.data[place - self.base :] if self.base <= place < have else b""
+            self.f.seek(place + len(kept))
+            self.data, self.base = kept + self.f.read(min(max(BLOCK, n), self.end - place) - len(kept)), place
+        return self.data[place - self.base : place - self.base + n]
+
+
+class _Plain:
+    """The content of an archive that is not compressed."""
+
+    next: int | None = None
+
+    def __init__(self, window: _Window, place: int):
+        self.window, self.place = window, place
+
+    def peek(self, n: int) -> bytes:
+        return self.window.at(self.place, n)
+
+    def drop(self, n: int) -> None:
+        self.place = min(self.place + n, self.window.end)
+
+
+class _Member:
+    """The content of a gzip member, inflated as far as it is asked for. next: where the following member begins, if the header says so."""
+
+    def __init__(self, window: _Window, place: int):
+        head = window.at(place, _GZIP.size)
+        self.window, self.place = window, place
+        told = len(head) == _GZIP.size and head[3] & 4 and head[12:14] == b"sl"
+        self.next = place + struct.unpack_from("<I", head, 16)[0] if told else None
+        self.inflate, self.text = zlib.decompressobj(31), bytearray()
+
+    def peek(self, n: int) -> bytes:
+        while len(self.text) < n and not self.inflate.eof:
+            data = self.window.at(self.place, max(PIECE, min(BLOCK, (n - len(self.text)) // 8)))
+            if not data:
+                raise ValueError("the archive ends inside a record")
+            self.text += self.inflate.decompress(data)
+            self.place += len(data) - len(self.inflate.unused_data)
+        return bytes(self.text[:n])
+
+    def drop(self, n: int) -> None:
+        while n > len(self.text):
+            n -= len(self.text)
+            self.text.clear()
+            if not self.peek(1):
+                return
+        del self.text[:n]
+
+
+_BLANK = b"\r\n\0"
+
+
+def _head(content) -> bytes | None:
+    """Takes a header up to its empty line from the content; None at the content's end."""
+    while (first := content.peek(1)) and first in _BLANK:
+        content.drop(1)
+    n = PIECE
+    while (end := (text := content.peek(n)).find(b"\r\n\r\n")) < 0 and len(text) == n:
+        n *= 2
+    if end < 0:
+        if text:
+            raise ValueError("the archive ends inside a header")
+        return None
+    content.drop(end + 4)
+    return text[:end]
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """A header's fields by lower-case name; further lines of a field are joined to it."""
+    lines: list[str] = []
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and lines:
+            lines[-1] += " " + line.strip()
+        else:
+            lines.append(line)
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+
+
+def _number(x: str | None) -> int | None:
+    return int(x) if x and x.isascii() and x.isdigit() else None
+
+
 @dataclass
 class _File(InputPartition):
     path: str
 
 
 class WarcReader(DataSourceReader):
-    """A partition for each file. Filters on the header columns are taken over; a record's headers are inflated first, and its payload only if they pass and the schema asks for it."""
+    """A partition for each file. Filters on the header columns are taken over; a record's headers are inflated first, and its payload only if they pass and the schema asks for it.
+
+    Read are archives of gzip members (with or without lengths to skip by, of one record or several) and uncompressed ones. The payload is what
+    follows the HTTP header in a block of HTTP, and the whole block of any other kind; payload_bytes is its length, but
+    a revisit's is what its HTTP header says, null if it says nothing.
+    """
 
     def __init__(self, path: str, schema: T.StructType):
         self.path, self.schema, self.tests = path, schema, []
@@ -131,15 +263,7 @@ class WarcReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[InputPartition]:
-        from pyarrow.fs import FileSelector, FileType
-
-        fs, root = filesystem(self.path)
-        known = posixpath.join(root, MANIFEST)
-        if fs.get_file_info(known).type == FileType.File:
-            with fs.open_input_stream(known) as f:
-                names = json.loads(f.read())
-            return [_File(posixpath.join(root, x)) for x in names]
-        return [_File(x.path) for x in fs.get_file_info(FileSelector(root)) if x.type == FileType.File and ".warc" in x.base_name]
+        return [_File(x) for x in archives(self.path)]
 
     def _passes(self, values: dict) -> bool:
         for f in self.tests:
@@ -153,63 +277,56 @@ class WarcReader(DataSourceReader):
         if partition is None:  # no files
             return
         fs, _ = filesystem(self.path)
-        names = self.schema.names
         with fs.open_input_file(partition.path) as f:
-            end = f.size()
-            at = 0
-            while at < end:
-                values, at = self._record(f, at, end, "payload" in names)
-                if values is not None:
+            yield from self.rows(f)
+
+    def rows(self, f) -> Iterator[tuple]:
+        """The records of an open archive that pass."""
+        names, window, at = self.schema.names, _Window(f), 0
+        while at < window.end:
+            first = window.at(at, 2)
+            if first[:1] in (b"\r", b"\n", b"\0"):
+                at += 1
+                continue
+            content = _Member(window, at) if first == b"\x1f\x8b" else _Plain(window, at)
+            while (head := _head(content)) is not None:
+                fields = _fields(head)
+                values = {c: fields.get(k) for c, k in _FIELDS.items()}
+                if values["payload_digest"]:
+                    values["payload_digest"] = values["payload_digest"].removeprefix("sha1:")
+                length = int(fields["content-length"])
+                if self._passes(values):
+                    values |= self._payload(content, fields, length, "payload" in names)
                     yield tuple(values.get(n) for n in names)
-
-    def _record(self, f, at: int, end: int, with_payload: bool) -> tuple[dict | None, int]:
-        """The values of the record at a place, None if filters reject it, and the place of the next."""
-        f.seek(at)
-        data = f.read(min(BLOCK, end - at))
-        inflate = zlib.decompressobj(31)
-        text = inflate.decompress(data, HEAD)
-        fed = len(data)
-
-        def more(most: int) -> bytes:
-            nonlocal fed
-            got = b""
-            while not got and not inflate.eof:
-                left = inflate.unconsumed_tail
-                if not left:
-                    left = f.read(min(BLOCK, end - at - fed))
-                    fed += len(left)
-                    if not left:
-                        raise ValueError("the archive ends inside a record")
-                got = inflate.decompress(left, most)
-            return got
-
-        while b"\r\n\r\n" not in text and (got := more(HEAD)):
-            text += got
-        head, _, block = text.partition(b"\r\n\r\n")
-        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-        fields = {k.lower(): v for k, v in fields.items()}
-        values = {c: fields.get(k) for c, k in _FIELDS.items()}
-        if values["payload_digest"]:
-            values["payload_digest"] = values["payload_digest"].removeprefix("sha1:")
-        skip = len(data) > _GZIP.size and data[3] & 4 and data[12:14] == b"sl" and struct.unpack_from("<I", data, 16)[0]
-        wanted = self._passes(values)
+                elif content.next is None:
+                    content.drop(length)
+                if content.next is not None:
+                    break
+            at = content.place if content.next is None else content.next
+
+    @staticmethod
+    def _payload(content, fields: dict, length: int, wanted: bool) -> dict:
+        """payload_bytes, and payload if wanted, of a block, which is taken from the content (or left there, if the next member's place is known)."""
+        told, revisit = length, fields.get("warc-type") == "revisit"
+        if fields.get("content-type", "").lower().startswith("application/http") and length:
+            n = min(PIECE, length)
+            while (end := content.peek(n).find(b"\r\n\r\n")) < 0 and n < length:
+                n = min(2 * n, length)
+            http = content.peek(n if end < 0 else end)
+            content.drop(length if end < 0 else end + 4)
+            length = 0 if end < 0 else length - end - 4
+            told = _number(_fields(http).get("content-length")) if revisit else length
+        elif revisit:
+            told = None
         if wanted:
-            while b"\r\n\r\n" not in block and (got := more(HEAD)):
-                block += got
-            http, _, payload = block.partition(b"\r\n\r\n")
-            length = next((int(v) for k, _, v in (x.partition(b": ") for x in http.split(b"\r\n")) if k.lower() == b"content-length"), None)
-            values["payload_bytes"] = length
-            if with_payload:
-                parts = [payload]
-                while not inflate.eof and (got := more(BLOCK)):
-                    parts.append(got)
-                size = int(fields["content-length"]) - len(http) - 4
-                values["payload"] = b"".join(parts)[:size]
-        if skip:
-            return values if wanted else None, at + skip
-        while not inflate.eof:
-            more(BLOCK)
-        return values if wanted else None, at + fed - len(inflate.unused_data)
+            payload = content.peek(length)
+            if len(payload) < length:
+                raise ValueError("the archive ends inside a record")
+            content.drop(length)
+            return {"payload_bytes": told, "payload": payload}
+        if content.next is None:
+            content.drop(length)
+        return {"payload_bytes": told}
 
 
 class WarcSource(DataSource):
@@ -224,7 +341,7 @@ class WarcSource(DataSource):
         return WarcReader(self.options["path"], schema)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(self.options["path"])
+        return WarcWriter(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -234,8 +351,6 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcSource)
 
 
-
-
 def record_id(page_id: Column) -> Column:
     """The URN of a page's record: a UUID whose last 16 digits are the page_id's."""
     last = F.lpad(F.lower(F.hex(F.coalesce(page_id, F.lit(0)))), 16, "0")
@@ -260,8 +375,9 @@ def as_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("target_uri"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
     own = own.withColumn("sha1", F.sha1("payload"))
-    repeated = own.where(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null").select("sha1", "last")
-    rows = own.join(repeated, "sha1", "left")
+    large = own.where(F.octet_length("payload") >= least_bytes)
+    repeated = cut(large.groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1 and last is not null"))
+    rows = with_groups(own, repeated, "sha1", ["page_id", "target_uri"], pages.count())
     revisit = F.col("last").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last"))
     return rows.select(
         F.when(revisit, "revisit").otherwise("response").alias("record_type"),
