@@ -16,8 +16,6 @@ from pyspark.sql import types as T
 from ..runtime import cut, is_empty
 from .chunks import Kept
 
-KEY = b"braidline"
-
 #: Titles before names, by the gender that they tell.
 TITLES = {
     "m": ["Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "Don", "господин", "Господин", "г-н", "κύριος", "Κύριος"],
@@ -35,8 +33,10 @@ ENDS = {
     "cyrillic": {"m": ["мир", "слав", "тон"], "f": ["нна", "лия", "рина"], "n": ["рин"], "s": ["ненко", "рук"]},
     "greek": {"m": ["νος", "ρης"], "f": ["νη", "ρία"], "n": ["νις"], "s": ["ράκης", "πουλος"]},
 }
-_GENDER = {t: g for g, ts in TITLES.items() for t in ts}
-_NAME = r"(?:[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’-]{1,30}|[А-ЯЁ][а-яё-]{1,30}|[\u0386-\u038F\u0391-\u03A9][\u03AC-\u03CE-]{1,30})"
+_GENDER = {x: g for g, ts in TITLES.items() for t in ts for x in (t, t.upper())}
+_LATIN, _CYRILLIC, _GREEK = "A-Za-zÀ-ÖØ-öø-ÿ", "А-Яа-яЁё", "\u0386-\u03CE"
+#: A capital, then letters of its script, also capitals and after apostrophes or hyphens.
+_NAME = "(?:" + "|".join(f"[{capital}](?:[{letter}]|['’-](?=[{letter}])){{1,40}}" for capital, letter in (("A-ZÀ-ÖØ-Þ", _LATIN), ("А-ЯЁ", _CYRILLIC), ("\u0386-\u038F\u0391-\u03A9", _GREEK))) + ")"
 _PATTERNS = (
     r"(?P<email>(?<![\w.+@-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))",
     r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))",
@@ -51,9 +51,8 @@ _PATTERNS = (
 )
 KINDS = ("email", "ip", "iban", "card", "phone", "ssn", "secret", "key", "hex", "person")
 _FIND = re.compile("|".join(_PATTERNS))
-#: Words that can hold names, and the ends that do not belong to a name.
-_WORD = re.compile(r"(?<!\w)[^\W\d_]+(?:['’-][^\W\d_]+)*(?!\w)")
-_OWNED = re.compile(r"(?<=\w\w)(?:['’]s|['’-]+)$")
+#: What is replaced of a name: runs of two or more letters, so neither hyphens nor single letters at apostrophes (O'Brien, Keller's).
+_RUN = re.compile(r"[^\W\d_]{2,}")
 #: Each kind alone, for places where another's match is rejected.
 _ALONE = dict(zip(KINDS, map(re.compile, _PATTERNS), strict=True))
 #: What may follow numbers whose end is at a choice of spaces.
@@ -98,38 +97,8 @@ def _at(text: str, m: re.Match) -> tuple[re.Match, str] | None:
     return None
 
 
-def found(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """(start, end, kind, entity) of the private strings of a text, in order; the entity is in a form that all its mentions share.
-
-    A person's given and family names, as they stand after titles, are entities of their own. Other mentions of these
-    names in the text, before or after, without titles, are mentions of the same entities.
-    """
-    if not _MAYBE.search(text):
-        return
-    direct = list(_direct(text))
-    names: dict[str, str] = {}
-    for _, _, kind, entity in direct:
-        if kind.startswith("name-"):
-            names.setdefault(entity, kind)
-    if not names:
-        yield from direct
-        return
-    plain, at = [], 0  # direct mentions that start before are passed
-    for m in _WORD.finditer(text):
-        while at < len(direct) and direct[at][1] <= m.start():
-            at += 1
-        word = m.group()
-        whole = _OWNED.sub("", word)
-        parts = [(0, whole)] if whole in names else [(x.start(), x.group()) for x in re.finditer(r"[^'’-]+", word)]
-        for start, name in parts:
-            start += m.start()
-            if name in names and not any(s < start + len(name) and start < e for s, e, _, _ in direct[at : at + len(word)]):
-                plain.append((start, start + len(name), names[name], name))
-    yield from sorted(direct + plain) if plain else direct
-
-
-def _direct(text: str) -> Iterator[tuple[int, int, str, str]]:
-    """found(), without the names that stand without titles."""
+def _titled(text: str) -> Iterator[tuple[int, int, str, str, str | None]]:
+    """(start, end, kind, entity, role) of what stands out by itself; role: of names given and gender (m, f, n), or family and gender."""
     at = 0
     while m := _FIND.search(text, at):
         place = _at(text, m)
@@ -142,15 +111,55 @@ def _direct(text: str) -> Iterator[tuple[int, int, str, str]]:
             gender, start = _GENDER[m["title"]], m.start("name")
             names = list(re.finditer(_NAME, m["name"]))
             for i, n in enumerate(names):
-                role, name = "s" if i == len(names) - 1 else gender, _OWNED.sub("", n.group())
-                yield start + n.start(), start + n.start() + len(name), f"name-{role}-{_script(name)}", name
-            continue
-        if kind == "secret":
-            yield m.start("value"), m.end("value"), "secret", m["value"].lower()
-            continue
-        s = m.group(kind)
-        digits = re.sub(r"\D", "", s)
-        yield m.start(), m.end(), kind, digits if kind in ("card", "phone", "ssn") else re.sub(" ", "", s).lower()
+                for x in _RUN.finditer(n.group()):
+                    yield start + n.start() + x.start(), start + n.start() + x.end(), f"name-{_script(x.group())}", x.group().lower(), ("family " if i == len(names) - 1 else "given ") + gender
+        elif kind == "secret":
+            yield m.start("value"), m.end("value"), "secret", m["value"].lower(), None
+        else:
+            s = m.group(kind)
+            digits = re.sub(r"\D", "", s)
+            yield m.start(), m.end(), kind, digits if kind in ("card", "phone", "ssn") else re.sub(" ", "", s).lower(), None
+
+
+def _role(seen: set[str]) -> str:
+    """A name's one role in a text, from those of its titled mentions: the gender where it is a given name anywhere, else s."""
+    if not any(x.startswith("given") for x in seen):
+        return "s"
+    return next((g for place in ("given", "family") for g in "mf" if f"{place} {g}" in seen), "n")
+
+
+def found(text: str) -> Iterator[tuple[int, int, str, str, str | None]]:
+    """(start, end, kind, entity, role) of the private strings of a text, in order; the entity is in a form that all its mentions share.
+
+    Each part of a person's name is an entity of its own, in lower case, whatever title it stands after; its role in the
+    text (a given name's gender, or s for family names) comes from all its titled mentions there. Other capitalized
+    mentions of these names in the text, before or after, without titles, are mentions of the same entities.
+    """
+    if not _MAYBE.search(text):
+        return
+    direct = list(_titled(text))
+    seen: dict[str, set[str]] = {}
+    for _, _, _, entity, role in direct:
+        if role:
+            seen.setdefault(entity, set()).add(role)
+    if not seen:
+        yield from direct
+        return
+    roles = {name: _role(x) for name, x in seen.items()}
+    plain, at = [], 0  # direct mentions that end before are passed
+    for m in _RUN.finditer(text):
+        name = m.group().lower()
+        while at < len(direct) and direct[at][1] <= m.start():
+            at += 1
+        if name in roles and m.group()[0].isupper() and not (at < len(direct) and direct[at][0] < m.end()):
+            plain.append((m.start(), m.end(), f"name-{_script(name)}", name, None))
+    for start, end, kind, entity, _ in sorted([*direct, *plain], key=lambda x: x[:2]):
+        yield start, end, kind, entity, roles.get(entity) if kind.startswith("name-") else None
+
+
+def iban_valid(s: str) -> bool:
+    """Whether the check digits of an account number without spaces hold."""
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
 class Surrogates:
@@ -208,27 +217,32 @@ class Surrogates:
         if kind == "phone":
             return swapped(entity + "0" * longer, max(0, len(entity) - 10))
         if kind == "iban":
-            return swapped(entity + "0" * longer, 2)
+            new = swapped(entity + "0" * longer, 2)
+            if not iban_valid(entity):
+                return new
+            rest = int("".join(str(int(c, 36)) for c in new[4:] + new[:2] + "00")) % 97
+            return f"{new[:2]}{98 - rest:02d}{new[4:]}"
         if kind == "key":
             return swapped(entity + "x" * longer, 3 if entity.startswith("sk-") else 5 if entity.startswith("xox") else 4)
-        if kind.startswith("name-"):
-            _, role, script = kind.split("-")
-            syllables, ends = SYLLABLES[script], ENDS[script][role]
+        if kind.startswith("name-"):  # a stem; its end tells the role, see dressed()
+            syllables = SYLLABLES[kind.removeprefix("name-")]
             n = 1 + next(draw) % 2 + longer
-            return "".join(syllables[(next(draw) * 256 + next(draw)) % len(syllables)] for _ in range(n)).capitalize() + ends[next(draw) % len(ends)]
+            return "".join(syllables[(next(draw) * 256 + next(draw)) % len(syllables)] for _ in range(n))
         return swapped(entity + ("0" if kind == "ssn" else "x") * longer)
 
     @staticmethod
-    def dressed(surrogate: str, mention: str, kind: str) -> str:
-        """The surrogate with the mention's separators and case."""
+    def dressed(surrogate: str, mention: str, kind: str, role: str | None = None) -> str:
+        """The surrogate with the mention's separators and case; a name's stem with the end of its role."""
+        if kind.startswith("name-"):
+            ends = ENDS[kind.removeprefix("name-")][role or "s"]
+            name = surrogate + ends[sum(map(ord, surrogate)) % len(ends)]
+            return name.upper() if mention.isupper() else name.capitalize()
         if kind in ("card", "phone", "ssn"):
             digits = iter(surrogate)
             return "".join([*(next(digits) if c.isdigit() else c for c in mention), *digits])
         if kind in ("iban",):
             rest = iter(surrogate.upper())
             return "".join([*(c if c == " " else next(rest) for c in mention), *rest])
-        if kind.startswith("name-"):
-            return surrogate
         if mention.isupper():
             return surrogate.upper()
         if len(surrogate) == len(mention) or kind in ("secret", "key", "hex"):
@@ -237,20 +251,29 @@ class Surrogates:
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """(doc_id, kind, entity) of each document's distinct entities. docs: doc_id, text."""
+    """(key, kind, entity) of each document's distinct entities. docs: key, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, k, e) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, e in dict.fromkeys((k, e) for _, _, k, e in found(t or ""))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["doc_id", "kind", "entity"])
+            rows = [(i, k, e) for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for k, e in dict.fromkeys((k, e) for _, _, k, e, _ in found(t or ""))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.string(), pa.string()))], names=["key", "kind", "entity"])
 
-    return docs.mapInArrow(run, "doc_id long, kind string, entity string")
+    return docs.mapInArrow(run, "key long, kind string, entity string")
 
 
-def redrawn(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
+def _taken(distinct: DataFrame) -> DataFrame:
+    """(kind, surrogate) that would be an entity of the corpus: the entities themselves, and of names what is left without the end of a role."""
+    ends = {script: sorted({x for xs in by_role.values() for x in xs}) for script, by_role in ENDS.items()}
+    stems = [F.when((F.col("kind") == f"name-{script}") & F.endswith("entity", F.lit(x)), F.expr(f"left(entity, length(entity) - {len(x)})")) for script, xs in ends.items() for x in xs]
+    names = distinct.where("kind like 'name-%'").select("kind", F.explode(F.array_compact(F.array(*stems))).alias("surrogate"))
+    return distinct.where("kind not like 'name-%'").select("kind", F.col("entity").alias("surrogate")).union(names).distinct()
+
+
+def redrawn(distinct: DataFrame, key: bytes) -> DataFrame:
     """(kind, entity, attempt) of the entities whose first surrogate is another's too, or is itself an entity of the corpus.
 
-    Of those that share a surrogate the smallest keeps it; the others draw again until all surrogates are distinct.
+    Of those that share a surrogate the smallest keeps it; the others draw again until all surrogates are distinct. Names
+    are compared by stem: a stem and an end make one name in one way only, so names of different stems differ.
     """
 
     @F.pandas_udf("string")
@@ -261,7 +284,7 @@ def redrawn(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
         return pd.Series([made.of(*x) for x in zip(kind, entity, attempt, strict=True)], dtype=object)
 
     drawn = cut(distinct.select("kind", "entity", F.lit(0).alias("attempt")).withColumn("surrogate", surrogate("kind", "entity", "attempt")))
-    real = distinct.select("kind", F.col("entity").alias("surrogate"))
+    real = cut(_taken(distinct))
     while True:
         # settled surrogates win over new ones, then the smaller entity
         first = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "entity")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -274,33 +297,36 @@ def redrawn(distinct: DataFrame, key: bytes = KEY) -> DataFrame:
         drawn = cut(marked.where("again is null").select(*drawn.columns).union(again.withColumn("surrogate", surrogate("kind", "entity", "attempt"))))
 
 
-def pseudonymized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: bytes = KEY) -> DataFrame:
-    """docs with every detected entity of the text column replaced by its surrogate, and n_entities, the mentions replaced.
+def pseudonymized(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with every detected entity of the text column replaced by its surrogate under the key, and n_entities, the mentions replaced.
 
     Found are e-mail and IPv4 addresses, phone, card, bank account and social security numbers, keys and secrets, and
-    names after titles, with all other mentions of these names in the same document. Not found are the names of people
-    whom a document never gives a title. The same entity has the same surrogate in all documents, under the key; different ones have
-    different surrogates, none of which is an entity of the corpus: redrawn() checks all distinct entities and has
-    colliding ones drawn again, in longer forms if need be. A surrogate keeps the type, length (but for those) and separators (numbers), the case, the script and the
-    gender (names), and validity of check digits (cards).
-
-    Null texts stay null, with 0 entities. All rows and other columns stay as they are; where n_entities is a column
-    already, it is replaced. Rows without an id are handled like others.
+    names after titles, with all other capitalized mentions of these names in the same document. Not found are the names
+    of people whom a document never gives a title. The same entity has the same surrogate in all documents; different
+    ones have different surrogates, none of which is an entity of the corpus: redrawn() checks all distinct entities and
+    has colliding ones drawn again, in longer forms if need be. A surrogate keeps the type, length (but for those) and
+    separators (numbers), the case, the script, and validity of check digits (cards, bank accounts). A name's stem is the
+    same in all documents, and its end, one in each document, tells the gender of a given name, or a family name.
+
+    Whoever has the key can tell which surrogate an entity has, so keep it secret. Null texts stay null, with 0 entities.
+    All rows and other columns stay as they are; where n_entities is a column already, it is replaced. Rows without an
+    id, repeated rows and texts of any length are handled like others; an empty table gives no rows.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    per_doc = cut(entities(own))
-    again = cut(redrawn(per_doc.select("kind", "entity").distinct(), key))
     docs = docs.drop("n_entities")
-    if is_empty(again):
-        rows = docs.withColumn("_again", F.lit(None).cast("map<string,int>"))
-    else:
-        # a document's own redrawn entities, as many as it has
-        pairs = per_doc.join(again, ["kind", "entity"]).groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\0", "kind", "entity"), "attempt"))).alias("_again"))
-        rows = docs.join(pairs.withColumnRenamed("doc_id", "_doc"), F.col(id_col).cast("long").eqNullSafe(F.col("_doc")), "left").drop("_doc")
-
     names = docs.columns
-    at = names.index(text_col)
+    at, own_id = names.index(text_col), names.index(id_col)
     schema = T.StructType([*(T.StructField(f.name, f.dataType if f.name != text_col else T.StringType()) for f in docs.schema.fields), T.StructField("n_entities", T.LongType())])
+    # columns by place, so that no name can clash; rows by id and text, as ids can be null or repeated
+    places = [F.col(f"`{c}`").cast("string").alias(f"c{i}") if i == at else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
+    rows = docs.select(*places).withColumn("key", F.xxhash64(f"c{own_id}", f"c{at}"))
+    per_row = cut(entities(rows.select("key", f"c{at}")))
+    again = cut(redrawn(per_row.select("kind", "entity").distinct(), key))
+    if is_empty(again):
+        rows = rows.select(*(f"c{i}" for i in range(len(names))), F.lit(None).cast("map<string,int>").alias("again"))
+    else:
+        # a row's own redrawn entities, as many as it has
+        pairs = per_row.join(again, ["kind", "entity"]).groupBy("key").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\0", "kind", "entity"), "attempt"))).alias("again"))
+        rows = rows.join(pairs, "key", "left").select(*(f"c{i}" for i in range(len(names))), "again")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Surrogates(key)
@@ -310,16 +336,14 @@ def pseudonymized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for text, redraw in zip(batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
                 redraw = dict(redraw or ())
                 out, last, n = [], 0, 0
-                for start, end, kind, entity in found(text or ""):
+                for start, end, kind, entity, role in found(text or ""):
                     attempt = redraw.get(f"{kind}\0{entity}")
                     surrogate = made.of(kind, entity, attempt) if attempt else first[kind, entity]
-                    out += [text[last:start], made.dressed(surrogate, text[start:end], kind)]
+                    out += [text[last:start], made.dressed(surrogate, text[start:end], kind, role)]
                     last, n = end, n + 1
                 texts.append("".join([*out, text[last:]]) if n else text)
                 counts.append(n)
             columns = [batch.column(i) if i != at else pa.array(texts, pa.string()) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*names, "n_entities"])
 
-    # by place, as names with dots cannot be input
-    places = [F.col(f"`{c}`").cast("string").alias(f"c{i}") if i == at else F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
-    return rows.select(*places, F.col("_again").alias(f"c{len(names)}")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

@@ -2,9 +2,11 @@
 
 from braidline.llm import pii
 
+KEY = b"test"
+
 
 def spans(text):
-    return [(kind, text[start:end]) for start, end, kind, _ in pii.found(text)]
+    return [(kind, text[start:end]) for start, end, kind, _, _ in pii.found(text)]
 
 
 def test_values_without_letter_or_digit_are_no_secrets():
@@ -15,15 +17,15 @@ def test_values_without_letter_or_digit_are_no_secrets():
 def test_entities_of_small_forms_settle(spark):
     rows = [("email", f"{c}@d{i}.com") for c in "abc" for i in range(100)] + [("email", f"___@d{i}.com") for i in range(30)]
     rows += [("secret", "_______" + c) for c in "abcdefghijklmnopqrstuvwxyz0123456789"] + [("secret", "٣٣٣٣٣٣٣٣")]
-    rows += [("name-m-greek", f"Ν{i}") for i in range(1500)]
-    again = {(r.kind, r.entity): r.attempt for r in pii.redrawn(spark.createDataFrame(rows, "kind string, entity string")).collect()}
-    made = pii.Surrogates(pii.KEY)
+    rows += [("name-greek", f"ν{i}") for i in range(20_000)]
+    again = {(r.kind, r.entity): r.attempt for r in pii.redrawn(spark.createDataFrame(rows, "kind string, entity string"), KEY).collect()}
+    made = pii.Surrogates(KEY)
     got = [(k, made.of(k, e, again.get((k, e), 0))) for k, e in rows]
     assert len(set(got)) == len(rows) and not set(got) & set(rows)
 
 
 def test_longer_surrogates_keep_their_form():
-    made = pii.Surrogates(pii.KEY)
+    made = pii.Surrogates(KEY)
     card = made.of("card", "4111111111111111", 3)
     assert len(card) == 18 and pii.luhn(card) and made.dressed(card, "4111 1111 1111 1111", "card").replace(" ", "") == card
     assert made.dressed(made.of("secret", "abcdefgh", 2), "ABCDefgh", "secret")[:4].isupper()
@@ -51,12 +53,57 @@ def test_long_secrets_are_found_whole():
     assert spans(f"sum {hexadecimal}.") == [("hex", hexadecimal)]
 
 
+def replaced(spark, *texts):
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id int, text string")
+    return [r.text for r in pii.pseudonymized(df, KEY).orderBy("doc_id").collect()]
+
+
 def test_plain_mentions_of_titled_names(spark):
     text = "Keller came. Dr. Anna Keller said: Anna Keller's car, Keller-Smith, Kellerman, KELLER, keller@x.org; Mr. Smith's Keller."
-    names = [(text[s:e], k) for s, e, k, _ in pii.found(text) if k.startswith("name-")]
-    assert [n for n, _ in names] == ["Keller", "Anna", "Keller", "Anna", "Keller", "Keller", "Smith", "Smith", "Keller"]
-    assert len(set(names)) == 3
+    names = [(text[s:e], k) for s, e, k, _, _ in pii.found(text) if k.startswith("name-")]
+    assert [n for n, _ in names] == ["Keller", "Anna", "Keller", "Anna", "Keller", "Keller", "Smith", "KELLER", "Smith", "Keller"]
     assert spans("Keller and Anna Keller came, 1 time") == []
-    out = pii.pseudonymized(spark.createDataFrame([(1, text), (2, "Keller 1")], "doc_id long, text string")).orderBy("doc_id").collect()
-    first = out[0].text.split()[0]
-    assert out[0].text.count(first) == 5 and "Keller " not in out[0].text and "Anna" not in out[0].text and out[1].text == "Keller 1"
+    out, other = replaced(spark, text, "Keller 1")
+    first = out.split()[0]
+    assert out.count(first) == 5 and first.upper() in out and "Keller " not in out and "Anna" not in out and other == "Keller 1"
+
+
+def test_one_surrogate_for_each_name_in_a_document(spark):
+    text = "Mr. John Smith met Ms. Ann Lee. Smith smiled; later Lee left. Dr. John Smith and Mr. John agreed. MR. JOHN SMITH! Frau Anna-Maria O'Brien, Brien"
+    entities = [(text[s:e].lower(), e_, r) for s, e, _, e_, r in pii.found(text)]
+    assert {n: r for n, _, r in entities} == {"john": "m", "smith": "s", "ann": "f", "lee": "s", "anna": "f", "maria": "f", "brien": "s"}
+    assert all(n == e for n, e, _ in entities) and len(entities) == 15
+    (out,) = replaced(spark, text)
+    john, smith = out.split()[1:3]
+    assert out.count(john) == 3 and out.count(smith) == 3 and f"MR. {john.upper()} {smith.upper()}!" in out
+    lee = out.split()[6].strip(".")
+    assert f"later {lee} left" in out and "-" in out.split()[-3] and out.split()[-2].startswith("O'") and out.split()[-2].strip(",").removeprefix("O'") == out.split()[-1]
+    assert any(john.endswith(x) for x in pii.ENDS["latin"]["m"]) and any(smith.endswith(x) for x in pii.ENDS["latin"]["s"])
+
+
+def test_ends_and_stems_make_a_name_in_one_way():
+    for script, by_role in pii.ENDS.items():
+        ends, syllables = {x for xs in by_role.values() for x in xs}, {*pii.SYLLABLES[script]}
+        assert {len(x) for x in syllables} == {2}
+        for a in ends:
+            for b in ends:
+                # a longer end that could hold a stem's last syllables and the shorter end
+                assert a == b or not (a.endswith(b) and (len(a) - len(b)) % 2 == 0), (a, b)
+
+
+def test_check_digits_of_accounts():
+    made = pii.Surrogates(KEY)
+    for valid in ("gb82west12345698765432", "de89370400440532013000"):
+        new = made.of("iban", valid)
+        assert pii.iban_valid(valid) and pii.iban_valid(new) and new != valid and new[:2] == valid[:2] and len(new) == len(valid)
+    assert made.dressed(made.of("iban", "de89370400440532013000"), "DE89 3704 0044 0532 0130 00", "iban").count(" ") == 5
+
+
+def test_no_row_or_column_is_lost(spark):
+    rows = [(None, "Mr. Roe", i, "x", i) for i in range(40)] + [(1, None, 41, "y", 0), (1, "a@b.org " * 5000, 42, "z", 0), (2, "", 43, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key long, again string, `c0` long")
+    out = {r.key: r for r in pii.pseudonymized(df, KEY).collect()}
+    assert len(out) == 43 and [out[i].again for i in (41, 42, 43)] == ["y", "z", ""] and all(out[i].c0 == i for i in range(40))
+    assert len({out[i].text for i in range(40)}) == 1 and out[0].text != "Mr. Roe" and (out[41].text, out[41].n_entities) == (None, 0)
+    assert out[42].n_entities == 5000 and len({*out[42].text.split()}) == 1 and out[43].text == ""
+    assert pii.pseudonymized(df.limit(0), KEY).count() == 0
