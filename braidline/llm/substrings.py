@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut
+from ..runtime import cut, is_empty
 from .chunks import Kept, in_slices
+from .skew import with_groups
 
 WINDOW = 20
 #: A perfect difference cover: for any two positions there is one shift below PERIOD that brings both to cover positions.
@@ -74,20 +75,22 @@ def _anchor_starts(n: int) -> np.ndarray:
     return at[np.isin(at % PERIOD, COVER)]
 
 
-def _order(text: bytes) -> int:
-    """Orders rows of the same doc_id that have different words; in the high half of a start's place."""
-    return int.from_bytes(hashlib.sha256(text).digest()[:4], "big") >> 1 << 32
+def row_of(words: list[bytes]) -> int:
+    """Tells rows of the same doc_id with different words apart, and orders them: the first 64 bits of the SHA-256 of the words joined by one space."""
+    return int.from_bytes(hashlib.sha256(b" ".join(words)).digest()[:8], "big", signed=True)
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, digest): digest is the SHA-256 of the words joined by one space."""
+    """(doc_id, n_words, digest, row): digest is the SHA-256 of the words joined by one space; row: see row_of()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([hashlib.sha256(b" ".join(w)).digest() for w in words], pa.binary())], names=["doc_id", "n_words", "digest"])
+            made = [hashlib.sha256(b" ".join(w)).digest() for w in words]
+            rows = [int.from_bytes(d[:8], "big", signed=True) for d in made]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array(made, pa.binary()), pa.array(rows, pa.int64())], names=["doc_id", "n_words", "digest", "row"])
 
-    return docs.mapInArrow(run, "doc_id long, n_words long, digest binary")
+    return docs.mapInArrow(run, "doc_id long, n_words long, digest binary, row long")
 
 
 def _once_a_slice(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +105,7 @@ def _once_a_slice(hashes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np
 
 
 def repeated_anchors(docs: DataFrame) -> DataFrame:
-    """(doc_id, at) of the anchors whose hash occurs more than once anywhere.
+    """(doc_id, row, at) of the anchors whose hash occurs more than once anywhere. docs: doc_id, text, row.
 
     A task sends each hash about once, however often it meets it: further ones are decided where they are, and go to
     partitions of their own number. So an anchor in a third of all documents makes a group of one row a task.
@@ -129,11 +132,11 @@ def repeated_anchors(docs: DataFrame) -> DataFrame:
                 many[first] = True
                 known = np.union1d(known, repeated)[:MOST_KNOWN]
                 key = np.where(decided, _mixed(h + (owner << 32).astype(np.uint64) + at.astype(np.uint64) + np.uint64(1)), h)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(at << 1 | many)], names=["h", "doc_id", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(pa.array(owner)), batch.column(2).take(pa.array(owner)), pa.array(at << 1 | many)], names=["h", "doc_id", "row", "at"])
 
-    rows = docs.mapInArrow(run, "h long, doc_id long, at long")
+    rows = docs.mapInArrow(run, "h long, doc_id long, row long, at long")
     rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("h")))
-    return rows.where("n > 1 or (at & 1) = 1").select("doc_id", F.shiftright("at", 1).alias("at"))
+    return rows.where("n > 1 or (at & 1) = 1").select("doc_id", "row", F.shiftright("at", 1).alias("at"))
 
 
 def _spans(words: list[bytes], anchors: np.ndarray) -> np.ndarray:
@@ -143,18 +146,19 @@ def _spans(words: list[bytes], anchors: np.ndarray) -> np.ndarray:
 
 
 def later_windows(candidates: DataFrame) -> DataFrame:
-    """(doc_id, at) of the windows around repeated anchors whose words also start a window earlier. candidates: doc_id, text, anchors."""
+    """(doc_id, row, at) of the windows around repeated anchors whose words also start a window earlier. candidates: doc_id, text, row, anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
-            anchors = batch.column(2)
+            rows = batch.column(2).to_pylist()
+            anchors = batch.column(3)
             for s in in_slices(texts):
                 one, two, owners, places = [], [], [], []
-                order = sorted(range(s.start, s.stop), key=lambda i: (ids[i], texts[i] and _order(b" ".join(texts[i].encode().split()))))
+                order = sorted(range(s.start, s.stop), key=lambda i: (ids[i], rows[i]))
                 for last, row in zip([None, *order], order, strict=False):
-                    if last is not None and (ids[last], texts[last]) == (ids[row], texts[row]):
+                    if last is not None and (ids[last], rows[last]) == (ids[row], rows[row]):
                         continue  # a repeated row has the same places
                     words = texts[row].encode().split()
                     at = _spans(words, anchors[row].values.to_numpy(zero_copy_only=False))
@@ -162,18 +166,18 @@ def later_windows(candidates: DataFrame) -> DataFrame:
                         one.append(_hashes(words, at, WINDOW, 0))
                         two.append(_hashes(words, at, WINDOW, 1))
                         owners.append(np.full(len(at), row, np.int64))
-                        places.append(at + _order(b" ".join(words)))
+                        places.append(at)
                 if not one:
                     continue
                 h1, h2, owner, at = map(np.concatenate, (one, two, owners, places))
                 decided, _, _ = _once_a_slice(_mixed(h1) + h2, np.empty(0, np.uint64))
-                salt = _mixed((owner << 32).astype(np.uint64) + at.astype(np.uint64))
+                salt = _mixed((owner << 32).astype(np.uint64) + at.astype(np.uint64) + np.uint64(1))
                 h1 = np.where(decided, _mixed(h1 + salt), h1)
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(pa.array(owner)), pa.array(at), pa.array(decided)], names=["h1", "h2", "doc_id", "at", "later"])
+                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), batch.column(0).take(pa.array(owner)), batch.column(2).take(pa.array(owner)), pa.array(at), pa.array(decided)], names=["h1", "h2", "doc_id", "row", "at", "later"])
 
-    rows = candidates.mapInArrow(run, "h1 long, h2 long, doc_id long, at long, later boolean")
-    rows = rows.withColumn("nth", F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "at")))
-    return rows.where("later or nth > 1").select("doc_id", "at")
+    made = candidates.mapInArrow(run, "h1 long, h2 long, doc_id long, row long, at long, later boolean")
+    made = made.withColumn("nth", F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("doc_id", "row", "at")))
+    return made.where("later or nth > 1").select("doc_id", "row", "at")
 
 
 def _covered(n: int, starts: np.ndarray) -> np.ndarray:
@@ -193,23 +197,36 @@ def without(text: str, covered: np.ndarray) -> str:
     return b"".join([*out, data[at:]]).decode()
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(keys, starts, candidates): what to remove, and the rows with text in which to look for it.
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, bool]:
+    """(keys, starts, candidates, told): what to remove, and the rows with text in which to look for it.
 
-    keys: doc_id, n_words, digest, copy for each row; a copy (same words as a smaller doc_id, or as another row of the
-    same) of WINDOW words or more goes whole. starts: doc_id, starts, the places of later windows of the other rows; the
-    low 32 bits of a place are the word number, the high ones tell rows of the same doc_id apart.
+    keys: doc_id, row, n_words, digest, copy for each row; a copy (same words as a smaller doc_id, or as another row of the
+    same) of WINDOW words or more goes whole. starts: doc_id, row, starts, the places of later windows of the other rows.
+    told: whether any doc_id has rows of different words; if none has, row is 0, which costs the shuffles nothing.
     """
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    keys = cut(digests(own.withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST)))))
-    firsts = keys.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    keys = cut(keys.join(firsts, "digest").select("doc_id", "n_words", "digest", (F.col("doc_id") > F.col("first")).alias("copy")))
-    own = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(_LAST)))
+    own = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    keys = cut(digests(own))
+    told = not is_empty(keys.groupBy("doc_id").agg((F.min("row") < F.max("row")).alias("many")).where("many"))
+    if not told:
+        keys = keys.withColumn("row", F.lit(0).cast("long"))
+    firsts = cut(keys.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    keys = cut(with_groups(keys, firsts, "digest", ["doc_id", "digest"], keys.count()).select("doc_id", "row", "n_words", "digest", F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("copy")))
+    own = with_row(own, told)
     anchors = repeated_anchors(own)
-    originals = keys.where(f"not copy and n_words >= {WINDOW}").select("doc_id").distinct()
-    anchors = cut(anchors.groupBy("doc_id").agg(F.collect_list("at").alias("anchors")).join(originals, "doc_id", "left_semi"))
-    candidates = cut(own.join(anchors, "doc_id").select("doc_id", "text", "anchors"))
-    return keys, cut(later_windows(candidates).groupBy("doc_id").agg(F.collect_list("at").alias("starts"))), candidates
+    originals = keys.where(f"not copy and n_words >= {WINDOW}").select("doc_id", "row").distinct()
+    anchors = cut(anchors.groupBy("doc_id", "row").agg(F.collect_list("at").alias("anchors")).join(originals, ["doc_id", "row"], "left_semi"))
+    candidates = cut(own.join(anchors, ["doc_id", "row"]).select("doc_id", "text", "row", "anchors"))
+    return keys, cut(later_windows(candidates).groupBy("doc_id", "row").agg(F.collect_list("at").alias("starts"))), candidates, told
+
+
+def with_row(own: DataFrame, told: bool) -> DataFrame:
+    """Adds row, from the text's words; 0 where doc_ids alone tell rows apart."""
+
+    @F.pandas_udf("long")
+    def of(text: pd.Series) -> pd.Series:
+        return pd.Series([row_of((t or "").encode().split()) for t in text], dtype="int64")
+
+    return own.withColumn("row", of("text") if told else F.lit(0).cast("long"))
 
 
 #: Stands for a null doc_id: such rows come last.
@@ -228,25 +245,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same words at the same shift, so only windows around repeated anchors can repeat; those are hashed whole (128 bits),
     and the earliest of each hash stays.
     """
-    keys, starts, candidates = repeated_windows(docs, id_col, text_col)
+    keys, starts, candidates, _ = repeated_windows(docs, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, places in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            for text, places in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
                 words = text.encode().split()
-                joined = b" ".join(words)
-                at = places.values.to_numpy(zero_copy_only=False)
-                at = at[(at >> 32 << 32) == _order(joined)] & 0xFFFFFFFF
-                gone = _covered(len(words), at)
+                gone = _covered(len(words), places.values.to_numpy(zero_copy_only=False))
                 kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-                out.append((hashlib.sha256(joined).digest(), int(gone.sum()), hashlib.sha256(kept).hexdigest()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.string())))], names=["doc_id", "digest", "n_removed", "kept_sha256"])
+                out.append((int(gone.sum()), hashlib.sha256(kept).hexdigest()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.string())))], names=["doc_id", "row", "n_removed", "kept_sha256"])
 
-    edited = candidates.select("doc_id", "text").join(starts, "doc_id").mapInArrow(run, "doc_id long, digest binary, n_removed long, kept_sha256 string").dropDuplicates(["doc_id", "digest"])
-    repeats = F.row_number().over(Window.partitionBy("doc_id", "digest").orderBy("n_words"))
+    edited = candidates.join(starts, ["doc_id", "row"]).select("doc_id", "row", "text", "starts").mapInArrow(run, "doc_id long, row long, n_removed long, kept_sha256 string").dropDuplicates(["doc_id", "row"])
+    repeats = F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("n_words"))
     keys = keys.withColumn("copy", F.expr(f"n_words >= {WINDOW}") & (F.col("copy") | (repeats > 1)))
-    return keys.join(edited, ["doc_id", "digest"], "left").select(
+    return keys.join(edited, ["doc_id", "row"], "left").select(
         F.when(F.col("doc_id") != _LAST, F.col("doc_id")).alias("doc_id"),
         "n_words",
         F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -257,36 +271,33 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the words that substring_dedup() removes cut out of the text; the white space before a cut word goes with it.
 
-    All rows and other columns stay, texts that lose nothing as they are; a copy's text becomes empty. Null texts stay null.
+    All rows and other columns stay, texts that lose nothing as they are; a copy's text becomes empty. Null texts stay
+    null. Columns of any names are carried along, as one struct.
     """
-    keys, starts, _ = repeated_windows(docs, id_col, text_col)
-    copies = keys.where(f"copy and n_words >= {WINDOW}").groupBy("doc_id").agg(F.collect_set("digest").alias("copies"))
-    edits = starts.join(copies, "doc_id", "full").withColumnRenamed("doc_id", "_doc")
+    keys, starts, _, told = repeated_windows(docs, id_col, text_col)
+    copies = keys.where(f"copy and n_words >= {WINDOW}").select("doc_id", "row").distinct().withColumn("copy", F.lit(True))
+    edits = starts.join(copies, ["doc_id", "row"], "full")
     names = docs.columns
-    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
+    packed = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)))
     at = f"c{names.index(text_col)}"
-    rows = docs.select(row.alias("row"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("_doc")).join(edits, "_doc", "left")
-    rows = rows.withColumn("text", F.col(f"row.{at}").cast("string"))
-    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("_doc", "text").orderBy("_doc")))
+    rows = docs.select(packed.alias("all"), F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("doc_id"))
+    rows = with_row(rows.withColumn("text", F.col(f"all.{at}").cast("string")), told).join(edits, ["doc_id", "row"], "left")
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "row").orderBy("text")))
 
     @F.pandas_udf("string")
     def edited(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for text, places, copies, nth in parts:
             out = []
             for t, p, c, n in zip(text, places, copies, nth, strict=True):
-                if t is None or p is None and c is None and n == 1:
+                if t is None or p is None and not c and n == 1:
                     out.append(t)
                     continue
                 words = t.encode().split()
-                joined = b" ".join(words)
-                gone = np.zeros(len(words), bool)
-                if p is not None:
-                    q = np.asarray(p, np.int64)
-                    gone = _covered(len(words), q[(q >> 32 << 32) == _order(joined)] & 0xFFFFFFFF)
-                if len(words) >= WINDOW and (n > 1 or c is not None and hashlib.sha256(joined).digest() in [*c]):
+                gone = _covered(len(words), np.asarray(p, np.int64)) if p is not None else np.zeros(len(words), bool)
+                if len(words) >= WINDOW and (n > 1 or c):
                     gone[:] = True
                 out.append("" if len(gone) and gone.all() else without(t, gone) if gone.any() else t)
             yield pd.Series(out, dtype=object)
 
-    rows = rows.withColumn("edited", edited("text", "starts", "copies", "nth"))
-    return rows.select(*(F.col("edited").alias(c) if c == text_col else F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)))
+    rows = rows.withColumn("edited", edited("text", "starts", F.coalesce("copy", F.lit(False)), "nth"))
+    return rows.select(*(F.col("edited").alias(c) if c == text_col else F.col(f"all.c{i}").alias(c) for i, c in enumerate(names)))
