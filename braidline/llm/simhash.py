@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..runtime import cut
+from .skew import with_groups
 from .trie import trie_links
 
 SEED = 42
@@ -59,25 +60,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     doc_id and text are repeated; null doc_ids are passed over for component_id; other columns are dropped.
     """
     own = cut(fingerprints(docs, id_col, text_col, shingle))
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    joined = connected_components(cut(trie_links(nodes, "fp", budget)), "a", "b").withColumnRenamed("node", "fp")
-    roots = nodes.join(joined, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    best = roots.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = cut(roots.join(best, "root").select("fp", "component_id"))
+    nodes = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    labels = smallest_reached(nodes, "fp", cut(trie_links(nodes, "fp", budget)))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint")
-    return own.join(labels, "fp", "left").select("doc_id", digits, "component_id")
+    return with_groups(own, labels, "fp", ["doc_id"], own.count()).select("doc_id", digits, "component_id")
+
+
+def smallest_reached(nodes: DataFrame, node: str, links: DataFrame) -> DataFrame:
+    """(node, n, component_id): the smallest least of the nodes (node, n, least) that the links (a, b) reach, for each."""
+    joined = connected_components(links, "a", "b").withColumnRenamed("node", node)
+    roots = cut(nodes.join(joined, node, "left").select(node, "n", "least", F.coalesce("component", node).alias("root")))
+    best = roots.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    return cut(with_groups(roots.withColumnRenamed("n", "rows"), best, "root", [node], roots.count()).select(node, F.col("rows").alias("n"), "component_id"))
 
 
 def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, budget: int = 2) -> DataFrame:
-    """The rows of docs without near-duplicates: of each component that with the smallest id stays, once. Rows with null ids stay."""
+    """The rows of docs without near-duplicates: of each component that with the smallest id stays, once. Rows with null ids stay.
+
+    Null and empty texts are equal, and so near-duplicates of each other. See first_of_each() for ties and columns.
+    """
     return first_of_each(docs, near_duplicates(docs, id_col, text_col, shingle, budget), id_col, text_col)
 
 
 def first_of_each(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of docs whose id is its component's in groups (doc_id, component_id), once; and those with null ids."""
-    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_stay")).distinct()
-    kept = docs.withColumn("_key", F.col(f"`{id_col}`").cast("long")).join(stay, F.col("_key") == F.col("_stay"), "left_semi")
-    # of repeated rows with this id the first in the order of their texts
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.col(f"`{text_col}`")))
-    kept = kept.withColumn("_nth", first).where("_nth = 1").drop("_nth", "_key")
-    return kept.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    """The rows of docs whose id is its component's in groups (doc_id, component_id), once: of repeated ids the first in the order of their texts (nulls first). Rows with null ids stay.
+
+    All columns, of any names, stay as they are; they are carried along as one struct.
+    """
+    names = docs.columns
+    packed = docs.select(F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names))).alias("row"), F.col(f"`{id_col}`").cast("long").alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    stay = groups.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    kept = packed.join(stay, "key", "left_semi").withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("text"))).where("nth = 1")
+    return kept.select("row").union(packed.where("key is null").select("row")).select(*(F.col(f"row.c{i}").alias(c) for i, c in enumerate(names)))
