@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
@@ -57,45 +59,51 @@ def likeness(a: str, b: str) -> Column:
     return F.greatest(F.lit(0.0), (equal / BINS - chance) / (1 - chance))
 
 
+def _numbers(values: list[int], kind: str) -> Column:
+    """A constant array: one string in the plan, however many numbers."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>") if values else F.array().cast(f"array<{kind}>")
+
+
 def _bucket(key: Column, splitters: list[int]) -> Column:
     """How many splitters are at most the key: counted over every 256th, then over those between two of them."""
-    if not splitters:
-        return F.lit(0)
-    steps = [splitters[i : i + 256] for i in range(0, len(splitters), 256)]
-    coarse = F.size(F.filter(F.array(*[F.lit(x[0]).cast("long") for x in steps]), lambda x: x <= key))
-    if len(steps) == 1:
-        return F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in splitters]), lambda x: x <= key))
-    nested = F.array(*[F.array(*[F.lit(x).cast("long") for x in step]) for step in steps])
-    inner = F.size(F.filter(nested[F.greatest(coarse - 1, F.lit(0))], lambda x: x <= key))
-    return F.when(coarse == 0, 0).otherwise((coarse - 1) * 256 + inner)
-
-
-def in_order(docs: DataFrame, key: str, tie: str, bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, WindowSpec]:
-    """(rows, window): with lead(...).over(window) each row sees the one that follows in descending order of the long key (equal keys: ascending tie); the last sees the first.
-
-    Rows go to buckets by quantiles of the key and are put in order within each. A bucket also gets a copy, marked
-    _ghost, of the first row of the bucket that follows. The quantiles and those rows' keys, at most MOST_BUCKETS, pass
-    through the driver.
+    coarse = F.size(F.filter(_numbers(splitters[::256], "bigint"), lambda x: x <= key))
+    inner = F.slice(_numbers(splitters, "bigint"), F.greatest(coarse - 1, F.lit(0)) * 256 + 1, F.lit(256))
+    return F.when(coarse == 0, 0).otherwise((coarse - 1) * 256 + F.size(F.filter(inner, lambda x: x <= key)))
+
+
+def in_order(docs: DataFrame, key: str, tie: str, bucket_rows: int | None = None) -> tuple[DataFrame, WindowSpec]:
+    """(rows, window): with lead(...).over(window) each row sees the one that follows in descending order of the long key (equal keys: by tie's hash, then tie, ascending); the last sees the first.
+
+    Rows go to buckets by quantiles of the key and are put in order within each; a key that several quantiles fall on has
+    as many buckets, divided by tie's hash. A bucket also gets a copy, marked _ghost, of the first row of the bucket that
+    follows. A bucket has about bucket_rows rows, more only in tables of over MOST_BUCKETS times that; within it the
+    window spills. The quantiles and first rows' keys, at most twice MOST_BUCKETS, pass through the driver.
     """
-    n = docs.count()
-    buckets = max(1, min(MOST_BUCKETS, n // bucket_rows))
+    buckets = max(1, min(MOST_BUCKETS, docs.count() // (bucket_rows or BUCKET_ROWS)))
     at = [i / buckets for i in range(1, buckets)]
-    splitters = sorted(set(docs.select(F.percentile_approx(key, at, max(10_000, 4 * buckets))).first()[0])) if at else []
-    docs = docs.withColumn("_bucket", _bucket(F.col(key), splitters))
-    firsts = dict(docs.groupBy("_bucket").agg(F.max(key)).collect())
-    order = sorted(firsts, reverse=True)
-    borrowed = [(firsts[b], order[i - 1]) for i, b in enumerate(order)]  # the first bucket's row goes to the last bucket
-    rows, window = docs.withColumn("_ghost", F.lit(False)), Window.partitionBy("_bucket").orderBy("_ghost", F.desc(key), tie)
+    quantiles = Counter(docs.select(F.percentile_approx(key, at, max(10_000, 4 * buckets))).first()[0] or []) if at else Counter()
+    hot = {q: times + 1 for q, times in quantiles.items() if times > 1}
+    splitters = sorted({*quantiles, *(q + 1 for q in hot if q + 1 < 1 << 63)})
+    parts = [1, *(hot.get(q, 1) for q in splitters)]
+    docs = docs.withColumn("_h", F.xxhash64(tie)).withColumn("_range", _bucket(F.col(key), splitters))
+    docs = docs.withColumn("_parts", F.get(_numbers(parts, "int"), "_range") if hot else F.lit(1))
+    # the hash's share of its range, of so many parts
+    part = F.least(F.floor((F.shiftright("_h", 1) / F.lit(float(1 << 63)) + 0.5) * F.col("_parts")), F.col("_parts") - 1)
+    docs = docs.withColumn("_bucket", F.col("_range").cast("long") * MOST_BUCKETS + part).drop("_range", "_parts")
+    firsts = {r[0]: r[1] for r in docs.groupBy("_bucket").agg(F.min(F.struct(F.bitwise_not(key).alias("k"), "_h"))).collect()}
+    order = sorted(firsts, key=lambda b: (-(b // MOST_BUCKETS), b % MOST_BUCKETS))
+    borrowed = [(~firsts[b].k, firsts[b]._h, order[i - 1]) for i, b in enumerate(order)]  # the first bucket's row goes to the last bucket
+    rows, window = docs.withColumn("_ghost", F.lit(False)), Window.partitionBy("_bucket").orderBy("_ghost", F.desc(key), "_h", tie)
     if not borrowed:
         return rows, window
-    small = F.broadcast(docs.sparkSession.createDataFrame(borrowed, "_first long, _to int"))  # a row for each bucket
-    found = docs.join(small, F.col(key) == F.col("_first")).groupBy("_first", "_to").agg(F.min_by(F.struct(*docs.columns), tie).alias("row"))
+    small = F.broadcast(docs.sparkSession.createDataFrame(borrowed, "_first long, _first_h long, _to long"))  # a row for each bucket
+    found = docs.join(small, (F.col(key) == F.col("_first")) & (F.col("_h") == F.col("_first_h"))).groupBy("_to").agg(F.min_by(F.struct(*docs.columns), tie).alias("row"))
     ghosts = found.select("row.*", F.lit(True).alias("_ghost"), "_to").withColumn("_bucket", F.col("_to")).drop("_to")
     return rows.unionByName(ghosts), window
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fingerprint of every row; see with_fingerprint. Other columns are dropped."""
+    """doc_id and fingerprint of every row; see with_fingerprint. Null texts are empty, null ids stay, other columns are dropped."""
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return with_fingerprint(own, "text", "fingerprint", shingle).select("doc_id", "fingerprint")
 
@@ -105,7 +113,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text has the last floor(n_chars / 3) characters replaced by the first as many (or all) of the next
     document, in descending order of doc_id; after the last comes the first, and a lone document follows itself. Null
-    texts are empty. Rows with the same doc_id come in the order of their texts; null ids come last.
+    texts are empty. Rows with the same doc_id come in the order of their texts' hashes; null ids come last. Repeated rows
+    give repeated rows, other columns are dropped, an empty table gives no rows.
     """
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("_key", F.coalesce("doc_id", F.lit(_NO_ID)))
     rows, window = in_order(own, "_key", "text")
