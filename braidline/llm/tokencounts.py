@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
-from itertools import accumulate
+from itertools import accumulate, chain
 from operator import itemgetter
 
 import numpy as np
@@ -26,12 +26,14 @@ _PLAIN = re.compile(r" ?[!-&(-;=-~À-ÖØ-öø-ÿ]+").fullmatch
 _KEPT = 300_000
 #: Stands for no token.
 _NONE = 0xFFFFFFFF
+#: By base: a table that adds it to small counts, for bytes.translate().
+_MORE = [bytes((base + c) % 256 for c in range(256)) for base in range(96)]
 _RUNS = re.compile(r"\s+")
 #: Contractions that are pieces of their own, but whose first two characters are not.
 _CONTRACTIONS = {"'re", "'ve", "'ll"}
 
 
-def _packed(counts: list[int]) -> Sequence[int]:
+def _packed(counts: Sequence[int]) -> Sequence[int]:
     """Small counts as bytes, which take little memory and are joined at once."""
     try:
         return bytes(counts)
@@ -74,60 +76,56 @@ class PrefixCounts:
         self.pieces = Kept(self._piece, _KEPT)
         self.chunks = Chunks(self._make, _CUT)
 
-    def _within(self, pair: int) -> tuple[bytes | None, list[int], list[int]]:
-        """(counts, the same with 0 where undecided, last tokens) of the prefixes of a token's bytes, the whole included, after another token (_NONE: after nothing).
+    def _within(self, pair: int) -> tuple[bytes, tuple[int, ...], tuple[int, ...]]:
+        """(counts, undecided places, last tokens) of the prefixes of a token's bytes, the whole included, after another token (_NONE: after nothing).
 
         A prefix's own encoding stands after the other token as it is if its first token stays apart from that one; else
         the prefix is undecided.
         """
         before, token = pair >> 32, pair & 0xFFFFFFFF
-        s, counts, last = self.tokens[token], [], []
-        for i in range(1, len(s)):
-            ids = self.starts[s[:i]]
-            fits = before == _NONE or self.apart[before << 32 | ids[0]]
-            counts.append(len(ids) if fits else 0)
-            last.append(ids[-1])
-        counts, last = [*counts, 1], [*last, token]
-        return bytes(counts) if all(counts) else None, counts, last
+        s = self.tokens[token]
+        encoded = [self.starts[s[:i]] for i in range(1, len(s))]
+        undecided = () if before == _NONE else tuple(i for i, ids in enumerate(encoded) if not self.apart[before << 32 | ids[0]])
+        return bytes([*map(len, encoded), 1]), undecided, (*(ids[-1] for ids in encoded), token)
 
     def _piece(self, piece: str) -> Sequence[int]:
         """Counts after each of the piece's characters."""
         s = piece.encode()
-        within, base, before = self.within, 0, _NONE
         tokens = self.merged(s)
-        out, decided = [], True
-        for t in tokens:
-            counts, unsure, _ = within[before << 32 | t]
-            if counts is None:
-                decided, counts = False, unsure
-                out += [c and base + c for c in counts]
-            else:
-                out += [base + c for c in counts] if base else counts
-            base, before = base + 1, t
-        if not decided:
-            self._decide(s, tokens, out)
+        within, before, at = self.within, _NONE, 0
+        parts, undecided = [], []
+        for base, t in enumerate(tokens):
+            counts, places, _ = within[before << 32 | t]
+            parts.append(counts.translate(_MORE[base]) if base < len(_MORE) else [base + c for c in counts])
+            if places:
+                undecided += [at + i for i in places]
+            at, before = at + len(counts), t
+        out = b"".join(parts) if len(tokens) <= len(_MORE) else [*chain.from_iterable(parts)]
+        if undecided:
+            out = self._decided(s, tokens, [*out], undecided)
         if len(s) == len(piece):
             return _packed(out)
-        return _packed([out[e - 1] for e in accumulate([len(c.encode()) for c in piece])])
+        return _packed([out[e - 1] for e in accumulate(map(len, map(str.encode, piece)))])
 
-    def _decide(self, s: bytes, encoded: list[int], counts: list[int]) -> None:
-        """Puts in the counts of the prefixes of s that are undecided (0), from left to right."""
+    def _decided(self, s: bytes, tokens: list[int], counts: list[int], undecided: list[int]) -> list[int]:
+        """The counts with those of undecided prefixes of s put in, from left to right."""
         ids, apart = self.ids, self.apart
         last, before = [], _NONE
-        for t in encoded:
+        for t in tokens:
             last += self.within[before << 32 | t][2]
             before = t
-        for i in [i for i, c in enumerate(counts, 1) if not c]:
-            # most often the last token has grown by a byte, or begins there or shortly before
-            grown = i - 1 - len(self.tokens[last[i - 2]])
-            start, step = grown, i - 1
-            while (t := ids.get(s[start:i])) is None or start and not apart[last[start - 1] << 32 | t]:
+        for i in undecided:
+            # most often the last token has grown by a byte, or begins with this byte or one shortly before
+            grown = i - len(self.tokens[last[i - 1]])
+            start, step = grown, i
+            while (t := ids.get(s[start : i + 1])) is None or start and not apart[last[start - 1] << 32 | t]:
                 if step == grown:
                     step -= 1
                 if step < 0:
                     raise ValueError(f"the vocabulary cannot write {s!r}")
                 start, step = step, step - 1
-            counts[i - 1], last[i - 1] = (counts[start - 1] if start else 0) + 1, t
+            counts[i], last[i] = (counts[start - 1] if start else 0) + 1, t
+        return counts
 
     def _encode(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
