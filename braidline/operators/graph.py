@@ -60,7 +60,9 @@ def relaxed(edges: DataFrame, source: int, keys: list[str], start: Column, step:
     """(keys, v, out): the best value over all ways from source in a DAG. A way's value is start, then step(value, w) along its edges.
 
     Rounds of relaxation: each joins the values that changed with the edges that leave there, and stops when none changes.
+    The edges are written once, so that rounds do not make them again.
     """
+    edges = cut(edges)
     values = changed = cut(edges.select(*keys).distinct().select(*keys, F.lit(source).cast("long").alias("v"), start.alias(out)))
     while True:
         new = changed.join(edges.withColumnRenamed("s", "v"), [*keys, "v"])
@@ -74,6 +76,7 @@ def relaxed(edges: DataFrame, source: int, keys: list[str], start: Column, step:
 
 def path_counts(edges: DataFrame, source: int, keys: list[str]) -> DataFrame:
     """(keys, v, n): the number of ways from source to each vertex of a DAG, level by level; ways of any lengths add up."""
+    edges = cut(edges)
     level = edges.select(*keys).distinct().select(*keys, F.lit(source).cast("long").alias("v"), F.lit(1).cast("long").alias("n"))
     total = level = cut(level)
     while True:

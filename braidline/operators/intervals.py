@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut
+
 #: Width of the bins into which a key's positions are divided, so that no task holds a whole key.
 BIN = 1 << 16
 
@@ -15,8 +17,9 @@ def prefix(df: DataFrame, keys: list[str], bin_: str, order: list[str], agg: Cal
     """Adds agg(value) over all rows of the key before each row (and the row's own with inclusive), in order; bins must ascend with the order.
 
     Each bin is scanned on its own; what the bins before it come to is carried over from a table of bins. So a key with
-    a third of all rows is divided among as many tasks as it has bins.
+    a third of all rows is divided among as many tasks as it has bins. df is written once, and not made again for the bins.
     """
+    df = cut(df)
     rows = Window.partitionBy(*keys, bin_).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     before = Window.partitionBy(*keys).orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
     carried = df.groupBy(*keys, bin_).agg(agg(value).alias("_total")).withColumn("_carried", agg(F.col("_total")).over(before)).select(*keys, bin_, "_carried")
@@ -26,7 +29,8 @@ def prefix(df: DataFrame, keys: list[str], bin_: str, order: list[str], agg: Cal
 
 
 def following(df: DataFrame, keys: list[str], bin_: str, order: list[str], value: Column, out: str) -> DataFrame:
-    """Adds value of the next row of the key, in order: of the same bin, else the first of the next bin that has any."""
+    """Adds value of the next row of the key, in order: of the same bin, else the first of the next bin that has any. df is written once."""
+    df = cut(df)
     first = df.groupBy(*keys, bin_).agg(F.min_by(value, F.struct(*order)).alias("_first")).withColumn("_after", F.lead("_first").over(Window.partitionBy(*keys).orderBy(bin_))).drop("_first")
     here = F.lead(value).over(Window.partitionBy(*keys, bin_).orderBy(*order))
     return df.join(first, [*keys, bin_]).withColumn(out, F.coalesce(here, "_after")).drop("_after")
@@ -89,6 +93,11 @@ def region_stats(regions: DataFrame, pieces: DataFrame, keys: list[str], width:
 
 def not_nesting(df: DataFrame, gaps: DataFrame, keys: list[str], id_: str, cov: str, width: int = BIN) -> DataFrame:
     """Rows of df (keys, id, l, r, cov) without those that have another row of at least their coverage strictly inside one of their gaps (keys, id, gl, gr)."""
+    df = cut(df)
     inner = df.select(*keys, F.col(id_).alias("_inner"), F.col("l").alias("_l"), F.col("r").alias("_r"), F.col(cov).alias("_cov")).withColumn("_bin", F.floor(F.col("_l") / width))
-    nests = in_bins(gaps, "gl", "gr", width).join(df.select(*keys, id_, cov), [*keys, id_]).join(inner, [*keys, "_bin"]).where((F.col("_inner") != F.col(id_)) & (F.col("gl") < F.col("_l")) & (F.col("_r") < F.col("gr")) & (F.col("_cov") >= F.col(cov)))
+    # a gap looks only into bins that hold enough coverage and an end before its own
+    bins = inner.groupBy(*keys, "_bin").agg(F.max("_cov").alias("_top"), F.min("_r").alias("_first"))
+    own = in_bins(gaps.join(df.select(*keys, id_, cov), [*keys, id_]), "gl", "gr", width)
+    own = own.join(bins, [*keys, "_bin"]).where((F.col("_top") >= F.col(cov)) & (F.col("_first") < F.col("gr"))).drop("_top", "_first")
+    nests = own.join(inner, [*keys, "_bin"]).where((F.col("_inner") != F.col(id_)) & (F.col("gl") < F.col("_l")) & (F.col("_r") < F.col("gr")) & (F.col("_cov") >= F.col(cov)))
     return df.join(nests.select(*keys, id_).distinct(), [*keys, id_], "left_anti")

@@ -6,6 +6,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import cut, is_empty
+from .graph import relaxed
+from .intervals import prefix
+
 
 def read_filter(df: DataFrame, flag: str, forbidden: int = 0, required: int = 0, between: dict[str, tuple] | None = None) -> DataFrame:
     """Rows with none of the forbidden flag bits, all required ones, and columns inside closed ranges."""
@@ -76,16 +80,29 @@ def wholly_inside(df: DataFrame, inside: DataFrame, path: str, vertex: str) -> D
     return df.join(inside.distinct().withColumn("_in", F.lit(1)), vertex, "left").groupBy(path).agg(F.count("*").alias("n"), F.count("_in").alias("_in")).where("n = _in").drop("_in")
 
 
-def histogram_profile(df: DataFrame, x: str) -> DataFrame:
-    """Median, 0.5 and 99.8 percent points, and the mean up to 99.9 percent, by the cumulative histogram of the distinct values."""
-    h = df.groupBy(F.col(x).alias("x")).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("total"))
-    h = h.withColumn("upto", F.sum("n").over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(total))  # one row
+def histogram_profile(df: DataFrame, x: str, width: int = 1024) -> DataFrame:
+    """Median, 0.5 and 99.8 percent points, and the mean up to 99.9 percent, by the cumulative histogram of the distinct values, in bins of so many."""
+    h = df.groupBy(F.col(x).alias("x")).agg(F.count("*").alias("n")).select(F.lit(0).alias("_all"), F.floor(F.col("x") / width).alias("_bin"), "x", "n")
+    h = prefix(h, ["_all"], "_bin", ["x"], F.sum, F.col("n"), "upto", lambda a, b: a + b, inclusive=True)
+    total = h.agg(F.sum("n").alias("total"))
+    h = h.join(F.broadcast(total))  # one row
     at = lambda p: F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("x")))
     trim = F.col("upto") - F.col("n") < 0.999 * F.col("total")
     return h.agg(at(0.5).alias("median"), at(0.005).alias("low"), at(0.998).alias("high"), F.round(F.sum(F.when(trim, F.col("x") * F.col("n"))) / F.sum(F.when(trim, F.col("n"))), 6).alias("mean"))
 
 
+def balanced_sample(df: DataFrame, group: str, place: str, most: int, salts: int = 64) -> DataFrame:
+    """The first rows of each group, as many of each as the smallest has, at most so many.
+
+    The first rows of a group are among the first of each of its salted parts, so its last sort has at most salts times
+    most rows, however many the group has.
+    """
+    least = df.groupBy(group).count().agg(F.least(F.min("count"), F.lit(most)).alias("_most"))
+    number = lambda rows, *by: rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy(place))).where(F.col("_nth") <= most)
+    first = number(df.withColumn("_salt", F.pmod(F.xxhash64(place), F.lit(salts))), group, "_salt").drop("_nth", "_salt")
+    return number(first, group).join(F.broadcast(least)).where("_nth <= _most").drop("_nth", "_most")  # one row
+
+
 def balanced_sample(df: DataFrame, group: str, place: str, most: int) -> DataFrame:
     """The first rows of each group, as many of each as the smallest has, at most so many."""
     least = df.groupBy(group).count().agg(F.least(F.min("count"), F.lit(most)).alias("_most"))
@@ -93,11 +110,12 @@ def balanced_sample(df: DataFrame, group: str, place: str, most: int) -> DataFra
     return first.join(F.broadcast(least)).where("_nth <= _most").drop("_nth", "_most")  # one row
 
 
-def clusters(df: DataFrame, keys: list[str], value: str, tie: list[str], gap: float) -> DataFrame:
-    """Adds c, the number of the cluster in its keys: a new one begins where the value exceeds the one before by more than gap."""
-    order = Window.partitionBy(*keys).orderBy(value, *tie)
-    new = F.lag(value).over(order).isNull() | (F.col(value) - F.lag(value).over(order) > gap)
-    return df.withColumn("_new", new.cast("int")).withColumn("c", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def clusters(df: DataFrame, keys: list[str], value: str, tie: list[str], gap: float, width: float) -> DataFrame:
+    """Adds c, the number of the cluster in its keys: a new one begins where the value exceeds the one before by more than gap. Bins of that width divide the keys."""
+    order = [value, *tie]
+    df = prefix(df.withColumn("_bin", F.floor(F.col(value) / width)), keys, "_bin", order, F.max, F.col(value), "_before", F.greatest)
+    new = (F.col("_before").isNull() | (F.col(value) - F.col("_before") > gap)).cast("int")
+    return prefix(df, keys, "_bin", order, F.sum, new, "c", lambda a, b: a + b, inclusive=True).drop("_bin", "_before")
 
 
 def merged(df: DataFrame, keys: list[str], id_: str, cov: str) -> DataFrame:
@@ -191,21 +209,20 @@ def _widest(edges: dict[int, dict[int, float]], order: list[int], source: int, s
 
 
 def decomposed(edges: DataFrame, keys: list[str], source: int, sink: int, least: float = 1.5, vertices: int = 1000) -> DataFrame:
-    """(keys, nth, w, path): each graph's widest way from source to sink, taken out, and so on while it is wider than least.
+    """(keys, nth, w, path): each graph's widest way from source to sink, taken out, and so on while it is wider than least; of equal ways that through the least vertices, from the sink backwards.
 
-    Vertices ascend along edges. A graph is one group of at most vertices squared edges; larger ones are an error, as they
-    are to be divided into components first. Graphs are spread over tasks by their keys.
+    Vertices ascend along edges. A graph of up to so many vertices is one group; larger ones go by rounds over the whole
+    table, see decomposed_by_rounds(), with the same results.
     """
-    fields = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
-    schema = ", ".join([*(f"`{k}` {fields[k]}" for k in keys), "nth int, w double, path string"])
+    edges = cut(edges.select(*keys, "s", "t", F.col("w").cast("double").alias("w")))
+    large = cut(edges.select(*keys, F.explode(F.array("s", "t")).alias("v")).distinct().groupBy(*keys).count().where(F.col("count") > vertices).select(*keys))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in edges.schema.fields if f.name in keys), "nth int, w double, path string"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         order = sorted({*pdf["s"], *pdf["t"]})
-        if len(order) > vertices:
-            raise ValueError(f"a graph has {len(order)} vertices, over {vertices}")
         rest: dict[int, dict[int, float]] = {}
         for s, t, w in zip(pdf["s"].tolist(), pdf["t"].tolist(), pdf["w"].tolist(), strict=True):
-            rest.setdefault(s, {})[t] = float(w)
+            rest.setdefault(s, {})[t] = w
         out = []
         while (found := _widest(rest, order, source, sink))[0] > least:
             w, way = found
@@ -216,4 +233,33 @@ def decomposed(edges: DataFrame, keys: list[str], source: int, sink: int, least:
                     del rest[s][t]
         return pd.DataFrame(out, columns=[*keys, "nth", "w", "path"])
 
-    return edges.groupBy(*keys).applyInPandas(run, schema)
+    if is_empty(large):
+        return edges.groupBy(*keys).applyInPandas(run, schema)
+    small = edges.join(large, keys, "left_anti").groupBy(*keys).applyInPandas(run, schema)
+    return small.union(decomposed_by_rounds(edges.join(large, keys, "left_semi"), keys, source, sink, least))
+
+
+def decomposed_by_rounds(edges: DataFrame, keys: list[str], source: int, sink: int, least: float) -> DataFrame:
+    """decomposed() without a group a graph: each round finds the widest way of every graph by relaxation of its edges, and takes it out."""
+    edges, nth = cut(edges.select(*keys, "s", "t", "w")), 0
+    found = edges.limit(0).select(*keys, F.lit(0).alias("nth"), "w", F.lit("").alias("path"))
+    while True:
+        width = relaxed(edges, source, keys, F.lit(float("inf")), F.least, F.max, "b")
+        ways = width.where((F.col("v") == sink) & (F.col("b") > least)).select(*keys, F.col("b").alias("taken"), F.array(F.lit(sink).cast("long")).alias("way"))
+        ways = cut(ways)
+        if is_empty(ways):
+            return found
+        # the least vertex by which a vertex has its width
+        at = lambda end, name: width.select(*keys, F.col("v").alias(end), F.col("b").alias(name))
+        through = edges.join(at("s", "b_s"), [*keys, "s"]).join(at("t", "b_t"), [*keys, "t"]).where(F.least("b_s", "w") == F.col("b_t"))
+        before = cut(through.groupBy(*keys, F.col("t").alias("head")).agg(F.min("s").alias("before")))
+        while not is_empty(ways.where(F.col("way")[0] != source)):
+            ways = ways.withColumn("head", F.col("way")[0]).join(before, [*keys, "head"], "left")
+            ways = cut(ways.select(*keys, "taken", F.when(F.col("head") == source, F.col("way")).otherwise(F.concat(F.array("before"), "way")).alias("way")))
+        nth += 1
+        found = found.union(ways.select(*keys, F.lit(nth).alias("nth"), F.col("taken").alias("w"), F.array_join("way", ",").alias("path")))
+        hops = F.transform(F.slice("way", 1, F.size("way") - 1), lambda s, i: F.struct(s.alias("s"), F.col("way")[i + 1].alias("t")))
+        used = ways.select(*keys, "taken", F.explode(hops).alias("e")).select(*keys, "taken", "e.s", "e.t")
+        left = edges.join(used, [*keys, "s", "t"], "left").withColumn("w", F.col("w") - F.coalesce("taken", F.lit(0.0)))
+        # graphs that had no way any more are done
+        edges = cut(left.join(ways.select(*keys), keys, "left_semi").where("w > 0").select(*keys, "s", "t", "w"))

@@ -72,7 +72,7 @@ def _edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _heavy(spark: SparkSession, d: str) -> DataFrame:
-    """Edges of at least mean weight: what goes into a vertex need not come out."""
+    """Edges of at least mean weight. All paths' edges together bring as much into each vertex as they take out, and have no dead ends; without the light ones they have what the queries on this graph are about."""
     edges = _edges(spark, d)
     return edges.join(F.broadcast(edges.agg(F.avg("w").alias("m"))), F.col("w") >= F.col("m")).drop("m")  # one row
 
@@ -191,18 +191,28 @@ def q09_kmer_counts(spark: SparkSession, d: str) -> DataFrame:
     return paths.kmers(_chains(spark, d).withColumn("path", F.split("chain", "-")), "path", 3)
 
 
-@query("""WITH RECURSIVE edge AS (SELECT DISTINCT l_orderkey AS a, -l_partkey AS b FROM lineitem WHERE l_quantity >= 50), sides AS (SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge),
-    reach(a, b) AS (SELECT a, a FROM sides UNION SELECT r.a, e.b FROM reach r JOIN sides e ON r.b = e.a)
-    SELECT a AS node, min(b) AS component FROM reach GROUP BY a""")
+#: Each round, a node takes the least label beside it; 40 rounds are far more than the graph of orders and parts is wide.
+_COMPONENTS = """edge AS (SELECT DISTINCT l_orderkey AS a, -l_partkey AS b FROM lineitem), sides AS (SELECT a, b FROM edge UNION ALL SELECT b, a FROM edge UNION ALL SELECT a, a FROM edge UNION ALL SELECT b, b FROM edge),
+    label(node, component, k) AS (SELECT DISTINCT a, a, 0 FROM sides UNION ALL (SELECT s.a, min(component), any_value(k) + 1 FROM label JOIN sides s ON s.b = node WHERE k < 40 GROUP BY s.a)),
+    found AS (SELECT node, component FROM label WHERE k = 40)"""
+
+
+def _order_parts(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey")).alias("dst"))
+
+
+@query(f"WITH RECURSIVE {_COMPONENTS} SELECT node, component FROM found")
 def q10_components(spark: SparkSession, d: str) -> DataFrame:
-    """Components of the graph of orders and the parts that they buy in full lots."""
-    return graph.connected_components(_lines(spark, d).where("l_quantity >= 50").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey")).alias("dst")))
+    """Components of the graph of all orders and the parts that they buy."""
+    return graph.connected_components(_order_parts(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {_COMPONENTS}, lines AS (SELECT component, count(*)::BIGINT AS lines FROM lineitem JOIN found ON node = l_orderkey GROUP BY 1) SELECT component, count(*)::BIGINT AS nodes, any_value(lines) AS lines FROM found JOIN lines USING (component) GROUP BY 1")
 def q10_components_all(spark: SparkSession, d: str) -> DataFrame:
-    """Components of the graph of all orders and parts, without a filter of lines; held against union-find, as q10_components has the SQL."""
-    return graph.connected_components(_lines(spark, d).select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey")).alias("dst")))
+    """The sizes of those components: their nodes, and the lines among them."""
+    found = graph.connected_components(_order_parts(spark, d))
+    lines = _lines(spark, d).groupBy(F.col("l_orderkey").alias("node")).agg(F.count("*").alias("lines"))
+    return found.join(lines, "node", "left").groupBy("component").agg(F.count("*").alias("nodes"), F.sum("lines").alias("lines"))
 
 
 @query("""SELECT l_orderkey AS o, count(*)::BIGINT AS n FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size <= 40) ON l_partkey = p_partkey GROUP BY 1 HAVING count(p_partkey) = count(*)""")
@@ -276,7 +286,7 @@ def q14_strandness(spark: SparkSession, d: str) -> DataFrame:
     SELECT p_brand, p_type, c::BIGINT AS c, count(*)::BIGINT AS n, min(p_retailprice) AS low, max(p_retailprice) AS high FROM y GROUP BY ALL""")
 def q15_flank_cluster(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of rows within 30 of the one before."""
-    return paths.clusters(table(spark, d, "part"), ["p_brand", "p_type"], "p_retailprice", ["p_partkey"], 30).groupBy("p_brand", "p_type", "c").agg(F.count("*").alias("n"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
+    return paths.clusters(table(spark, d, "part"), ["p_brand", "p_type"], "p_retailprice", ["p_partkey"], 30, width=200).groupBy("p_brand", "p_type", "c").agg(F.count("*").alias("n"), F.min("p_retailprice").alias("low"), F.max("p_retailprice").alias("high"))
 
 
 @query(f"""WITH {_CHAINS} SELECT chain, count(*)::BIGINT AS n, sum(cov) AS cov_add, max(cov) AS cov_max, min(cov) AS cov_min, arg_min(cov, o) AS cov_first, min(l) AS l, max(r) AS r FROM chains GROUP BY chain""")
@@ -309,7 +319,7 @@ def _weeks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 def q18_nested_remove(spark: SparkSession, d: str) -> DataFrame:
     """A user's weeks without those that have another of as many events inside a gap."""
     weeks, gaps = _weeks(spark, d)
-    return intervals.not_nesting(weeks, gaps, ["all"], "id", "n", width=DAY).select("id", "l", "r", "n")
+    return intervals.not_nesting(weeks, gaps, ["all"], "id", "n", width=6 * HOUR).select("id", "l", "r", "n")
 
 
 @query(f"""WITH {_CHAINS} SELECT o, n, cov FROM chains WHERE cov >= 10 + 5 * n AND (CASE WHEN n = 1 THEN cov >= 20 ELSE cov >= 1.5 END)""")
@@ -417,13 +427,13 @@ def q29_stream_loci(spark: SparkSession, d: str) -> DataFrame:
     from ..runtime import shared_dir
     from ..streaming.loci import stream_loci
 
-    source = f"{d}/events.parquet"
     # by a pattern, as a stream's path may not be one file
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(f"{d}/events.parque[t]")
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     made, seen = shared_dir(spark), shared_dir(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{made}/batch={number}")
+        batch.write.mode("overwrite").parquet(made)
 
-    stream_loci(_as_intervals(stream).select("chrom", "l", "r"), 12 * HOUR).writeStream.outputMode("update").option("checkpointLocation", seen).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
-    return spark.read.parquet(made).groupBy("chrom", "l").agg(F.max("r").alias("r"), F.max("n").alias("n"))
+    loci = stream_loci(_as_intervals(stream).select("chrom", "l", "r"), 12 * HOUR)
+    loci.writeStream.outputMode("complete").option("checkpointLocation", seen).trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    return spark.read.schema(loci.schema).parquet(made)

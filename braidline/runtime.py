@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import shutil
 import tempfile
 import uuid
@@ -25,14 +24,19 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether executors are in the driver's own process, with its path and folders."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package, where their Python path does not have it."""
-    root = Path(__file__).resolve().parent.parent
+    """Gives the executors of a cluster this package."""
     context = spark.sparkContext
-    if getattr(context, "_braidline_shipped", False) or root == Path.cwd() or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+    if is_local(spark) or getattr(context, "_braidline_shipped", False):
         return
-    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='braidline-')}/braidline", "zip", root, "braidline")
-    context.addPyFile(made)
+    made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='braidline-')}/braidline", "zip", Path(__file__).resolve().parent.parent, "braidline")
+    context.addPyFile(made)  # from the driver, which serves it
     context._braidline_shipped = True
 
 
@@ -44,19 +48,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that all executors share.
 
-    The cluster names that folder in spark.checkpoint.dir. Only where it is unset, as in tests, one is made.
+    The cluster names that folder in spark.checkpoint.dir, or by setCheckpointDir(). Only in a local session, as in tests,
+    where neither is set, one is made; anywhere else that is an error, as executors do not see the driver's folders.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = getattr(spark, "_braidline_shared", None) or f"file://{tempfile.mkdtemp(prefix='braidline-')}"
-        spark._braidline_shared = base
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/braidline-{uuid.uuid4().hex}"
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='braidline-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    made = f"{base.rstrip('/')}/braidline-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(made)
+    return made
+
+
+#: The paths that shared_dir() has given, by application.
+_MADE: dict[str, list[str]] = {}
+
+
+def forget(spark: SparkSession) -> None:
+    """Deletes all that the application has written to the shared folder; results that are read from there must not be used any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for made in _MADE.pop(spark.sparkContext.applicationId, []):
+        path = jvm.org.apache.hadoop.fs.Path(made)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: later jobs neither recompute it nor need the executors that made it."""
+    """df written to the shared folder and read again: later jobs neither recompute it nor need the executors that made it. See forget()."""
     spark = df.sparkSession
     ship(spark)
     path = shared_dir(spark)

@@ -1,32 +1,20 @@
-"""Loci over a stream of intervals that arrives in order."""
+"""Loci over a stream of intervals."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
-def stream_loci(stream: DataFrame, gap: int) -> DataFrame:
-    """(chrom, l, r, n) from a stream of (chrom, l, r): a row whenever a locus has grown, so the last row of each (chrom, l) counts.
+def stream_loci(stream: DataFrame, gap: int, lateness: str = "1 day") -> DataFrame:
+    """(chrom, l, r, n) from a stream of (chrom, l, r), places in microseconds of time, in any order within the lateness.
 
-    The state of a chrom is its open locus. Batches come in the order of l, as from a sorted file; within one, rows are
-    put in order here. Write it in update mode.
+    A locus is a session: each interval opens a window from its start to gap beyond its end, and windows that meet are
+    one. Spark keeps the open loci of all keys as state. In append mode a locus is written, once, when the watermark has
+    passed it, and its state goes; in complete mode all loci are written each time.
     """
-
-    def grow(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        start, reach, n = state.get if state.exists else (None, None, 0)
-        rows = pd.concat(batches).sort_values(["l", "r"])
-        out = []
-        for l, r in zip(rows["l"].tolist(), rows["r"].tolist(), strict=True):
-            if start is None or l > reach + gap:
-                if n:
-                    out.append((key[0], start, reach, n))
-                start, reach, n = l, r, 0
-            reach, n = max(reach, r), n + 1
-        state.update((start, reach, n))
-        out.append((key[0], start, reach, n))
-        yield pd.DataFrame(out, columns=["chrom", "l", "r", "n"])
-
-    return stream.groupBy("chrom").applyInPandasWithState(grow, "chrom long, l long, r long, n long", "start long, reach long, n long", "update", "NoTimeout")
+    timed = stream.withColumn("_at", F.timestamp_micros("l")).withWatermark("_at", lateness)
+    # a start exactly gap after an end still belongs to the locus
+    window = F.session_window("_at", F.concat((F.col("r") - F.col("l") + gap + 1).cast("string"), F.lit(" microseconds")))
+    loci = timed.groupBy("chrom", window.alias("_window")).agg(F.max("r").alias("r"), F.count("*").alias("n"))
+    return loci.select("chrom", F.unix_micros("_window.start").alias("l"), "r", "n")

@@ -80,3 +80,34 @@ def test_gtf_round_trip(spark, tmp_path):
     gtf_lines(df, "g", F.lit("g.0"), "seq", F.lit("-"), "exons", "cov").select("line").write.text(str(tmp_path / "x"))
     got = sorted((r.feature, r.start, r.end, r.coverage, r.gene_id) for r in read_gtf(spark, str(tmp_path / "x")).collect())
     assert got == [("exon", 9, 20, None, "g"), ("exon", 30, 40, None, "g"), ("transcript", 9, 40, 2.5, "g")]
+
+
+def test_large_graphs_go_by_rounds_with_the_same_ways(spark):
+    rng = random.Random(3)
+    rows = {(g, s, t): float(rng.randrange(1, 20)) for g in "ab" for s in range(8) for t in range(s + 1, 9) if rng.random() < 0.6}
+    edges = spark.createDataFrame([(*k, w) for k, w in rows.items()], "g string, s long, t long, w double")
+    want = sorted(map(tuple, paths.decomposed(edges, ["g"], 0, 8).collect()))
+    assert want and sorted(map(tuple, paths.decomposed(edges, ["g"], 0, 8, vertices=2).collect())) == want
+
+
+def test_streamed_loci_take_late_rows_and_end(spark, tmp_path):
+    from braidline.runtime import shared_dir
+    from braidline.streaming.loci import stream_loci
+
+    hour, schema = 3_600_000_000, "chrom long, l long, r long"
+    files = [[(1, 10, 3), (1, 5, 2), (2, 4, 1)], [(1, 12, 2), (1, 30, 1), (1, 29, 1)], [(1, 200, 1), (2, 300, 1)], [(2, 900, 1)]]
+    for i, rows in enumerate(files):
+        made = [(c, l * hour, (l + n) * hour) for c, l, n in rows]
+        spark.createDataFrame(made, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/*")
+    out = shared_dir(spark)
+    stream_loci(stream, 2 * hour, "20 hours").writeStream.outputMode("append").option("checkpointLocation", shared_dir(spark)).trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    got = sorted((r.chrom, r.l // hour, r.r // hour, r.n) for r in spark.read.parquet(out).collect())
+    assert got == [(1, 5, 7, 1), (1, 10, 14, 2), (1, 29, 31, 2), (1, 200, 201, 1), (2, 4, 5, 1), (2, 300, 301, 1)]
+
+
+def test_clusters_do_not_depend_on_bins(spark):
+    rng = random.Random(4)
+    df = spark.createDataFrame([("a" if rng.random() < 0.8 else "b", rng.randrange(400), i) for i in range(90)], "k string, x long, i long")
+    made = [sorted(map(tuple, paths.clusters(df, ["k"], "x", ["i"], 4, width).collect())) for width in (3, 10_000)]
+    assert made[0] == made[1] and len({r[-1] for r in made[0]}) > 5
