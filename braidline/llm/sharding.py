@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..runtime import cut
 
 SHARDS = 8
-#: Fine ranges by shard at least, rows of a fine range about, sampled keys by range about.
-RANGES_PER_SHARD, RANGE_ROWS, SAMPLES_PER_RANGE = 64, 100_000, 24
+#: Fine ranges by shard at least, rows of a fine range about, fine ranges at most (all that passes through the driver goes by their number; a range of any size is sorted in one task, which spills), sampled keys by range about.
+RANGES_PER_SHARD, RANGE_ROWS, MOST_RANGES, SAMPLES_PER_RANGE = 64, 100_000, 8192, 24
 #: Groups of equal texts of at most this share of a shard's bytes are kept together.
 WHOLE_GROUP = 0.01
 
@@ -44,8 +44,11 @@ def _range_of(h: pd.Series, doc_id: pd.Series, cuts: pd.DataFrame) -> np.ndarray
     x = h.to_numpy()
     left, right = np.searchsorted(hs, x, "left"), np.searchsorted(hs, x, "right")
     out = right.copy()
-    for i in np.flatnonzero(right - left > 0):
-        out[i] = left[i] + np.searchsorted(ids[left[i] : right[i]], doc_id.iat[i], "right")
+    divided = right > left
+    own = doc_id.to_numpy()
+    for at in np.unique(left[divided]):  # a hash that is divided by doc_id
+        rows = np.flatnonzero(divided & (left == at))
+        out[rows] = at + np.searchsorted(ids[at : right[rows[0]]], own[rows], "right")
     return out
 
 
@@ -64,7 +67,7 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
     keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("h"))
     keys = cut(keys.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))))
     n = keys.count()
-    cuts = _splitters(keys, max(shards * RANGES_PER_SHARD, n // RANGE_ROWS))
+    cuts = _splitters(keys, max(shards * RANGES_PER_SHARD, min(MOST_RANGES, n // RANGE_ROWS)))
 
     @F.pandas_udf("int")
     def range_of(h: pd.Series, doc_id: pd.Series) -> pd.Series:
