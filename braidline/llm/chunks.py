@@ -134,11 +134,9 @@ _made: dict = {}
 
 def once(kind: type, *args):
     """The worker's own object of this kind, made once and used by all its tasks."""
-    import gc
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    gc.set_threshold(50_000, 20, 100)  # the kept values have no cycles, and there are too many to go through often
     if (kind, args) not in _made:
         _made[kind, args] = kind(*args)
     return _made[kind, args]

@@ -18,9 +18,9 @@ def with_groups(rows: DataFrame, groups: DataFrame, key: str, salt: list[str], t
     others = [c for c in groups.columns if c not in (key, "n")]
     hot = F.col("n") >= F.lit(max(2.0, total * HOT_SHARE))
     rows = rows.join(F.broadcast(groups.where(hot).select(key, F.struct(*others).alias("_hot"))), key, "left")
-    rest = groups.where(~hot).select(F.col(key).alias("_key"), F.struct(*others).alias("_rest"))
-    # a row's two key columns: the group's, or the salt
-    own = F.when(F.col("_hot").isNull(), F.col(key))
-    rows = rows.withColumn("_key", own).withColumn("_salt", F.when(F.col("_key").isNull(), F.xxhash64(*salt)).otherwise(F.lit(0)))
-    rows = rows.join(rest.withColumn("_salt", F.lit(0).cast("long")), ["_key", "_salt"], "left")
-    return rows.select(*(c for c in rows.columns if c not in ("_key", "_salt", "_hot", "_rest")), *(F.coalesce(f"_hot.{c}", f"_rest.{c}").alias(c) for c in others))
+    # one key of two parts: the group's and nothing, or nothing and the salt; as columns of their own, the optimizer would take the second for a constant
+    part = lambda key, salt: F.struct(key.alias("key"), salt.cast("long").alias("salt"))
+    rest = groups.where(~hot).select(part(F.col(key), F.lit(0)).alias("_key"), F.struct(*others).alias("_rest"))
+    open_ = F.col("_hot").isNull() & F.col(key).isNotNull()
+    rows = rows.withColumn("_key", part(F.when(open_, F.col(key)), F.when(open_, F.lit(0)).otherwise(F.xxhash64(*salt)))).join(rest, "_key", "left")
+    return rows.select(*(F.col(f"`{c}`") for c in rows.columns if c not in ("_key", "_hot", "_rest")), *(F.coalesce(f"_hot.{c}", f"_rest.{c}").alias(c) for c in others))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator, Sequence
 from itertools import accumulate, chain
@@ -227,10 +228,12 @@ def prefix_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for s in in_slices(texts):
                 steps = []
+                gc.disable()  # the kept values have no cycles, and there are too many to go through within a slice
                 for total, values in counter.totals_and_counts(texts[s]):
                     counts = whole(values)
                     counts[-1] = total
                     steps.append(as_steps(counts))
+                gc.enable()
                 yield pa.RecordBatch.from_arrays([batch.column(0)[s], pa.array([len(t.encode()) for t in texts[s]], pa.int64()), pa.array(steps, pa.binary())], names=[id_col, "n_bytes", "prefix_steps"])
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, prefix_steps binary")
