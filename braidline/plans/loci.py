@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import intervals, regions
+from ..operators import intervals, regions, rules
 from .registry import _LOCI, DAY, _loci, query
 
 KEYS = ["chrom", "locus"]
@@ -126,3 +126,96 @@ def q34_splice_graph(spark: SparkSession, d: str) -> DataFrame:
     """The edges of each locus's graph of parts."""
     parts, ways = Reads(spark, d).ways()
     return _rounded(regions.splice_graph(parts, ways, KEYS)[1].groupBy(*KEYS, "s", "t").agg(F.sum("w").alias("w")), "w")
+
+
+_VERTICES = f"""{_GRAPH}, e AS (SELECT chrom, locus, s, t, sum(w) AS w FROM graph GROUP BY ALL),
+    vertex AS (SELECT *, greatest(ave, 0.01) AS weight FROM pid),
+    ended AS (SELECT e.*, a.r AS s_r, b.l AS t_l FROM e LEFT JOIN vertex a ON a.chrom = e.chrom AND a.locus = e.locus AND a.pid = e.s LEFT JOIN vertex b ON b.chrom = e.chrom AND b.locus = e.locus AND b.pid = e.t),
+    i AS (SELECT chrom, locus, t AS pid, count(*) AS n_in, sum(w) AS w_in, min(s) AS before, bool_or(s = 0) AS starts, coalesce(bool_or(s_r = t_l), false) AS fl FROM ended GROUP BY ALL),
+    o AS (SELECT chrom, locus, s AS pid, count(*) AS n_out, sum(w) AS w_out, min(t) AS after, bool_or(t_l IS NULL) AS ends, coalesce(bool_or(s_r = t_l), false) AS fr FROM ended GROUP BY ALL),
+    around AS (SELECT vertex.* , coalesce(n_in, 0) AS n_in, coalesce(n_out, 0) AS n_out, coalesce(w_in, 0) AS w_in, coalesce(w_out, 0) AS w_out, before, after, coalesce(starts, false) AS starts, coalesce(ends, false) AS ends, coalesce(fl, false) AS fl, coalesce(fr, false) AS fr
+        FROM vertex LEFT JOIN i USING (chrom, locus, pid) LEFT JOIN o USING (chrom, locus, pid) WHERE NOT empty AND (n_in IS NOT NULL OR n_out IS NOT NULL))"""
+
+
+def _graph(spark: SparkSession, d: str) -> tuple[Reads, DataFrame, DataFrame]:
+    """The reads, and the vertices and edges of the graphs of their loci."""
+    from ..runtime import cut
+
+    reads = Reads(spark, d)
+    parts, ways = reads.ways()
+    parts = cut(parts)
+    edges = regions.splice_graph(parts, ways, KEYS)[1].groupBy(*KEYS, "s", "t").agg(F.sum("w").alias("w"))
+    vertices = parts.select(*KEYS, F.col("pid").alias("v"), "l", "r", "ale", F.greatest("ave", F.lit(regions.LEAST_WEIGHT)).alias("weight"), "dev", "ltype", "rtype", "empty")
+    return reads, vertices, cut(edges)
+
+
+@query(f"""WITH {_VERTICES} SELECT a.chrom, a.locus, a.pid AS v FROM around a LEFT JOIN around b ON b.chrom = a.chrom AND b.locus = a.locus AND b.pid = a.before LEFT JOIN around c ON c.chrom = a.chrom AND c.locus = a.locus AND c.pid = a.after
+    WHERE a.ale = '$' AND a.dev < 0.01 AND a.n_in = 1 AND a.n_out = 1 AND (a.starts OR a.ends) AND (a.starts OR coalesce(b.n_out, 2) > 1) AND (a.ends OR coalesce(c.n_in, 2) > 1)""")
+def q35_inner_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    """Vertices at an end that only seem to be there."""
+    _, vertices, edges = _graph(spark, d)
+    return rules.inner_boundaries(vertices, edges, KEYS)
+
+
+@query(f"WITH {_VERTICES} SELECT chrom, locus, pid AS v FROM around WHERE r - l < 60000000 AND NOT fl AND NOT fr AND (starts OR ends)")
+def q36_small_exons(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of less than a minute that nothing touches, at an end."""
+    _, vertices, edges = _graph(spark, d)
+    return rules.small_exons(vertices, edges, KEYS, 60_000_000)
+
+
+@query(f"WITH {_VERTICES} SELECT a.chrom, a.locus, a.pid AS v FROM around a JOIN e ON e.chrom = a.chrom AND e.locus = a.locus AND e.s = before AND e.t = after WHERE n_in = 1 AND n_out = 1 AND NOT starts AND NOT ends AND fl AND fr AND weight <= 2 AND weight <= e.w UNION ALL SELECT chrom, locus, -1 FROM around WHERE starts AND ends AND n_in = 1 AND n_out = 1")
+def q37_contaminated_introns(spark: SparkSession, d: str) -> DataFrame:
+    """Thin parts that a junction leads past; and a row of -1 for each part that is a transcript of its own, as thin parts are rare."""
+    _, vertices, edges = _graph(spark, d)
+    alone = rules.surroundings(vertices, edges, KEYS).where("starts and ends and n_in = 1 and n_out = 1")
+    return rules.contaminated_introns(vertices, edges, KEYS).union(alone.select(*KEYS, F.lit(-1).cast("long")))
+
+
+@query(f"""WITH {_VERTICES} SELECT chrom, locus, pid AS v, 'start' AS side, round(weight - w_in, 6) AS w FROM around WHERE ale = '$' AND NOT starts AND weight >= w_in AND weight >= 0.5 * w_in * w_in
+    UNION ALL SELECT chrom, locus, pid, 'end', round(weight - w_out, 6) FROM around WHERE ale = '$' AND NOT ends AND weight >= w_out AND weight >= 0.5 * w_out * w_out""")
+def q38_extended_boundaries(spark: SparkSession, d: str) -> DataFrame:
+    """New edges to start and end where a part is heavier than what leads there; by a lower bar than the rule's own, as few events are at once."""
+    _, vertices, edges = _graph(spark, d)
+    return _rounded(rules.extended_boundaries(vertices, edges, KEYS, square=0.5, more=0), "w")
+
+
+@query(f"""WITH {_VERTICES}, beside AS (SELECT DISTINCT e.chrom, e.locus, CASE WHEN vertex.pid = s THEN t ELSE s END AS pid FROM e JOIN vertex ON vertex.chrom = e.chrom AND vertex.locus = e.locus AND pid IN (s, t) AND ale <> '$'),
+    highest AS (SELECT chrom, locus, max(r) AS hi FROM marked GROUP BY ALL),
+    classes AS (SELECT v.chrom, v.locus, v.pid AS v, CASE WHEN ale <> '$' THEN 'allelic' WHEN b.pid IS NOT NULL THEN 'adjacent' ELSE 'ordinary' END AS class, ltype & 1 > 0 AND rtype & 2 > 0 AND (l <> v.locus OR r <> hi) AS regional FROM vertex v JOIN highest h ON h.chrom = v.chrom AND h.locus = v.locus LEFT JOIN beside b ON b.chrom = v.chrom AND b.locus = v.locus AND b.pid = v.pid)
+    SELECT * FROM classes WHERE (chrom, locus) IN (SELECT (chrom, locus) FROM classes GROUP BY chrom, locus HAVING NOT bool_and(regional))""")
+def q39_vertex_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The classes of all vertices, of graphs that are not regional throughout."""
+    reads, vertices, edges = _graph(spark, d)
+    classes = rules.vertex_classes(vertices, edges, reads.loci, KEYS)
+    return classes.join(rules.without_regional_graphs(classes, KEYS), KEYS, "left_semi")
+
+
+@query(f"""WITH {_WAYS}, step AS (SELECT chrom, locus, id, unnest(way) AS pid, generate_subscripts(way, 1) AS k FROM ways), placed AS (SELECT step.*, l, r, ale FROM step JOIN pid USING (chrom, locus, pid)),
+    gts AS (SELECT chrom, locus, id, coalesce(CASE arg_min(ale, k) FILTER (ale IN ('A', 'T')) WHEN 'A' THEN 'ALLELE1' WHEN 'T' THEN 'ALLELE2' END, 'UNPHASED') AS gt FROM placed GROUP BY ALL),
+    upto AS (SELECT *, max(r) OVER (PARTITION BY chrom, locus, id ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM placed),
+    merged AS (SELECT *, sum(CASE WHEN m IS NULL OR l > m THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, locus, id ORDER BY l, r) AS n FROM upto)
+    SELECT chrom, locus, id, gt, n::BIGINT AS exon, min(l) AS l, max(r) AS r FROM merged JOIN gts USING (chrom, locus, id) GROUP BY ALL""")
+def q40_transcripts_of_ways(spark: SparkSession, d: str) -> DataFrame:
+    """Reads' ways as transcripts: exons of parts that touch, and the first allele's genotype."""
+    parts, ways = Reads(spark, d).ways()
+    made = rules.transcripts(ways, parts, KEYS, "id")
+    return made.select(*KEYS, "id", "gt", F.posexplode("exons").alias("k", "x")).select(*KEYS, "id", "gt", (F.col("k") + 1).cast("long").alias("exon"), "x.l", "x.r")
+
+
+@query(f"""WITH {_REGIONS}, two AS (SELECT *, count(*) OVER (PARTITION BY chrom, locus, l, r) AS k FROM alleles WHERE ale IN ('A', 'T'))
+    SELECT chrom, locus, l, r, ale, n, 'lone' AS kind FROM two WHERE k = 1 AND n <= 3 UNION ALL SELECT chrom, locus, l, r, CASE ale WHEN 'A' THEN 'T' ELSE 'A' END, NULL, 'counter' FROM two WHERE k = 1""")
+def q41_lone_and_counter_alleles(spark: SparkSession, d: str) -> DataFrame:
+    """Alleles of little depth that are alone at their site, and those that are missing there."""
+    pieces = Reads(spark, d).pieces
+    sites = pieces.where(F.col("ale") != regions.PLAIN).groupBy(*KEYS, "l", "r", "ale").agg(F.count("*").alias("n"))
+    lone = rules.lone_alleles(sites, KEYS).select(*KEYS, "l", "r", "ale", "n", F.lit("lone").alias("kind"))
+    return lone.union(rules.counter_alleles(sites, KEYS).select(*KEYS, "l", "r", "ale", F.lit(None).cast("long"), F.lit("counter")))
+
+
+@query(f"""WITH {_LOCI}, votes AS (SELECT chrom, locus, count(*) FILTER (ale = 'view') AS p, count(*) FILTER (ale = 'click') AS q FROM marked GROUP BY ALL)
+    SELECT chrom, locus, CASE WHEN p > q THEN '+' WHEN p < q THEN '-' ELSE '.' END AS strand FROM votes""")
+def q42_strand_votes(spark: SparkSession, d: str) -> DataFrame:
+    """The sign of each locus by the votes of its views (+) and clicks (-)."""
+    xs = F.when(F.col("ale") == "view", "+").when(F.col("ale") == "click", "-").otherwise(".")
+    return rules.strand_votes(_loci(spark, d).withColumn("xs", xs), KEYS, "xs")
