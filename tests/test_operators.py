@@ -111,3 +111,16 @@ def test_clusters_do_not_depend_on_bins(spark):
     df = spark.createDataFrame([("a" if rng.random() < 0.8 else "b", rng.randrange(400), i) for i in range(90)], "k string, x long, i long")
     made = [sorted(map(tuple, paths.clusters(df, ["k"], "x", ["i"], 4, width).collect())) for width in (3, 10_000)]
     assert made[0] == made[1] and len({r[-1] for r in made[0]}) > 5
+
+
+def test_strands_and_genotypes_that_agree(spark):
+    # single read; first and last of a pair, each also reversed
+    flags = spark.createDataFrame([(0, None), (16, "+"), (0x41, "-"), (0x51, None), (0x81, None), (0x91, None)], "flag int, xs string")
+    got = flags.select(alignment.strand(F.col("flag"), "fr_first").alias("a"), alignment.strand(F.col("flag"), "fr_second").alias("b"), alignment.strand(F.col("flag"), "unstranded", F.col("xs")).alias("c")).collect()
+    assert "".join(r.b for r in got) == "+-+--+" and "".join(r.a for r in got) == "-+-++-" and "".join(r.c for r in got) == ".+-..."
+    names = ["ALLELE1", "ALLELE2", "NONSPECIFIC", "UNPHASED"]
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    rows = {(r.a, r.b): (r.x, r.y, r.z) for r in pairs.select("a", "b", alignment.gt_conflict(F.col("a"), F.col("b")).alias("x"), alignment.gt_same(F.col("a"), F.col("b")).alias("y"), alignment.gt_same(F.col("a"), F.col("b"), True).alias("z")).collect()}
+    assert {k for k, v in rows.items() if v[0]} == {("ALLELE1", "ALLELE2"), ("ALLELE2", "ALLELE1")}
+    assert {k for k, v in rows.items() if v[1]} == {(n, n) for n in names[:3]}
+    assert {k for k, v in rows.items() if v[2]} == {(n, n) for n in names} | {(names[2], names[3]), (names[3], names[2])}
