@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import shutil
 import tempfile
 import uuid
@@ -74,6 +75,12 @@ def forget(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of earlier jobs that nothing refers to any more, before a step that writes many of its own."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: later jobs neither recompute it nor need the executors that made it. See forget()."""
     spark = df.sparkSession
