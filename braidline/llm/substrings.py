@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, is_empty
+from ..runtime import cut, is_empty, release
 from .chunks import Kept, in_slices
 from .skew import with_groups
 
@@ -204,6 +204,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     same) of WINDOW words or more goes whole. starts: doc_id, row, starts, the places of later windows of the other rows.
     told: whether any doc_id has rows of different words; if none has, row is 0, which costs the shuffles nothing.
     """
+    release(docs.sparkSession)
     own = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_LAST)).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     keys = cut(digests(own))
     told = not is_empty(keys.groupBy("doc_id").agg((F.min("row") < F.max("row")).alias("many")).where("many"))
