@@ -72,7 +72,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe(table(spark, sf_dir, "documents"), path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_sharding, op4_warc, op5_token_counts, op6_fingerprints, op7_quality_rules, op8_pii, op9_substring_dedup, op10_bpe)}
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .postings import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import aligned
+
+    return aligned(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_simhash, op3_sharding, op4_warc, op5_token_counts, op6_fingerprints, op7_quality_rules, op8_pii, op9_substring_dedup, op10_bpe, op11_decontamination, op12_alignment, op13_spelling_variants)}
 
 
 def _quality_sql() -> str:
@@ -114,6 +132,17 @@ ORACLES: dict[str, str] = {
             CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
             CASE WHEN page_id <> last THEN last END AS refers_to
         FROM lasts""",
+    "op11_decontamination": r"""
+        WITH words AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+        sought AS (SELECT DISTINCT item_id, least(10, len(ws)) AS size, array_to_string(ws[s:s + least(10, len(ws)) - 1], ' ') AS w FROM (SELECT *, unnest(range(1, greatest(1, len(ws) - 9) + 1)) AS s FROM items WHERE len(ws) > 0)),
+        starts AS (SELECT k, size, unnest(range(1, len(ws) - size + 2)) AS s, ws FROM words, (SELECT DISTINCT size FROM sought) WHERE len(ws) >= size),
+        windows AS (SELECT k, size, s, array_to_string(ws[s:s + size - 1], ' ') AS w FROM starts),
+        met AS (SELECT k, s, size, item_id FROM windows JOIN sought USING (size, w)),
+        hit AS (SELECT k, count(DISTINCT s + i) AS n_hit FROM met, (SELECT unnest(range(0, 10)) AS i) WHERE i < size GROUP BY k),
+        own AS (SELECT k, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM met GROUP BY k)
+        SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM words LEFT JOIN hit USING (k) LEFT JOIN own USING (k)""",
     "op9_substring_dedup": r"""
         WITH own AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
         starts AS (SELECT doc_id, unnest(range(1, len(ws) - 18)) AS s, ws FROM own WHERE len(ws) >= 20),
