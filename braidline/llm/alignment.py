@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -15,121 +12,141 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import cut, release
-from .chunks import BYTE_SYMBOLS, SAFE, in_slices, once
+from .chunks import BYTE_SYMBOLS, ByteIds, once, slices_of
 
-#: A single space between non-spaces: both vocabularies always end a token before it.
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD_SPACE = re.compile(r"\s | \s").search
-_COUNTS, _SHOWN, _LINKED = map(itemgetter, range(3))
-#: Kept chunks and their characters, at most, before a worker starts its memory anew.
-_MOST_CHUNKS, _MOST_CHARS = 300_000, 8_000_000
+#: Characters of texts that are encoded and aligned at a time; a text is never divided.
+_AT_ONCE = 1_000_000
+#: Intervals that are looked through one by one rather than together.
+_FEW = 32
 
 
-def common_ends(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """The places (in a, in b) of all ends that two ascending lists share, in order; the last ends have to be equal.
+def common_ends(a: np.ndarray, b: np.ndarray, i: np.ndarray, i_end: np.ndarray, j: np.ndarray, j_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places (in a, in b) of all ends that two ascending lists share, in order, within intervals i to i_end of a and j to j_end of b whose last ends are equal.
 
-    Divide and conquer: an end of a near the middle of an interval is sought in b by bisection, then those further from
-    the middle, until one is common; there the interval is cut, and both halves go on by themselves. An interval without
-    a common end inside is a leaf.
+    Divide and conquer, a level of all intervals at a time: an end of a near the middle of an interval is sought in b by
+    bisection, then those further from the middle, until one is common; there the interval is cut, and both halves go on
+    by themselves. An interval without a common end inside is a leaf.
     """
-    out = []
-    open_ = [(0, len(a) - 1, 0, len(b) - 1)]  # both last ends are equal; from the right half to the left
-    while open_:
-        i, i_end, j, j_end = open_.pop()
-        cut_at = None
-        if i < i_end and j < j_end:
-            middle = (i + i_end) // 2
-            for step in range(max(middle - i, i_end - 1 - middle) + 1):
-                for k in (middle - step, middle + step) if step else (middle,):
-                    if i <= k < i_end:
-                        at = bisect_left(b, a[k], j, j_end)
-                        if at < j_end and b[at] == a[k]:
-                            cut_at = k, at
-                            break
-                if cut_at:
-                    break
-        if cut_at:
-            open_.append((i, cut_at[0], j, cut_at[1]))
-            open_.append((cut_at[0] + 1, i_end, cut_at[1] + 1, j_end))
-        else:
-            out.append((i_end, j_end))
-    return out[::-1]
+    partner = np.full(len(a), -1)
+    partner[i_end] = j_end
+    while True:
+        inner = np.flatnonzero((i < i_end) & (j < j_end))
+        if not len(inner):
+            break
+        i, i_end, j, j_end = i[inner], i_end[inner], j[inner], j_end[inner]
+        middle = (i + i_end) // 2
+        at = np.searchsorted(b, a[middle])
+        k = np.where(b[at] == a[middle], middle, -1)
+        left, step = np.flatnonzero(k < 0), 0
+        while len(left) > _FEW:
+            step += 1
+            for near in (middle[left] - step, middle[left] + step):
+                inside = (k[left] < 0) & (near >= i[left]) & (near < i_end[left])
+                one, near = left[inside], near[inside]
+                at_near = np.searchsorted(b, a[near])
+                common = b[at_near] == a[near]
+                k[one[common]], at[one[common]] = near[common], at_near[common]
+            left = left[(k[left] < 0) & ((middle[left] - step > i[left]) | (middle[left] + step + 1 < i_end[left]))]
+        for x in left.tolist():
+            k[x], at[x] = _nearest(a, b, int(i[x]), int(middle[x]), int(i_end[x]), step)
+        cut_ = np.flatnonzero(k >= 0)
+        k, at, i, i_end, j, j_end = (x[cut_] for x in (k, at, i, i_end, j, j_end))
+        partner[k] = at
+        i, i_end, j, j_end = np.concatenate([i, k + 1]), np.concatenate([k, i_end]), np.concatenate([j, at + 1]), np.concatenate([at, j_end])
+    found = np.flatnonzero(partner >= 0)
+    return found, partner[found]
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, first: int, middle: int, end: int, step: int) -> tuple[int, int]:
+    """The common end more than step from the middle that is nearest to it, by blocks outwards; -1 where there is none."""
+    size = 16
+    while middle - step > first or middle + step + 1 < end:
+        low, high = np.arange(max(first, middle - step - size), middle - step)[::-1], np.arange(middle + step + 1, min(end, middle + step + 1 + size))
+        near = np.concatenate([low, high])
+        at = np.searchsorted(b, a[near])
+        common = np.flatnonzero(b[at] == a[near])
+        if len(common):
+            best = common[np.argmin(np.abs(near[common] - middle))]
+            return int(near[best]), int(at[best])
+        step, size = step + size, 2 * size
+    return -1, -1
+
+
+class _Digits:
+    """Decimal forms of ids, as a table of digits."""
+
+    def __init__(self, most: int):
+        shown = np.array([str(i) for i in range(most)], "S")
+        self.sizes = np.char.str_len(shown)
+        self.digits = shown.view(np.uint8).reshape(most, -1)
+
+    def joined(self, ids: np.ndarray, after: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """All ids, each with the character after it, and where each ends with that."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes + 1)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+        out[ends - 1] = after
+        first = ends - 1 - sizes
+        for d in range(self.digits.shape[1]):
+            has = np.flatnonzero(sizes > d)
+            out[first[has] + d] = self.digits[ids[has], d]
+        return out.tobytes(), ends
 
 
 class Aligner:
-    """Groups of tokens of a byte-level BPE file (A) and a sentencepiece model (B) over space + text.
-
-    A text is first cut at its single spaces, where tokens of both always end: A's pre-tokenizer starts a word there, and
-    no piece of B goes on past a space that follows something else (checked once over the vocabulary). A chunk between
-    is encoded and aligned once per worker.
-    """
+    """Groups of tokens of a byte-level BPE file (A) and a sentencepiece model (B) over space + text, many texts at a time."""
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
-        from public_tokenizers import PATTERN
-        from tiktoken import Encoding
-        from tokenizers import Tokenizer
-
-        self.a = Tokenizer.from_file(a_path)
-        self.a.no_truncation()
-        self.a.no_padding()
-        self.a.encode_special_tokens = True
+
+        self.a = ByteIds(a_path, specials=False)
         byte = {symbol: b for b, symbol in BYTE_SYMBOLS.items()}
-        own = {bytes(byte[c] for c in t): i for t, i in self.a.get_vocab(with_added_tokens=False).items()}
-        self.a_bytes = {i: t for t, i in own.items()}
-        self.merged = Encoding("ranks", pat_str=PATTERN, mergeable_ranks=own, special_tokens={}).encode_ordinary
+        vocabulary = self.a.tokenizer.get_vocab(with_added_tokens=False)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 2)
+        for t, i in vocabulary.items():
+            self.a_bytes[i] = bytes(byte[c] for c in t)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode() for p in pieces]
-        self.divides = not any(re.search("[^▁]▁", p) for p in pieces)
-        self.kept: dict = {}
-        self.chars = 0
-
-    def chunks(self, text: str) -> list[str]:
-        if not self.divides:
-            return [text]
-        return _CUT.split(text) if text[0] == " " or text[-1] == " " or _ODD_SPACE(text) else text.split(" ")
-
-    def _aligned(self, text: bytes, a: list[int], b: list[int]) -> tuple | None:
-        """(tokens of both in one number, groups as text, linked pairs) of one chunk; None where the tokens are not the text."""
-        a_parts, b_parts = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != text or b"".join(b_parts) != text:
-            return None
-        if len(a) == 1 or len(b) == 1:
-            ends = [(len(a) - 1, len(b) - 1)]
-        else:
-            ends = common_ends([*accumulate(map(len, a_parts))], [*accumulate(map(len, b_parts))])
-        shown, linked, i, j = [], [], 0, 0
-        for i_end, j_end in ends:
-            shown.append(f"{','.join(map(str, a[i : i_end + 1]))}|{','.join(map(str, b[j : j_end + 1]))}")
-            linked.append(a[i_end] << 32 | b[j_end])
-            i, j = i_end + 1, j_end + 1
-        return len(a) << 32 | len(b), ";".join(shown), np.array(linked, "<i8").tobytes()
-
-    def _fill(self, missing: list[str]) -> None:
-        b = self.b.encode(missing, num_threads=1)  # adds the space itself
-        spaced = [" " + c for c in missing]
-        odd = [i for i, c in enumerate(spaced) if not SAFE(c)]
-        library = dict(zip(odd, self.a.encode_batch_fast([spaced[i] for i in odd], add_special_tokens=False), strict=True))
-        for i, c in enumerate(spaced):
-            self.kept[missing[i]] = self._aligned(c.encode(), library[i].ids if i in library else self.merged(c), b[i])
-
-    def of(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, bytes]]:
+        self.a_sizes, self.b_sizes = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, self.b_bytes))
+        self.digits = _Digits(max(len(self.a_bytes), len(self.b_bytes)))
+
+    def of(self, texts: list[str]) -> Iterator[tuple[int, int, int, bytes, bytes]]:
         """(tokens of A, tokens of B, groups, groups as text, linked pairs as 64-bit numbers) of each text."""
-        parts = [self.chunks(t) if t else [] for t in texts]
-        if len(self.kept) > _MOST_CHUNKS or self.chars > _MOST_CHARS:
-            self.kept, self.chars = {}, 0
-        missing = list(set().union(*parts).difference(self.kept))
-        self.chars += sum(map(len, missing))
-        self._fill(missing)
-        get = self.kept.__getitem__
-        for p in parts:
-            values = [*map(get, p)]
-            if not values or None in values:
-                yield 0, 0, 0, "", b""
-                continue
-            n, linked = sum(map(_COUNTS, values)), b"".join(map(_LINKED, values))
-            yield n >> 32, n & 0xFFFFFFFF, len(linked) // 8, ";".join(map(_SHOWN, values)), linked
+        spaced = [" " + t if t else "" for t in texts]
+        a = [np.frombuffer(x, "<u4") for x in self.a.of(spaced)]
+        b = [np.array(x, np.int64) for x in self.b.encode(texts, num_threads=1)]  # adds the space itself
+        good = []
+        for i, t in enumerate(spaced):
+            whole = t.encode()
+            # the library's ids may end with added tokens, which have no bytes of their own
+            if whole and (not len(a[i]) or a[i].max() < len(self.a_bytes)) and b"".join([self.a_bytes[x] for x in a[i].tolist()]) == whole == b"".join([self.b_bytes[x] for x in b[i].tolist()]):
+                good.append(i)
+        results = dict(zip(good, self._aligned([a[i] for i in good], [b[i] for i in good]), strict=True)) if good else {}
+        for i in range(len(texts)):
+            yield results.get(i, (0, 0, 0, b"", b""))
+
+    def _aligned(self, a_lists: list[np.ndarray], b_lists: list[np.ndarray]) -> Iterator[tuple[int, int, int, bytes, bytes]]:
+        """The same for texts that both tokenizers give back, by their ids; all are one long text, cut at the texts' ends first."""
+        n_a, n_b = (np.array([*map(len, x)], np.int64) for x in (a_lists, b_lists))
+        a, b = np.concatenate(a_lists).astype(np.int64), np.concatenate(b_lists)
+        last_a, last_b = np.cumsum(n_a), np.cumsum(n_b)
+        i, j = common_ends(np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b]), last_a - n_a, last_a - 1, last_b - n_b, last_b - 1)
+        # a group's tokens of A come after the tokens of B of the groups before, and those of B after the group's of A
+        of_a, of_b = np.diff(i, prepend=-1), np.diff(j, prepend=-1)
+        place_a = np.arange(len(a)) + np.repeat(j + 1 - of_b, of_a)
+        place_b = np.arange(len(b)) + np.repeat(i + 1, of_b)
+        ids, after = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+        ids[place_a], ids[place_b] = a, b
+        after[place_a[i]], after[place_b[j]] = ord("|"), ord(";")
+        shown, ends = self.digits.joined(ids, after)
+        links = a[i] << 32 | b[j]
+        groups = np.searchsorted(i, last_a)
+        stops = ends[last_a + last_b - 1]
+        start = link = 0
+        for x, y, group, stop in zip(n_a.tolist(), n_b.tolist(), groups.tolist(), stops.tolist(), strict=True):
+            yield x, y, group - link, shown[start : stop - 1], links[link:group].tobytes()
+            start, link = stop, group
 
 
 def alignments(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", with_groups: bool = False) -> DataFrame:
@@ -143,15 +160,14 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = once(Aligner, a_path, b_path)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for s in in_slices(texts):
+            for s, texts in slices_of(batch.column(1), _AT_ONCE):
                 n, shown, digests, linked = [], [], [], []
-                for a, b, groups, text, pairs in aligner.of(texts[s]):
+                for a, b, groups, text, pairs in aligner.of(texts):
                     n.append((a, b, groups))
-                    digests.append(hashlib.sha256(text.encode()).hexdigest() if text else "")
+                    digests.append(hashlib.sha256(text).hexdigest() if text else "")
                     linked.append(pairs)
                     if with_groups:
-                        shown.append(text)
+                        shown.append(text.decode())
                 longs = [pa.array([x[k] for x in n], pa.int64()) for k in range(3)]
                 columns = [batch.column(0)[s], *longs, pa.array(digests, pa.string()), pa.array(linked, pa.binary()), *[pa.array(shown, pa.string())] * with_groups]
                 yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_a", "n_b", "n_groups", "groups_sha256", "linked", *["groups"] * with_groups])

@@ -7,6 +7,8 @@ from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Both vocabularies' pre-tokenizers always start a new word at a space that a non-space follows.
 CUT = re.compile(r" (?=\S)")
@@ -27,6 +29,14 @@ def in_slices(texts: list[str]) -> Iterator[slice]:
     yield slice(start, len(texts))
 
 
+def slices_of(column: pa.Array, at_once: int) -> Iterator[tuple[slice, list[str]]]:
+    """Slices of a column of texts of about so many bytes, with their texts, null ones empty; only a slice's are made into Python's at a time."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    edges = np.flatnonzero(np.diff(np.cumsum(sizes) // at_once)) + 1
+    for start, stop in zip([0, *edges.tolist()], [*edges.tolist(), len(sizes)], strict=True):
+        yield slice(start, stop), [t or "" for t in column.slice(start, stop - start).to_pylist()]
+
+
 class Chunks:
     """Values by chunk, made for the missing ones at once.
 
@@ -96,13 +106,13 @@ class Kept(dict):
 
 
 class ByteIds:
-    """A byte-level BPE file's ids, as little-endian bytes of the dtype; special strings as the library's default has them.
+    """A byte-level BPE file's ids, as little-endian bytes of the dtype; special strings as the library's default has them, or with specials=False as plain text.
 
     SAFE texts, nearly all, are merged by the ranks of the file's own vocabulary (its ids are in the order of the
     merges) with the pre-tokenizer's pattern; the others go through the library, chunk by chunk.
     """
 
-    def __init__(self, path: str, dtype: str = "<u4"):
+    def __init__(self, path: str, dtype: str = "<u4", specials: bool = True):
         from public_tokenizers import PATTERN
         from tiktoken import Encoding
         from tokenizers import Tokenizer
@@ -110,7 +120,8 @@ class ByteIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype = np.dtype(dtype)
+        self.tokenizer.encode_special_tokens = not specials
+        self.specials, self.dtype = specials, np.dtype(dtype)
         byte = {symbol: b for b, symbol in BYTE_SYMBOLS.items()}
         ranks = {bytes(byte[c] for c in t): i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items()}
         self.merged = Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -122,7 +133,7 @@ class ByteIds:
     def of(self, texts: list[str]) -> Iterator[bytes]:
         code = "H" if self.dtype.itemsize == 2 else "I"
         for t in texts:
-            if SPECIAL not in t and SAFE(t):
+            if not (self.specials and SPECIAL in t) and SAFE(t):
                 yield array(code, self.merged(t)).tobytes()
             else:
                 (values,) = self.chunks.of([t])

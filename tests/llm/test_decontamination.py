@@ -7,6 +7,7 @@ import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from public_tokenizers import path
 from tokenizers import Tokenizer
@@ -108,12 +109,22 @@ def test_found_phrases_and_proximity(spark):
 # alignment
 
 
-def test_common_ends_are_all():
+@pytest.mark.parametrize("few", [0, alignment._FEW])
+def test_common_ends_are_all(monkeypatch, few):
+    monkeypatch.setattr(alignment, "_FEW", few)
     rng = random.Random(2)
     for _ in range(500):
-        n = rng.randrange(1, 60)
-        a, b = ([*sorted(rng.sample(range(1, n), rng.randrange(0, n))), n] for _ in "ab")
-        assert alignment.common_ends(a, b) == [(i, bisect_left(b, x)) for i, x in enumerate(a) if x in b]
+        a, b, firsts, at = [], [], [], 0
+        for _ in range(rng.randrange(1, 50)):
+            n = rng.choice([1, 3, 10, 60, 400])
+            firsts.append((len(a), len(b)))
+            for x in (a, b):
+                x += [at + k for k in [*sorted(rng.sample(range(1, n), min(n - 1, rng.choice([0, 3, n // 2, n])))), n]]
+            at += n
+        i, j = (np.array(x) for x in zip(*firsts, strict=True))
+        ends = [np.append(x[1:], len(y)) - 1 for x, y in ((i, a), (j, b))]
+        found = alignment.common_ends(np.array(a), np.array(b), i, ends[0], j, ends[1])
+        assert [*zip(*(x.tolist() for x in found), strict=True)] == [(k, bisect_left(b, x)) for k, x in enumerate(a) if x in b]
 
 
 def brute_alignment(texts):
