@@ -21,6 +21,11 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
         F.when(F.get(c, F.lit(6)) == "=", F.get(c, F.lit(2))).otherwise(F.get(c, F.lit(6))).alias("rnext"), (F.get(c, F.lit(7)).try_cast("int") - 1).alias("mpos"), F.get(c, F.lit(8)).try_cast("int").alias("tlen"), F.get(c, F.lit(9)).alias("seq"),
         _tag("NH", "int").alias("nh"), _tag("HI", "int").alias("hi"), F.coalesce(_tag("NM", "int"), _tag("nM", "int")).alias("nm"), _tag("XS").alias("xs"), _tag("ts").alias("ts"), _tag("UB").alias("umi"),
     )
+    return finished(rows)
+
+
+def finished(rows: DataFrame) -> DataFrame:
+    """Adds the reference end, and the strand from ts where XS is missing."""
     # ts is of the read's own strand
     turned = F.when(F.col("flag").bitwiseAND(F.lit(0x10)) != 0, F.translate("ts", "+-", "-+")).otherwise(F.col("ts"))
     return rows.withColumn("rpos", F.col("pos") + cigar_length(F.col("cigar"))).withColumn("xs", F.coalesce("xs", turned, F.lit(".")))
