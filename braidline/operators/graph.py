@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, is_empty
+from ..runtime import Table, cut, is_empty
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -28,7 +28,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         small = large.join(small_min, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         new = cut(small)
-        done = is_empty(new.exceptAll(e)) and is_empty(e.exceptAll(new))
+        done = _same(new, e)
         e = new
         if done:
             break
@@ -36,6 +36,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return nodes.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _same(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables of distinct edges are equal: by the number of rows and two sums of 64-bit hashes, one row each."""
+    h = lambda seed: F.sum(F.xxhash64("u", "v", F.lit(seed)).cast("decimal(38,0)"))
+    of = lambda df: df.agg(F.count("*"), h(1), h(2)).first()
+    return of(a) == of(b)
+
+
 def prune_dead_ends(edges: DataFrame, source: int, sink: int, keys: list[str]) -> DataFrame:
     """The edges (keys, s, t, ...) that lie on a way from source to sink: edges whose start has no way in, or whose end none out, go, round by round, until none does."""
     edges = cut(edges)
@@ -63,15 +70,14 @@ def relaxed(edges: DataFrame, source: int, keys: list[str], start: Column, step:
     The edges are written once, so that rounds do not make them again.
     """
     edges = cut(edges)
-    values = changed = cut(edges.select(*keys).distinct().select(*keys, F.lit(source).cast("long").alias("v"), start.alias(out)))
+    values = cut(edges.select(*keys).distinct().select(*keys, F.lit(source).cast("long").alias("v"), start.alias(out)).withColumn("_new", F.lit(True)))
     while True:
-        new = changed.join(edges.withColumnRenamed("s", "v"), [*keys, "v"])
-        new = new.select(*keys, F.col("t").alias("v"), step(F.col(out), F.col("w")).alias(out))
-        merged = cut(values.union(new).groupBy(*keys, "v").agg(best(F.col(out)).alias(out)))
-        changed = cut(merged.exceptAll(values))
-        values = merged
-        if is_empty(changed):
-            return values
+        new = values.where("_new").drop("_new").join(edges.withColumnRenamed("s", "v"), [*keys, "v"])
+        new = new.select(*keys, F.col("t").alias("v"), step(F.col(out), F.col("w")).alias(out), F.lit(None).cast(values.schema[out].dataType).alias("_old"))
+        merged = values.select(*keys, "v", out, F.col(out).alias("_old")).union(new).groupBy(*keys, "v").agg(best(F.col(out)).alias(out), F.max("_old").alias("_old"))
+        values, seen = _cut_counting(merged.select(*keys, "v", out, (~F.col(out).eqNullSafe(F.col("_old"))).alias("_new")), {"changed": F.col("_new")})
+        if not seen["changed"]:
+            return values.drop("_new")
 
 
 def path_counts(edges: DataFrame, source: int, keys: list[str]) -> DataFrame:
@@ -84,3 +90,90 @@ def path_counts(edges: DataFrame, source: int, keys: list[str]) -> DataFrame:
         if is_empty(level):
             return total.groupBy(*keys, "v").agg(F.sum("n").alias("n"))
         total = total.union(level)
+
+
+def topological_levels(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, v, level) of all vertices of the graphs (keys, s, t): the number of edges of the longest way that ends there.
+
+    Rounds for all graphs at once: vertices without an edge in are of the round's level, and their edges out go. Edges
+    that stay while no vertex is free are a cycle, which is an error.
+    """
+    edges = cut(edges.select(*keys, "s", "t").distinct())
+    vertices = edges.select(*keys, F.explode(F.array("s", "t")).alias("v")).distinct().join(edges.groupBy(*keys, F.col("t").alias("v")).agg(F.count("*").alias("n")), [*keys, "v"], "left").fillna(0, ["n"])
+    level, none = 0, F.lit(None).cast("long")
+    state, seen = _cut_counting(vertices.withColumn("level", F.when(F.col("n") == 0, F.lit(0).cast("long"))), {"free": F.col("level") == 0, "waiting": F.col("level").isNull()})
+    while seen["free"]:
+        gone = edges.join(state.where(F.col("level") == level).select(*keys, F.col("v").alias("s")), [*keys, "s"], "left_semi").groupBy(*keys, F.col("t").alias("v")).agg(F.count("*").alias("gone"))
+        left = F.col("n") - F.coalesce("gone", F.lit(0))
+        level += 1
+        state = state.join(gone, [*keys, "v"], "left").select(*keys, "v", left.alias("n"), F.coalesce("level", F.when(left == 0, F.lit(level).cast("long")).otherwise(none)).alias("level"))
+        state, seen = _cut_counting(state, {"free": F.col("level") == level, "waiting": F.col("level").isNull()})
+    if seen["waiting"]:
+        raise ValueError("the graph has a cycle")
+    return state.select(*keys, "v", "level")
+
+
+def _cut_counting(df: DataFrame, what: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """cut(df), and how many rows meet each condition, counted by the job that writes them."""
+    seen = Observation()
+    df = cut(df.observe(seen, *(F.count_if(c).alias(k) for k, c in what.items())))
+    return df, seen.get
+
+
+#: How many ways a vertex keeps, how many of a way's weights count, and what stands for a weight that it has not.
+BEST_WAYS, LEAST_WEIGHTS, NO_WEIGHT = 10, 5, 999999
+
+
+def best_ways(edges: DataFrame, sources: DataFrame, keys: list[str], lengths: DataFrame | None = None, most: int = BEST_WAYS, kept: int = LEAST_WEIGHTS, salts: int = 16) -> DataFrame:
+    """(keys, source, v, nth, least, length, way): the best ways from each source (keys, source) to each vertex that it reaches in the DAGs (keys, s, t, w).
+
+    A way is as good as its least weights are (kept of them, ascending; the larger ones first), then as it is short, by
+    the sum of its vertices' lengths (keys, v, length; 1 each where none are given), then by its vertices. A vertex keeps
+    the best ways of those that its predecessors kept, level by level of the graphs, so each edge is met once; all
+    graphs and sources go together. Edges into one vertex are divided by salts before its ways are put in order.
+    """
+    edges = edges.select(*keys, "s", "t", "w")
+    levels = topological_levels(edges, keys)
+    size = F.lit(1).cast("long") if lengths is None else F.coalesce("length", F.lit(0)).cast("long")
+    steps = edges.join(levels.select(*keys, F.col("v").alias("t"), "level"), [*keys, "t"])
+    own = (lambda df, v: df) if lengths is None else (lambda df, v: df.join(lengths.select(*keys, F.col("v").alias(v), "length"), [*keys, v], "left"))
+    steps = cut(own(steps, "t").select(*keys, "s", "t", "w", "level", size.alias("size")))
+    weight = steps.schema["w"].dataType.simpleString()
+    start = own(sources.select(*keys, "source", F.col("source").alias("v")).distinct(), "v")
+    nothing = F.array_repeat(F.lit(NO_WEIGHT).cast(weight), kept)
+    found = Table(edges.sparkSession)
+    found.add(start.select(*keys, "source", "v", F.lit(1).alias("nth"), nothing.alias("least"), size.alias("length"), F.array("v").alias("way")))
+    order = [F.col("least").desc(), F.col("length"), F.col("way")]
+    first = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "source", "v", *by).orderBy(*order))).where(F.col("nth") <= most)
+    for level in range(1, (levels.agg(F.max("level")).first()[0] or 0) + 1):
+        new = found.read().withColumnRenamed("v", "s").join(steps.where(F.col("level") == level), [*keys, "s"])
+        new = new.select(*keys, "source", F.col("t").alias("v"), F.slice(F.array_sort(F.concat("least", F.array("w"))), 1, kept).alias("least"), (F.col("length") + F.col("size")).alias("length"), F.concat("way", F.array("t")).alias("way"), F.pmod(F.xxhash64("s"), F.lit(salts)).alias("_salt"))
+        found.add(first(first(new, "_salt").drop("_salt", "nth")).select(*keys, "source", "v", "nth", "least", "length", "way"))
+    return found.read()
+
+
+def with_heaviest_ways(chosen: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, s, t): the chosen edges (keys, s, t) with those that join each of them to where its graph begins and ends.
+
+    From the start of a chosen edge that no chosen edge leads to, the heaviest edge in is taken, and so on back until a
+    vertex that a chosen edge leads to, or that has none; forward likewise. Of equal edges that with the least other end
+    counts. Each direction goes on by itself. Vertices point to the next one of their way, and pointers are doubled in
+    each round, so a way of n edges takes about log2(n) rounds.
+    """
+    chosen, both = cut(chosen.select(*keys, "s", "t").distinct()), [*keys, "back"]
+    # both directions in one table: v is the end from which the way goes on to u
+    turned = lambda df, *more: df.select(*keys, F.explode(F.array(F.struct(F.lit(True).alias("back"), F.col("t").alias("v"), F.col("s").alias("u")), F.struct(F.lit(False).alias("back"), F.col("s").alias("v"), F.col("t").alias("u")))).alias("x"), *more).select(*both[:-1], "x.*", *more)
+    heaviest = turned(edges.select(*keys, "s", "t", "w"), "w").groupBy(*both, "v").agg(F.max_by("u", F.struct("w", -F.col("u"))).alias("u"))
+    ends = turned(chosen)
+    open_ = cut(heaviest.join(ends.select(*both, "v"), [*both, "v"], "left_anti"))
+    on_way, seen = _cut_counting(open_.select(*both, "v").join(ends.select(*both, F.col("u").alias("v")), [*both, "v"], "left_semi"), {"n": F.lit(True)})
+    jump, n = open_, seen["n"]
+    while n:
+        further = on_way.join(jump, [*both, "v"]).select(*both, F.col("u").alias("v")).join(open_, [*both, "v"], "left_semi").select(*both, "v")
+        on_way, seen = _cut_counting(on_way.union(further).distinct(), {"n": F.lit(True)})
+        if seen["n"] == n:
+            break
+        n = seen["n"]
+        jump = cut(jump.join(jump.select(*both, F.col("v").alias("u"), F.col("u").alias("_u")), [*both, "u"]).select(*both, "v", F.col("_u").alias("u")))
+    added = open_.join(on_way, [*both, "v"], "left_semi").select(*keys, F.when(F.col("back"), F.col("u")).otherwise(F.col("v")).alias("s"), F.when(F.col("back"), F.col("v")).otherwise(F.col("u")).alias("t"))
+    return chosen.union(added).distinct()

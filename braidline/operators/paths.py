@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import cut, is_empty
+from ..runtime import Table, cut, is_empty
 from .graph import relaxed
 from .intervals import prefix
 
@@ -103,13 +103,6 @@ def balanced_sample(df: DataFrame, group: str, place: str, most: int, salts: int
     return number(first, group).join(F.broadcast(least)).where("_nth <= _most").drop("_nth", "_most")  # one row
 
 
-def balanced_sample(df: DataFrame, group: str, place: str, most: int) -> DataFrame:
-    """The first rows of each group, as many of each as the smallest has, at most so many."""
-    least = df.groupBy(group).count().agg(F.least(F.min("count"), F.lit(most)).alias("_most"))
-    first = df.withColumn("_nth", F.row_number().over(Window.partitionBy(group).orderBy(place))).where(F.col("_nth") <= most)
-    return first.join(F.broadcast(least)).where("_nth <= _most").drop("_nth", "_most")  # one row
-
-
 def clusters(df: DataFrame, keys: list[str], value: str, tie: list[str], gap: float, width: float) -> DataFrame:
     """Adds c, the number of the cluster in its keys: a new one begins where the value exceeds the one before by more than gap. Bins of that width divide the keys."""
     order = [value, *tie]
@@ -241,14 +234,14 @@ def decomposed(edges: DataFrame, keys: list[str], source: int, sink: int, least:
 
 def decomposed_by_rounds(edges: DataFrame, keys: list[str], source: int, sink: int, least: float) -> DataFrame:
     """decomposed() without a group a graph: each round finds the widest way of every graph by relaxation of its edges, and takes it out."""
-    edges, nth = cut(edges.select(*keys, "s", "t", "w")), 0
-    found = edges.limit(0).select(*keys, F.lit(0).alias("nth"), "w", F.lit("").alias("path"))
+    edges, nth, found = cut(edges.select(*keys, "s", "t", "w")), 0, Table(edges.sparkSession)
+    found.add(edges.limit(0).select(*keys, F.lit(0).alias("nth"), "w", F.lit("").alias("path")))
     while True:
         width = relaxed(edges, source, keys, F.lit(float("inf")), F.least, F.max, "b")
         ways = width.where((F.col("v") == sink) & (F.col("b") > least)).select(*keys, F.col("b").alias("taken"), F.array(F.lit(sink).cast("long")).alias("way"))
         ways = cut(ways)
         if is_empty(ways):
-            return found
+            return found.read()
         # the least vertex by which a vertex has its width
         at = lambda end, name: width.select(*keys, F.col("v").alias(end), F.col("b").alias(name))
         through = edges.join(at("s", "b_s"), [*keys, "s"]).join(at("t", "b_t"), [*keys, "t"]).where(F.least("b_s", "w") == F.col("b_t"))
@@ -257,7 +250,7 @@ def decomposed_by_rounds(edges: DataFrame, keys: list[str], source: int, sink: i
             ways = ways.withColumn("head", F.col("way")[0]).join(before, [*keys, "head"], "left")
             ways = cut(ways.select(*keys, "taken", F.when(F.col("head") == source, F.col("way")).otherwise(F.concat(F.array("before"), "way")).alias("way")))
         nth += 1
-        found = found.union(ways.select(*keys, F.lit(nth).alias("nth"), F.col("taken").alias("w"), F.array_join("way", ",").alias("path")))
+        found.add(ways.select(*keys, F.lit(nth).alias("nth"), F.col("taken").alias("w"), F.array_join("way", ",").alias("path")))
         hops = F.transform(F.slice("way", 1, F.size("way") - 1), lambda s, i: F.struct(s.alias("s"), F.col("way")[i + 1].alias("t")))
         used = ways.select(*keys, "taken", F.explode(hops).alias("e")).select(*keys, "taken", "e.s", "e.t")
         left = edges.join(used, [*keys, "s", "t"], "left").withColumn("w", F.col("w") - F.coalesce("taken", F.lit(0.0)))

@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.alignment import gt_conflict
 from ..runtime import cut
 from .intervals import coverage, following, in_bins, points_in_intervals, region_stats, sessionize
 
@@ -97,6 +98,11 @@ def numbered(parts: DataFrame, keys: list[str], out: str) -> DataFrame:
     return parts.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy("l", "r", "ale")).cast("long"))
 
 
+def genotyped(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds gt: the genotype of the row's allele at its place by the known ones (keys, l, ale, gt), UNPHASED where there is none."""
+    return rows.join(known.select(*keys, "l", "ale", "gt"), [*keys, "l", "ale"], "left").withColumn("gt", F.coalesce("gt", F.lit("UNPHASED")))
+
+
 def ways_of_reads(pieces: DataFrame, found: DataFrame, parts: DataFrame, keys: list[str], id_: str, width: int) -> DataFrame:
     """(keys, id, way): the numbers of the parts (keys, rl, rr, ale, pid) that a read goes through, in order.
 
@@ -113,19 +119,19 @@ def ways_of_reads(pieces: DataFrame, found: DataFrame, parts: DataFrame, keys: l
 
 
 def splice_graph(parts: DataFrame, ways: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(vertices, edges) of each locus: (keys, v, l, r, ale, weight, dev) and (keys, s, t, w).
+    """(vertices, edges) of each locus: (keys, v, l, r, ale, gt, weight, dev) and (keys, s, t, w).
 
-    Vertices are the parts (keys, pid, ...), with 0 for the start; the end is one more than the last. Reads' ways (keys,
-    way) make an edge of each pair that follow each other, with as many as they are; parts that touch are joined by
-    LEAST_WEIGHT where no read does. A part that starts (or ends) a transcript is joined to the start (end), by as much
+    Vertices are the parts (keys, pid, gt, ...), with 0 for the start; the end is one more than the last. Reads' ways (keys,
+    way) make an edge of each pair that follow each other, with as many as they are; parts that touch, and are not of
+    different alleles, are joined by LEAST_WEIGHT where no read does. A part that starts (or ends) a transcript is joined to the start (end), by as much
     as its depth exceeds its neighbour's where that touches it; so are alleles that nothing else leads to (from).
     """
     parts = cut(parts)
-    vertices = parts.select(*keys, F.col("pid").alias("v"), "l", "r", "ale", F.greatest("ave", F.lit(LEAST_WEIGHT)).alias("weight"), "dev")
+    vertices = parts.select(*keys, F.col("pid").alias("v"), "l", "r", "ale", "gt", F.greatest("ave", F.lit(LEAST_WEIGHT)).alias("weight"), "dev")
     pair = F.transform(F.slice("way", 1, F.greatest(F.size("way") - 1, F.lit(0))), lambda s, i: F.struct(s.alias("s"), F.col("way")[i + 1].alias("t")))
     threaded = ways.select(*keys, F.explode(pair).alias("e")).groupBy(*keys, "e.s", "e.t").agg(F.count("*").cast("double").alias("w"))
-    before, after = (parts.select(*keys, F.col(c).alias("p"), F.col("pid").alias(n)) for c, n in (("r", "s"), ("l", "t")))
-    touching = before.join(after, [*keys, "p"]).select(*keys, "s", "t")
+    before, after = (parts.select(*keys, F.col(c).alias("p"), F.col("pid").alias(n), F.col("gt").alias(f"{n}_gt")) for c, n in (("r", "s"), ("l", "t")))
+    touching = before.join(after, [*keys, "p"]).where(~gt_conflict(F.col("s_gt"), F.col("t_gt"))).select(*keys, "s", "t")
     inner = cut(threaded.union(touching.join(threaded, [*keys, "s", "t"], "left_anti").select(*keys, "s", "t", F.lit(LEAST_WEIGHT).alias("w"))))
 
     def bound(side: str, beside: int, end: Column) -> DataFrame:

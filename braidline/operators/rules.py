@@ -1,6 +1,6 @@
 """Rules on the vertices of splice graphs, each for all graphs at once.
 
-Vertices: (keys, v, l, r, ale, weight, dev, ltype, rtype, empty); edges: (keys, s, t, w), with 0 for the start and no
+Vertices: (keys, v, l, r, ale, gt, weight, dev, ltype, rtype, empty); edges: (keys, s, t, w), with 0 for the start and no
 vertex for it or for the end. No rule looks at empty vertices.
 """
 
@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import cut
+from .graph import connected_components, with_heaviest_ways
 from .regions import END, LEAST_WEIGHT, PLAIN, START
 
 #: The two alleles' names.
-GENOTYPES = {"A": "ALLELE1", "T": "ALLELE2"}
+ALLELES = ("ALLELE1", "ALLELE2")
+#: The least weights of edges that survive by themselves, and as the heaviest of a component.
+LEAST_SURVIVING, LEAST_HEAVIEST = 1.6, 1.5
 
 
 def surroundings(vertices: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,9 +34,9 @@ def inner_boundaries(vertices: DataFrame, edges: DataFrame, keys: list[str], lea
     """Plain vertices of even depth, with one edge in and one out, of which one is to an end and the other is not its neighbour's only one."""
     around = cut(surroundings(vertices, edges, keys))
     one = around.where((F.col("ale") == PLAIN) & (F.col("dev") < least_dev)).where("n_in = 1 and n_out = 1 and (starts or ends)")
-    degree = lambda v, n: around.select(*keys, F.col("v").alias(v), F.col(n).alias(f"{v}_{n}"))
-    rows = one.join(degree("before", "n_out"), [*keys, "before"], "left").join(degree("after", "n_in"), [*keys, "after"], "left")
-    return rows.where("(starts or coalesce(before_n_out, 2) > 1) and (ends or coalesce(after_n_in, 2) > 1)").select(*keys, "v")
+    degree = lambda v, end: edges.groupBy(*keys, F.col(end).alias(v)).agg(F.count("*").alias(f"{v}_n"))  # noqa: E731  of all edges, those of empty vertices included
+    rows = one.join(degree("before", "s"), [*keys, "before"], "left").join(degree("after", "t"), [*keys, "after"], "left")
+    return rows.where("(starts or before_n > 1) and (ends or after_n > 1)").select(*keys, "v")
 
 
 def small_exons(vertices: DataFrame, edges: DataFrame, keys: list[str], least_length: int = 20) -> DataFrame:
@@ -69,23 +72,27 @@ def without_regional_graphs(classes: DataFrame, keys: list[str]) -> DataFrame:
     return classes.groupBy(*keys).agg(F.bool_and("regional").alias("_all")).where("not _all").select(*keys)
 
 
-def counter_alleles(sites: DataFrame, keys: list[str], names: tuple[str, str] = tuple(GENOTYPES)) -> DataFrame:
-    """(keys, l, r, ale, weight): of sites (keys, l, r, ale) where one of two alleles was seen, the other, with the least weight."""
-    one = sites.where(F.col("ale").isin(*names)).groupBy(*keys, "l", "r").agg(F.min("ale").alias("ale"), F.count("*").alias("n")).where("n = 1")
-    return one.select(*keys, "l", "r", F.when(F.col("ale") == names[0], names[1]).otherwise(names[0]).alias("ale"), F.lit(LEAST_WEIGHT).alias("weight"))
+def counter_alleles(sites: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, l, r, ale, gt, weight): of sites (keys, l, r, ale, gt) where one of the two alleles was seen, the other that is known there (keys, l, ale, gt), with the least weight."""
+    one = sites.where(F.col("gt").isin(*ALLELES)).groupBy(*keys, "l", "r").agg(F.min("gt").alias("seen"), F.count_distinct("gt").alias("n")).where("n = 1")
+    return one.join(known.where(F.col("gt").isin(*ALLELES)), [*keys, "l"]).where("gt <> seen").select(*keys, "l", "r", "ale", "gt", F.lit(LEAST_WEIGHT).alias("weight"))
 
 
-def lone_alleles(sites: DataFrame, keys: list[str], most: float = 3, names: tuple[str, str] = tuple(GENOTYPES)) -> DataFrame:
-    """Alleles (keys, l, r, ale, n) of little depth at sites where the other was not seen: these tell nothing."""
+def lone_alleles(sites: DataFrame, keys: list[str], most: float = 3) -> DataFrame:
+    """Alleles (keys, l, r, ale, gt, n) of little depth at sites where the other was not seen: these tell nothing."""
     alone = F.count("*").over(Window.partitionBy(*keys, "l", "r"))  # a site has at most the two
-    return sites.where(F.col("ale").isin(*names)).withColumn("_of", alone).where((F.col("_of") == 1) & (F.col("n") <= most)).drop("_of")
+    return sites.where(F.col("gt").isin(*ALLELES)).withColumn("_of", alone).where((F.col("_of") == 1) & (F.col("n") <= most)).drop("_of")
 
 
 def transcripts(ways: DataFrame, parts: DataFrame, keys: list[str], id_: str) -> DataFrame:
-    """(keys, id, gt, exons) of ways (keys, id, way) through parts (keys, pid, l, r, ale): parts that touch are one exon; the genotype is the first allele's."""
-    steps = ways.select(*keys, id_, F.posexplode("way").alias("k", "pid")).join(parts.select(*keys, "pid", "l", "r", "ale"), [*keys, "pid"])
-    name = F.when(F.col("ale") == "A", GENOTYPES["A"]).when(F.col("ale") == "T", GENOTYPES["T"])
-    own = steps.groupBy(*keys, id_).agg(F.min_by(name, F.when(name.isNotNull(), F.col("k"))).alias("gt"), F.array_sort(F.collect_set(F.struct("l", "r"))).alias("x"))
+    """(keys, id, gt, exons) of ways (keys, id, way) through parts (keys, pid, l, r, ale, gt): parts that touch are one exon.
+
+    The genotype is the first allele's; without one it is NONSPECIFIC if any part is, else UNPHASED.
+    """
+    steps = ways.select(*keys, id_, F.posexplode("way").alias("k", "pid")).join(parts.select(*keys, "pid", "l", "r", "gt"), [*keys, "pid"])
+    allele = F.col("gt").isin(*ALLELES)
+    first = F.min_by(F.when(allele, F.col("gt")), F.when(allele, F.col("k")))
+    own = steps.groupBy(*keys, id_).agg(F.coalesce(first, F.when(F.bool_or(F.col("gt") == "NONSPECIFIC"), "NONSPECIFIC")).alias("gt"), F.array_sort(F.collect_set(F.struct("l", "r"))).alias("x"))
     # a part that begins where the last exon ends goes on with it
     joined = F.expr("""aggregate(x, cast(array() as array<struct<l:bigint,r:bigint>>), (done, p) ->
         if(size(done) > 0 and p.l <= element_at(done, -1).r, concat(slice(done, 1, size(done) - 1), array(struct(element_at(done, -1).l as l, greatest(element_at(done, -1).r, p.r) as r))), concat(done, array(p))))""")
@@ -96,3 +103,32 @@ def strand_votes(reads: DataFrame, keys: list[str], xs: str) -> DataFrame:
     """(keys, strand): the sign that most reads have, a dot where both have as many."""
     votes = reads.groupBy(*keys).agg(F.count_if(F.col(xs) == "+").alias("p"), F.count_if(F.col(xs) == "-").alias("q"))
     return votes.select(*keys, F.when(F.col("p") > F.col("q"), "+").when(F.col("p") < F.col("q"), "-").otherwise(".").alias("strand"))
+
+
+def surviving_edges(vertices: DataFrame, edges: DataFrame, keys: list[str], least: float = LEAST_SURVIVING, least_heaviest: float = LEAST_HEAVIEST) -> DataFrame:
+    """The edges (keys, s, t, w) that stay when weak ones go.
+
+    Those of alleles' vertices stay, with their heaviest ways to both ends in the graph without the other allele; those
+    of at least the least weight; the heaviest that no allele's vertex ends, of each component without start and end, if
+    that is heavy enough (of equals the largest s and t); and what joins all these to both ends by heaviest edges.
+    """
+    edges = cut(edges.select(*keys, "s", "t", "w"))
+    of = vertices.select(*keys, "v", (F.col("ale") != PLAIN).alias("allelic"), F.when(F.col("gt").isin(*ALLELES), F.col("gt")).alias("gt"))
+    ends = edges
+    for c in "st":
+        ends = ends.join(of.select(*keys, F.col("v").alias(c), F.col("allelic").alias(f"{c}_allelic"), F.col("gt").alias(f"{c}_gt")), [*keys, c], "left")
+    ends = cut(ends)
+    chosen = ends.where(F.col("w") >= least).select(*keys, "s", "t")
+    # a copy of the graph for each allele, without the other's vertices
+    copies = ends.withColumn("copy", F.explode(F.array(*map(F.lit, ALLELES))))
+    known = lambda c, same: F.coalesce((F.col(c) == F.col("copy")) if same else (F.col(c) != F.col("copy")), F.lit(False))
+    copies = cut(copies.where(~known("s_gt", False) & ~known("t_gt", False)))
+    own = copies.where(known("s_gt", True) | known("t_gt", True))
+    chosen = chosen.union(with_heaviest_ways(own, copies, [*keys, "copy"]).select(*keys, "s", "t"))
+    inner = ends.where("s_allelic is not null and t_allelic is not null")
+    node = lambda c: F.struct(*keys, F.col(c).alias("v"))
+    component = connected_components(inner.select(node("s").alias("src"), node("t").alias("dst"))).select("node.*", "component").withColumnRenamed("v", "s")
+    plain = inner.where(~F.col("s_allelic") & ~F.col("t_allelic") & (F.col("w") >= least_heaviest)).join(component, [*keys, "s"])
+    heaviest = plain.groupBy("component").agg(F.max(F.struct("w", "s", "t", *keys)).alias("e"))
+    chosen = chosen.union(heaviest.select(*(f"e.{k}" for k in keys), "e.s", "e.t"))
+    return edges.join(with_heaviest_ways(chosen, edges, keys), [*keys, "s", "t"], "left_semi").select(*keys, "s", "t", "w")

@@ -1,20 +1,39 @@
 """Queries on regions of loci and the graphs of their parts; see registry for how the given tables stand in for reads.
 
-A read is an event's interval; a purchase's read goes on, after a junction, with the user's next event in the locus. A
-known site is the base half a second after the start of each error; reads have A or T there by their value, clicks were
-not looked at.
+A chromosome is two users, so loci have up to a hundred parts. A read is an event's interval, four minutes for each started
+unit of value; a purchase's read goes on, after a junction, with the next event in the locus. A known site is the base half a
+second after the start of each error; reads have A or T there by their value, clicks were not looked at. Which of the
+two is which allele, or whether that is known at all, is a matter of the site's second.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import intervals, regions, rules
-from .registry import _LOCI, DAY, _loci, query
+from ..runtime import table
+from .registry import DAY, HOUR, _as_intervals, query
 
 KEYS = ["chrom", "locus"]
 
+_LOCI = f"""ev AS (SELECT user_id // 2 AS chrom, event_id AS id, epoch_us(ts) AS l, epoch_us(ts) + (floor(value)::BIGINT + 1) * 240000000 AS r, event_type AS ale, value FROM events),
+    reach AS (SELECT *, max(r) OVER (PARTITION BY chrom ORDER BY l, r, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM ev),
+    marked AS (SELECT *, max(CASE WHEN m IS NULL OR l > m + {12 * HOUR} THEN l END) OVER (PARTITION BY chrom ORDER BY l, r, id ROWS UNBOUNDED PRECEDING) AS locus FROM reach)"""
+_GT = """CASE WHEN ale NOT IN ('A', 'T') OR l // 1000000 % 7 = 0 THEN 'UNPHASED' WHEN l // 1000000 % 5 = 0 THEN 'NONSPECIFIC' WHEN (l // 1000000 % 2 = 0) = (ale = 'A') THEN 'ALLELE1' ELSE 'ALLELE2' END"""
+
+
+def _loci(spark: SparkSession, d: str) -> DataFrame:
+    reads = _as_intervals(table(spark, d, "events")).select(F.floor(F.col("chrom") / 2).alias("chrom"), "id", "l", (F.col("l") + (F.col("r") - F.col("l")) * 240).alias("r"), "ale", "value")
+    return intervals.sessionize(reads, ["chrom"], gap=12 * HOUR, tie=("id",), width=DAY)
+
+
+def _genotype() -> Column:
+    """Of allele ale at the site l."""
+    second = F.floor(F.col("l") / 1_000_000)
+    return F.when(second % 7 == 0, "UNPHASED").when(second % 5 == 0, "NONSPECIFIC").when((second % 2 == 0) == (F.col("ale") == "A"), "ALLELE1").otherwise("ALLELE2")
+
+
 _PIECES = f"""{_LOCI}, reads AS (SELECT chrom, locus, id, l, r, ale AS kind, value, lead(l) OVER w AS nl, lead(r) OVER w AS nr FROM marked WINDOW w AS (PARTITION BY chrom, locus ORDER BY l, id)),
     split AS (SELECT * FROM reads WHERE kind = 'purchase' AND nl > r),
     blocks AS (SELECT chrom, locus, id, l, r, kind, value FROM reads UNION ALL SELECT chrom, locus, id, nl, nr, kind, value FROM split),
@@ -45,12 +64,12 @@ _PARTS = f"""{_REGIONS}, fresh AS (SELECT *, CASE WHEN l = lag(r) OVER (PARTITIO
         UNION ALL SELECT chrom, locus, l, r, ale, l, r, ltype, rtype, n::DOUBLE, 0.01::DOUBLE, n, false FROM regs WHERE ale <> '$'
         UNION ALL SELECT chrom, locus, rl, rr, '$', rl, rl + 1, ltype, 2, 0.01, 1.0, 0, false FROM edge WHERE ltype & 8 > 0 AND first > rl
         UNION ALL SELECT chrom, locus, rl, rr, '$', rr - 1, rr, 1, rtype, 0.01, 1.0, 0, false FROM edge WHERE rtype & 4 > 0 AND last < rr)"""
-_WAYS = f"""{_PARTS}, pid AS (SELECT *, row_number() OVER (PARTITION BY chrom, locus ORDER BY l, r, ale)::BIGINT AS pid FROM parts),
+_WAYS = f"""{_PARTS}, pid AS (SELECT *, {_GT} AS gt, row_number() OVER (PARTITION BY chrom, locus ORDER BY l, r, ale)::BIGINT AS pid FROM parts),
     met AS (SELECT DISTINCT p.chrom, p.locus, p.id, g.l AS rl, g.r AS rr, p.ale FROM pieces p JOIN regs g ON p.chrom = g.chrom AND p.locus = g.locus AND p.ale = g.ale AND g.l < p.r AND g.r > p.l),
     through AS (SELECT met.chrom, met.locus, met.id, rl, pid FROM met LEFT JOIN pid USING (chrom, locus, rl, rr, ale)),
     ways AS (SELECT chrom, locus, id, list(pid ORDER BY rl, pid) AS way FROM through GROUP BY ALL HAVING bool_and(pid IS NOT NULL))"""
 _GRAPH = f"""{_WAYS}, threaded AS (SELECT chrom, locus, s, t, count(*)::DOUBLE AS w FROM (SELECT chrom, locus, unnest(list_zip(way[:-2], way[2:])) AS e, e[1] AS s, e[2] AS t FROM ways WHERE len(way) > 1) GROUP BY ALL),
-    touching AS (SELECT a.chrom, a.locus, a.pid AS s, b.pid AS t FROM pid a JOIN pid b ON a.chrom = b.chrom AND a.locus = b.locus AND a.r = b.l),
+    touching AS (SELECT a.chrom, a.locus, a.pid AS s, b.pid AS t FROM pid a JOIN pid b ON a.chrom = b.chrom AND a.locus = b.locus AND a.r = b.l WHERE NOT (a.gt = 'ALLELE1' AND b.gt = 'ALLELE2' OR a.gt = 'ALLELE2' AND b.gt = 'ALLELE1')),
     within AS (SELECT * FROM threaded UNION ALL SELECT *, 0.01 FROM (SELECT * FROM touching EXCEPT SELECT chrom, locus, s, t FROM threaded)),
     near AS (SELECT *, CASE WHEN lag(r) OVER w = l THEN lag(ave) OVER w ELSE 0 END AS left_ave, CASE WHEN lead(l) OVER w = r THEN lead(ave) OVER w ELSE 0 END AS right_ave, max(pid) OVER (PARTITION BY chrom, locus) + 1 AS sink FROM pid WINDOW w AS (PARTITION BY chrom, locus ORDER BY pid)),
     graph AS (SELECT * FROM within
@@ -73,6 +92,7 @@ class Reads:
         sites = self.rows.where("kind = 'error'").select(*KEYS, (F.col("l") + 500_000).alias("p")).distinct()
         seen = intervals.points_in_intervals(sites, blocks.where("kind <> 'click'"), KEYS, width=DAY)
         seen = seen.select(*KEYS, "id", "p", F.when(F.col("value") >= 100, "A").otherwise("T").alias("ale")).distinct()
+        self.known = sites.select(*KEYS, F.col("p").alias("l"), F.explode(F.array(F.lit("A"), F.lit("T"))).alias("ale")).withColumn("gt", _genotype())
         self.pieces = cut(regions.split_by_sites(blocks.select(*KEYS, "id", "l", "r"), sites, seen, KEYS, "id", width=DAY))
 
     def regions(self) -> tuple[DataFrame, DataFrame]:
@@ -84,7 +104,7 @@ class Reads:
     def parts(self) -> tuple[DataFrame, DataFrame]:
         """(regions, parts with their numbers)."""
         found, depths = self.regions()
-        return found, regions.numbered(regions.partial_exons(found, depths, KEYS, DAY), KEYS, "pid")
+        return found, regions.genotyped(regions.numbered(regions.partial_exons(found, depths, KEYS, DAY), KEYS, "pid"), self.known, KEYS)
 
     def ways(self) -> tuple[DataFrame, DataFrame]:
         """(parts, ways)."""
@@ -112,7 +132,7 @@ def q31_regions(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_PARTS} SELECT chrom, locus, rl, rr, ale, l, r, ltype, rtype, round(ave, 6) AS ave, round(dev, 6) AS dev, high, empty FROM parts")
 def q32_partial_exons(spark: SparkSession, d: str) -> DataFrame:
     """The covered parts of the regions."""
-    return _rounded(Reads(spark, d).parts()[1].drop("pid"), "ave", "dev")
+    return _rounded(Reads(spark, d).parts()[1].drop("pid", "gt"), "ave", "dev")
 
 
 @query(f"WITH {_WAYS} SELECT chrom, locus, id, array_to_string(way, ',') AS way FROM ways")
@@ -145,31 +165,31 @@ def _graph(spark: SparkSession, d: str) -> tuple[Reads, DataFrame, DataFrame]:
     parts, ways = reads.ways()
     parts = cut(parts)
     edges = regions.splice_graph(parts, ways, KEYS)[1].groupBy(*KEYS, "s", "t").agg(F.sum("w").alias("w"))
-    vertices = parts.select(*KEYS, F.col("pid").alias("v"), "l", "r", "ale", F.greatest("ave", F.lit(regions.LEAST_WEIGHT)).alias("weight"), "dev", "ltype", "rtype", "empty")
+    vertices = parts.select(*KEYS, F.col("pid").alias("v"), "l", "r", "ale", "gt", F.greatest("ave", F.lit(regions.LEAST_WEIGHT)).alias("weight"), "dev", "ltype", "rtype", "empty")
     return reads, vertices, cut(edges)
 
 
-@query(f"""WITH {_VERTICES} SELECT a.chrom, a.locus, a.pid AS v FROM around a LEFT JOIN around b ON b.chrom = a.chrom AND b.locus = a.locus AND b.pid = a.before LEFT JOIN around c ON c.chrom = a.chrom AND c.locus = a.locus AND c.pid = a.after
-    WHERE a.ale = '$' AND a.dev < 0.01 AND a.n_in = 1 AND a.n_out = 1 AND (a.starts OR a.ends) AND (a.starts OR coalesce(b.n_out, 2) > 1) AND (a.ends OR coalesce(c.n_in, 2) > 1)""")
+@query(f"""WITH {_VERTICES}, outs AS (SELECT chrom, locus, s AS before, count(*) AS before_n FROM e GROUP BY ALL), ins AS (SELECT chrom, locus, t AS after, count(*) AS after_n FROM e GROUP BY ALL)
+    SELECT chrom, locus, pid AS v FROM around JOIN outs USING (chrom, locus, before) JOIN ins USING (chrom, locus, after)
+    WHERE ale = '$' AND dev < 0.01 AND n_in = 1 AND n_out = 1 AND (starts OR ends) AND (starts OR before_n > 1) AND (ends OR after_n > 1)""")
 def q35_inner_boundaries(spark: SparkSession, d: str) -> DataFrame:
     """Vertices at an end that only seem to be there."""
     _, vertices, edges = _graph(spark, d)
     return rules.inner_boundaries(vertices, edges, KEYS)
 
 
-@query(f"WITH {_VERTICES} SELECT chrom, locus, pid AS v FROM around WHERE r - l < 60000000 AND NOT fl AND NOT fr AND (starts OR ends)")
+@query(f"WITH {_VERTICES} SELECT chrom, locus, pid AS v FROM around WHERE r - l < 14400000000 AND NOT fl AND NOT fr AND (starts OR ends)")
 def q36_small_exons(spark: SparkSession, d: str) -> DataFrame:
-    """Parts of less than a minute that nothing touches, at an end."""
+    """Parts of less than four hours that nothing touches, at an end: the rule's limit in the unit of these reads."""
     _, vertices, edges = _graph(spark, d)
-    return rules.small_exons(vertices, edges, KEYS, 60_000_000)
+    return rules.small_exons(vertices, edges, KEYS, 4 * HOUR)
 
 
-@query(f"WITH {_VERTICES} SELECT a.chrom, a.locus, a.pid AS v FROM around a JOIN e ON e.chrom = a.chrom AND e.locus = a.locus AND e.s = before AND e.t = after WHERE n_in = 1 AND n_out = 1 AND NOT starts AND NOT ends AND fl AND fr AND weight <= 2 AND weight <= e.w UNION ALL SELECT chrom, locus, -1 FROM around WHERE starts AND ends AND n_in = 1 AND n_out = 1")
+@query(f"WITH {_VERTICES} SELECT a.chrom, a.locus, a.pid AS v FROM around a JOIN e ON e.chrom = a.chrom AND e.locus = a.locus AND e.s = before AND e.t = after WHERE n_in = 1 AND n_out = 1 AND NOT starts AND NOT ends AND fl AND fr AND weight <= 2 AND weight <= e.w")
 def q37_contaminated_introns(spark: SparkSession, d: str) -> DataFrame:
-    """Thin parts that a junction leads past; and a row of -1 for each part that is a transcript of its own, as thin parts are rare."""
+    """Thin parts that a junction leads past."""
     _, vertices, edges = _graph(spark, d)
-    alone = rules.surroundings(vertices, edges, KEYS).where("starts and ends and n_in = 1 and n_out = 1")
-    return rules.contaminated_introns(vertices, edges, KEYS).union(alone.select(*KEYS, F.lit(-1).cast("long")))
+    return rules.contaminated_introns(vertices, edges, KEYS)
 
 
 @query(f"""WITH {_VERTICES} SELECT chrom, locus, pid AS v, 'start' AS side, round(weight - w_in, 6) AS w FROM around WHERE ale = '$' AND NOT starts AND weight >= w_in AND weight >= 0.5 * w_in * w_in
@@ -191,11 +211,11 @@ def q39_vertex_classes(spark: SparkSession, d: str) -> DataFrame:
     return classes.join(rules.without_regional_graphs(classes, KEYS), KEYS, "left_semi")
 
 
-@query(f"""WITH {_WAYS}, step AS (SELECT chrom, locus, id, unnest(way) AS pid, generate_subscripts(way, 1) AS k FROM ways), placed AS (SELECT step.*, l, r, ale FROM step JOIN pid USING (chrom, locus, pid)),
-    gts AS (SELECT chrom, locus, id, coalesce(CASE arg_min(ale, k) FILTER (ale IN ('A', 'T')) WHEN 'A' THEN 'ALLELE1' WHEN 'T' THEN 'ALLELE2' END, 'UNPHASED') AS gt FROM placed GROUP BY ALL),
+@query(f"""WITH {_WAYS}, step AS (SELECT chrom, locus, id, unnest(way) AS pid, generate_subscripts(way, 1) AS k FROM ways), placed AS (SELECT step.*, l, r, gt FROM step JOIN pid USING (chrom, locus, pid)),
+    gts AS (SELECT chrom, locus, id, coalesce(arg_min(gt, k) FILTER (gt IN ('ALLELE1', 'ALLELE2')), CASE WHEN bool_or(gt = 'NONSPECIFIC') THEN 'NONSPECIFIC' END, 'UNPHASED') AS gt FROM placed GROUP BY ALL),
     upto AS (SELECT *, max(r) OVER (PARTITION BY chrom, locus, id ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM placed),
     merged AS (SELECT *, sum(CASE WHEN m IS NULL OR l > m THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, locus, id ORDER BY l, r) AS n FROM upto)
-    SELECT chrom, locus, id, gt, n::BIGINT AS exon, min(l) AS l, max(r) AS r FROM merged JOIN gts USING (chrom, locus, id) GROUP BY ALL""")
+    SELECT chrom, locus, id, gts.gt AS gt, n::BIGINT AS exon, min(l) AS l, max(r) AS r FROM merged JOIN gts USING (chrom, locus, id) GROUP BY ALL""")
 def q40_transcripts_of_ways(spark: SparkSession, d: str) -> DataFrame:
     """Reads' ways as transcripts: exons of parts that touch, and the first allele's genotype."""
     parts, ways = Reads(spark, d).ways()
@@ -203,14 +223,15 @@ def q40_transcripts_of_ways(spark: SparkSession, d: str) -> DataFrame:
     return made.select(*KEYS, "id", "gt", F.posexplode("exons").alias("k", "x")).select(*KEYS, "id", "gt", (F.col("k") + 1).cast("long").alias("exon"), "x.l", "x.r")
 
 
-@query(f"""WITH {_REGIONS}, two AS (SELECT *, count(*) OVER (PARTITION BY chrom, locus, l, r) AS k FROM alleles WHERE ale IN ('A', 'T'))
-    SELECT chrom, locus, l, r, ale, n, 'lone' AS kind FROM two WHERE k = 1 AND n <= 3 UNION ALL SELECT chrom, locus, l, r, CASE ale WHEN 'A' THEN 'T' ELSE 'A' END, NULL, 'counter' FROM two WHERE k = 1""")
+@query(f"""WITH {_REGIONS}, named AS (SELECT *, {_GT} AS gt FROM alleles), two AS (SELECT *, count(*) OVER (PARTITION BY chrom, locus, l, r) AS k FROM named WHERE gt IN ('ALLELE1', 'ALLELE2'))
+    SELECT chrom, locus, l, r, ale, gt, n, 'lone' AS kind FROM two WHERE k = 1 AND n <= 3 UNION ALL SELECT chrom, locus, l, r, CASE ale WHEN 'A' THEN 'T' ELSE 'A' END, CASE gt WHEN 'ALLELE1' THEN 'ALLELE2' ELSE 'ALLELE1' END, NULL, 'counter' FROM two WHERE k = 1""")
 def q41_lone_and_counter_alleles(spark: SparkSession, d: str) -> DataFrame:
     """Alleles of little depth that are alone at their site, and those that are missing there."""
-    pieces = Reads(spark, d).pieces
-    sites = pieces.where(F.col("ale") != regions.PLAIN).groupBy(*KEYS, "l", "r", "ale").agg(F.count("*").alias("n"))
-    lone = rules.lone_alleles(sites, KEYS).select(*KEYS, "l", "r", "ale", "n", F.lit("lone").alias("kind"))
-    return lone.union(rules.counter_alleles(sites, KEYS).select(*KEYS, "l", "r", "ale", F.lit(None).cast("long"), F.lit("counter")))
+    reads = Reads(spark, d)
+    sites = reads.pieces.where(F.col("ale") != regions.PLAIN).groupBy(*KEYS, "l", "r", "ale").agg(F.count("*").alias("n"))
+    sites = regions.genotyped(sites, reads.known, KEYS)
+    lone = rules.lone_alleles(sites, KEYS).select(*KEYS, "l", "r", "ale", "gt", "n", F.lit("lone").alias("kind"))
+    return lone.union(rules.counter_alleles(sites, reads.known, KEYS).select(*KEYS, "l", "r", "ale", "gt", F.lit(None).cast("long"), F.lit("counter")))
 
 
 @query(f"""WITH {_LOCI}, votes AS (SELECT chrom, locus, count(*) FILTER (ale = 'view') AS p, count(*) FILTER (ale = 'click') AS q FROM marked GROUP BY ALL)
@@ -219,3 +240,33 @@ def q42_strand_votes(spark: SparkSession, d: str) -> DataFrame:
     """The sign of each locus by the votes of its views (+) and clicks (-)."""
     xs = F.when(F.col("ale") == "view", "+").when(F.col("ale") == "click", "-").otherwise(".")
     return rules.strand_votes(_loci(spark, d).withColumn("xs", xs), KEYS, "xs")
+
+
+_SURVIVING = f"""{_VERTICES}, ends_of AS (SELECT e.*, a.gt AS s_gt, b.gt AS t_gt, a.ale AS s_ale, b.ale AS t_ale FROM e LEFT JOIN vertex a ON a.chrom = e.chrom AND a.locus = e.locus AND a.pid = e.s LEFT JOIN vertex b ON b.chrom = e.chrom AND b.locus = e.locus AND b.pid = e.t)"""
+
+
+def _closure_sql(name: str, edges: str, chosen: str) -> str:
+    """CTEs; {name}(chrom, locus, s, t) is what with_heaviest_ways() gives for the chosen edges."""
+    out = []
+    for own, other in (("s", "t"), ("t", "s")):
+        out.append(f"""{name}_{own}_open AS (SELECT chrom, locus, {other} AS v, arg_max({own}, w * 1000000000 - {own}) AS u FROM {edges} x WHERE NOT EXISTS (SELECT 1 FROM {chosen} c WHERE c.chrom = x.chrom AND c.locus = x.locus AND c.{other} = x.{other}) GROUP BY chrom, locus, {other}),
+        {name}_{own}(chrom, locus, v) AS (SELECT DISTINCT o.chrom, o.locus, v FROM {name}_{own}_open o JOIN {chosen} c ON c.chrom = o.chrom AND c.locus = o.locus AND c.{own} = v
+            UNION SELECT n.chrom, n.locus, n.v FROM {name}_{own} m JOIN {name}_{own}_open o ON o.chrom = m.chrom AND o.locus = m.locus AND o.v = m.v JOIN {name}_{own}_open n ON n.chrom = o.chrom AND n.locus = o.locus AND n.v = o.u)""")
+    part = lambda own, s, t: f"SELECT o.chrom, o.locus, {s} AS s, {t} AS t FROM {name}_{own}_open o JOIN {name}_{own} m ON m.chrom = o.chrom AND m.locus = o.locus AND m.v = o.v"
+    return f"{', '.join(out)}, {name} AS (SELECT chrom, locus, s, t FROM {chosen} UNION {part('s', 'o.u', 'o.v')} UNION {part('t', 'o.v', 'o.u')})"
+
+
+_COPIES = ", ".join(f"""copy{k} AS (SELECT * FROM ends_of WHERE coalesce(s_gt, '') <> '{other}' AND coalesce(t_gt, '') <> '{other}'), own{k} AS (SELECT chrom, locus, s, t FROM copy{k} WHERE coalesce(s_gt, '') = '{mine}' OR coalesce(t_gt, '') = '{mine}'), {_closure_sql(f"way{k}", f"copy{k}", f"own{k}")}""" for k, (mine, other) in enumerate((("ALLELE1", "ALLELE2"), ("ALLELE2", "ALLELE1"))))
+
+
+@query(f"""WITH RECURSIVE {_SURVIVING}, {_COPIES}, inner_edges AS (SELECT * FROM ends_of WHERE s_ale IS NOT NULL AND t_ale IS NOT NULL),
+    sides AS (SELECT chrom, locus, s AS a, t AS b FROM inner_edges UNION ALL SELECT chrom, locus, t, s FROM inner_edges),
+    seen(chrom, locus, a, b) AS (SELECT chrom, locus, a, a FROM sides UNION SELECT c.chrom, c.locus, c.a, x.b FROM seen c JOIN sides x ON x.chrom = c.chrom AND x.locus = c.locus AND x.a = c.b),
+    comp AS (SELECT chrom, locus, a AS s, min(b) AS c FROM seen GROUP BY ALL),
+    ranked AS (SELECT i.*, row_number() OVER (PARTITION BY i.chrom, i.locus, c ORDER BY w DESC, i.s DESC, i.t DESC) AS n FROM inner_edges i JOIN comp ON comp.chrom = i.chrom AND comp.locus = i.locus AND comp.s = i.s WHERE s_ale = '$' AND t_ale = '$' AND w >= 1.5),
+    chosen AS (SELECT chrom, locus, s, t FROM ends_of WHERE w >= 1.6 UNION SELECT chrom, locus, s, t FROM ranked WHERE n = 1 UNION SELECT * FROM way0 UNION SELECT * FROM way1),
+    {_closure_sql("kept", "ends_of", "chosen")} SELECT e.chrom, e.locus, e.s, e.t, round(e.w, 6) AS w FROM e SEMI JOIN kept USING (chrom, locus, s, t)""")
+def q47_surviving_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The edges that stay when weak ones go."""
+    _, vertices, edges = _graph(spark, d)
+    return _rounded(rules.surviving_edges(vertices, edges, KEYS), "w")

@@ -32,9 +32,9 @@ def is_local(spark: SparkSession) -> bool:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors of a cluster this package."""
+    """Gives Python workers this package: those of a cluster, and those of a local session, which do not inherit the driver's sys.path."""
     context = spark.sparkContext
-    if is_local(spark) or getattr(context, "_braidline_shipped", False):
+    if getattr(context, "_braidline_shipped", False):
         return
     made = shutil.make_archive(f"{tempfile.mkdtemp(prefix='braidline-')}/braidline", "zip", Path(__file__).resolve().parent.parent, "braidline")
     context.addPyFile(made)  # from the driver, which serves it
@@ -90,5 +90,23 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Table:
+    """A table in the shared folder that grows by jobs, and is read without the plans that made it."""
+
+    def __init__(self, spark: SparkSession):
+        ship(spark)
+        self.spark, self.path, self.schema = spark, shared_dir(spark), None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes df as a further part, and gives that part alone."""
+        part = f"{self.path}/part={uuid.uuid4().hex}"
+        df.write.option("compression", "zstd").parquet(part)
+        self.schema = self.schema or df.schema
+        return self.spark.read.schema(df.schema).parquet(part)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/part=*")
+
+
 def is_empty(df: DataFrame) -> bool:
     return not df.take(1)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from braidline.plans import loci as _  # noqa: F401  adds its queries
+from braidline.plans import loci, ways  # noqa: F401  add their queries
 from braidline.plans import registry
 
 SF = "/root/testdata/sf0.001"

@@ -31,7 +31,8 @@ def test_a_locus_with_a_junction_and_a_site(spark, width):
         (50, 70, "$", regions.RIGHT, regions.END, 1.5, 2),
     ]
 
-    parts = regions.numbered(regions.partial_exons(found, depths, K, width), K, "pid")
+    known = spark.createDataFrame([("x", 12, "A", "ALLELE1"), ("x", 12, "C", "ALLELE2")], "g string, l long, ale string, gt string")
+    parts = regions.genotyped(regions.numbered(regions.partial_exons(found, depths, K, width), K, "pid"), known, K)
     got = [(r.l, r.r, r.ale, r.ltype, r.rtype, r.empty) for r in parts.orderBy("pid").collect()]
     assert got[4] == (30, 36, "$", regions.START, regions.END, True) and len(got) == 6 and not any(x[5] for x in got[:4] + got[5:])
 
