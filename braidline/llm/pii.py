@@ -34,25 +34,32 @@ ENDS = {
     "greek": {"m": ["νος", "ρης"], "f": ["νη", "ρία"], "n": ["νις"], "s": ["ράκης", "πουλος"]},
 }
 _GENDER = {x: g for g, ts in TITLES.items() for t in ts for x in (t, t.upper())}
-_LATIN, _CYRILLIC, _GREEK = "A-Za-zÀ-ÖØ-öø-ÿ", "А-Яа-яЁё", "\u0386-\u03CE"
-#: A capital, then letters of its script, also capitals and after apostrophes or hyphens.
-_NAME = "(?:" + "|".join(f"[{capital}](?:[{letter}]|['’-](?=[{letter}])){{1,40}}" for capital, letter in (("A-ZÀ-ÖØ-Þ", _LATIN), ("А-ЯЁ", _CYRILLIC), ("\u0386-\u038F\u0391-\u03A9", _GREEK))) + ")"
+#: Small words inside names, which stay; and names that are more often other words, of which only mentions beside another name count.
+PARTICLES = "van von der den de del della di da dos du la le bin ter ten zu zum".split()
+ORDINARY = "will may march april june august".split()
+#: A capital of any alphabet, by its case in Unicode, then letters, also after apostrophes or hyphens.
+_CAPITAL = "".join(c for c in map(chr, range(0x2000)) if c.isupper())
+_NAME = f"(?:[{_CAPITAL}](?:[^\\W\\d_]|['’-](?=[^\\W\\d_])){{1,40}})"
+_SMALL = f"(?:(?i:{'|'.join(PARTICLES)})[^\\S\\n]{{1,2}}){{0,3}}"
+#: Between a title and a name: a period, or white space, or both; a line may end after a period.
+_AFTER_TITLE = r"(?:\.[^\S\n]{0,3}\n?[^\S\n]{0,3}|[^\S\n]{1,3})"
 _PATTERNS = (
     r"(?P<email>(?<![\w.+@-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![\w-]))",
-    r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d))",
+    r"(?P<ip>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)|(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]*[0-9])[0-9A-Fa-f:]{3,39}(?![\w:]|\.\d))",
     r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
     r"(?P<card>(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d))",
-    r"(?P<phone>(?<![\w.])(?:\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\w]))",
+    r"(?P<phone>(?<![\w.])(?:\+\d{1,3} ?\(\d{3}\) ?\d{3}-\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}(?!\.\d)|0\d{4} \d{6}|0\d{3} \d{3} \d{4}|0\d{2} \d{4} \d{4})(?![\w]))",
     r"(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))",
     r"(?P<secret>(?<!\w)(?i:token|api[_-]?key|secret|password|passwd|pwd|access[_-]?key)[ \t]?[=:][ \t]?[\"']?(?P<value>(?=[+/=.~_-]*[^\W_])[\w+/=.~-]{8,}))",
     r"(?P<key>(?<!\w)(?i:AKIA|ASIA|ghp_|gho_|sk-|xox[bap]-)(?=[_-]*[^\W_])[\w-]{16,}(?![\w]))",
     r"(?P<hex>(?<!\w)(?=[a-fA-F]*\d)(?=\d*[a-fA-F])[0-9a-fA-F]{32,}(?!\w))",
-    rf"(?P<person>(?<!\w)(?P<title>{'|'.join(sorted(_GENDER, key=len, reverse=True))})\.? (?P<name>{_NAME}(?: {_NAME}){{0,2}}))",
+    rf"(?P<person>(?<!\w)(?P<title>{'|'.join(sorted(_GENDER, key=len, reverse=True))}){_AFTER_TITLE}(?P<name>{_SMALL}{_NAME}(?:[^\S\n]{{1,2}}{_SMALL}{_NAME}){{0,2}}))",
 )
 KINDS = ("email", "ip", "iban", "card", "phone", "ssn", "secret", "key", "hex", "person")
 _FIND = re.compile("|".join(_PATTERNS))
 #: What is replaced of a name: runs of two or more letters, so neither hyphens nor single letters at apostrophes (O'Brien, Keller's).
 _RUN = re.compile(r"[^\W\d_]{2,}")
+_ONE_NAME = re.compile(_NAME)
 #: Each kind alone, for places where another's match is rejected.
 _ALONE = dict(zip(KINDS, map(re.compile, _PATTERNS), strict=True))
 #: What may follow numbers whose end is at a choice of spaces.
@@ -73,6 +80,11 @@ def _script(word: str) -> str:
 
 def _valid(kind: str, s: str) -> bool:
     digits = re.sub(r"\D", "", s)
+    if kind == "ip" and ":" in s:
+        try:
+            return bool(ipaddress.IPv6Address(s))
+        except ValueError:
+            return False
     if kind == "ip":
         return all(int(x) <= 255 for x in s.split("."))
     if kind == "card":
@@ -109,7 +121,7 @@ def _titled(text: str) -> Iterator[tuple[int, int, str, str, str | None]]:
         at = m.end()
         if kind == "person":
             gender, start = _GENDER[m["title"]], m.start("name")
-            names = list(re.finditer(_NAME, m["name"]))
+            names = [n for n in _ONE_NAME.finditer(m["name"]) if n.group().lower() not in PARTICLES]
             for i, n in enumerate(names):
                 for x in _RUN.finditer(n.group()):
                     yield start + n.start() + x.start(), start + n.start() + x.end(), f"name-{_script(x.group())}", x.group().lower(), ("family " if i == len(names) - 1 else "given ") + gender
@@ -118,7 +130,8 @@ def _titled(text: str) -> Iterator[tuple[int, int, str, str, str | None]]:
         else:
             s = m.group(kind)
             digits = re.sub(r"\D", "", s)
-            yield m.start(), m.end(), kind, digits if kind in ("card", "phone", "ssn") else re.sub(" ", "", s).lower(), None
+            entity = digits if kind in ("card", "phone", "ssn") else str(ipaddress.IPv6Address(s)) if kind == "ip" and ":" in s else re.sub(" ", "", s).lower()
+            yield m.start(), m.end(), kind, entity, None
 
 
 def _role(seen: set[str]) -> str:
@@ -153,6 +166,10 @@ def found(text: str) -> Iterator[tuple[int, int, str, str, str | None]]:
             at += 1
         if name in roles and m.group()[0].isupper() and not (at < len(direct) and direct[at][0] < m.end()):
             plain.append((m.start(), m.end(), f"name-{_script(name)}", name, None))
+    if any(x in roles for x in ORDINARY):
+        ends = {e: True for _, e, k, _, _ in direct if k.startswith("name-")} | {x[1]: True for x in plain if x[3] not in ORDINARY}
+        starts = {s: True for s, _, k, _, _ in direct if k.startswith("name-")} | {x[0]: True for x in plain if x[3] not in ORDINARY}
+        plain = [x for x in plain if x[3] not in ORDINARY or x[0] - 1 in ends and text[x[0] - 1] == " " or x[1] + 1 in starts and text[x[1]] == " "]
     for start, end, kind, entity, _ in sorted([*direct, *plain], key=lambda x: x[:2]):
         yield start, end, kind, entity, roles.get(entity) if kind.startswith("name-") else None
 
@@ -199,7 +216,7 @@ class Surrogates:
             return "".join(out)
 
         if kind == "ip":
-            if longer > 1:  # that block and all of IPv4 are full
+            if ":" in entity or longer > 1:  # that block and all of IPv4 are full
                 return str(ipaddress.IPv6Address(bytes([0xFD, *(next(draw) for _ in range(15))])))
             number = int.from_bytes(bytes(next(draw) for _ in range(4)), "big")
             if longer:
@@ -300,11 +317,13 @@ def redrawn(distinct: DataFrame, key: bytes) -> DataFrame:
 def pseudonymized(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with every detected entity of the text column replaced by its surrogate under the key, and n_entities, the mentions replaced.
 
-    Found are e-mail and IPv4 addresses, phone, card, bank account and social security numbers, keys and secrets, and
-    names after titles, with all other capitalized mentions of these names in the same document. Not found are the names
-    of people whom a document never gives a title. The same entity has the same surrogate in all documents; different
+    Found are e-mail and IP addresses, phone, card, bank account and social security numbers, keys and secrets, and
+    names after titles, with all other capitalized mentions of these names in the same document; of names that are more
+    often other words (ORDINARY) only mentions beside another name. Not found are the names of people whom a document
+    never gives a title. Names of alphabets without syllables of their own get Latin ones. The same entity has the same surrogate in all documents; different
     ones have different surrogates, none of which is an entity of the corpus: redrawn() checks all distinct entities and
-    has colliding ones drawn again, in longer forms if need be. A surrogate keeps the type, length (but for those) and
+    has colliding ones drawn again, in longer forms if need be. So an entity that collides in one corpus can have another
+    surrogate there than under the same key elsewhere; all others have the same one everywhere. A surrogate keeps the type, length (but for those) and
     separators (numbers), the case, the script, and validity of check digits (cards, bank accounts). A name's stem is the
     same in all documents, and its end, one in each document, tells the gender of a given name, or a family name.
 

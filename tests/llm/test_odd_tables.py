@@ -5,15 +5,18 @@ from public_tokenizers import path
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from braidline.llm.alignment import aligned
 from braidline.llm.bpe import bpe
 from braidline.llm.minhash import edited_fingerprints
 from braidline.llm.packing import pack
 from braidline.llm.pii import pseudonymized
+from braidline.llm.postings import contamination
 from braidline.llm.quality import judged
 from braidline.llm.sharding import shard
 from braidline.llm.simhash import near_duplicates, one_of_each_group
 from braidline.llm.substrings import substring_dedup
 from braidline.llm.tokencounts import token_counts
+from braidline.llm.variants import spelling_variants
 from braidline.llm.warc import write_and_read
 
 LONG = " ".join(f"word{i % 700} of {i}" for i in range(60_000))
@@ -38,9 +41,15 @@ OPERATORS = {
     "pseudonymized": lambda d: pseudonymized(d, b"test").select("doc_id", F.sha2("text", 256).alias("text"), "n_entities"),
     "substring_dedup": substring_dedup,
     "bpe": lambda d: bpe(d, path("word_bpe_49k.json")),
+    "contamination": lambda d: contamination(d, spark_of(d).createDataFrame([(1, GOOD), (2, "Roe"), (None, "of"), (3, None), (1, GOOD)], "item_id long, text string")),
+    "aligned": lambda d: aligned(d, path("byte_bpe_50k.json"), path("piece_bpe_32k.model")),
 }
 
 
+def spark_of(df):
+    return df.sparkSession
+
+
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
@@ -54,6 +63,12 @@ def test_operator(spark, name):
     assert run(documents(spark, True).limit(0)).count() == 0
 
 
+def test_spelling_variants(spark):
+    plain = rows(spelling_variants(documents(spark, False)))
+    assert rows(spelling_variants(documents(spark, True))) == plain and len(plain) > 0
+    assert spelling_variants(documents(spark, True).limit(0)).count() == 0
+
+
 def own(df):
     """The rows, each with its id, text and whether all clashing columns still belong to it."""
     return [(r.doc_id, r.text, all(r[c] == f"{c} {'none' if r.doc_id is None else r.doc_id}" for c in CLASHES)) for r in df.collect()]

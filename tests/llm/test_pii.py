@@ -107,3 +107,51 @@ def test_no_row_or_column_is_lost(spark):
     assert len({out[i].text for i in range(40)}) == 1 and out[0].text != "Mr. Roe" and (out[41].text, out[41].n_entities) == (None, 0)
     assert out[42].n_entities == 5000 and len({*out[42].text.split()}) == 1 and out[43].text == ""
     assert pii.pseudonymized(df.limit(0), KEY).count() == 0
+
+
+def people(text):
+    return [text[s:e] for s, e, k, _, _ in pii.found(text) if k.startswith("name-")]
+
+
+def test_particles_white_space_and_alphabets():
+    assert people("Mr John van der Berg came. Berg left") == ["John", "Berg", "Berg"]
+    assert people("Dr. Ludwig von Beethoven, Beethoven; Frau de la Cruz; Mr. Carlos De La Vega") == ["Ludwig", "Beethoven", "Beethoven", "Cruz", "Carlos", "Vega"]
+    assert people("Mr.  John, Mr.\nPaul, Mr\tMax, Mr.Tom") == ["John", "Paul", "Max", "Tom"]
+    assert people("Mr. Łukasz Żak met Żak and Mrs. Şebnem Çelik") == ["Łukasz", "Żak", "Żak", "Şebnem", "Çelik"]
+    assert people("Sir\nThe house. Dr.\n\nThe end") == []
+
+
+def test_ordinary_words_stay():
+    assert people("Mr. Will Grant asks: Will you come? Will Grant will.") == ["Will", "Grant", "Will", "Grant"]
+    assert people("In May, Mrs. May came. May is warm.") == ["May"]
+
+
+def test_more_numbers():
+    assert spans("at 2001:db8::1, or fe80:0:0:0:0:0:0:1. 12:30:45 std::vector a::b ::") == [("ip", "2001:db8::1"), ("ip", "fe80:0:0:0:0:0:0:1")]
+    assert spans("555.123.4567 and 07700 900123 and 020 7946 0018, not 1.555.123.4567 or 555.123.4567.8") == [("phone", "555.123.4567"), ("phone", "07700 900123"), ("phone", "020 7946 0018")]
+    one, two = ([e for _, _, _, e, _ in pii.found(x)] for x in ("2001:DB8:0::1 1", "2001:db8::1 1"))
+    made = pii.Surrogates(KEY)
+    assert one == two and ":" in made.of("ip", one[0]) and made.of("ip", "10.0.0.1").startswith("2")
+
+
+def test_all_surrogates_are_distinct_and_the_same_everywhere(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r for r in pii.pseudonymized(docs, KEY).collect()}
+    made, shown = {}, {}
+    for i, text in before.items():
+        spots, rest, at, last = list(pii.found(text or "")), after[i].text, 0, 0
+        assert after[i].n_entities == len(spots)
+        for n, (start, end, kind, entity, role) in enumerate(spots):
+            kept = text[last:start]
+            assert rest[at : at + len(kept)] == kept
+            at, last = at + len(kept), end
+            until = spots[n + 1][0] if n + 1 < len(spots) else len(text)
+            # what stands here is all up to the next kept text
+            stop = rest.index(text[end:until], at) if text[end:until] else len(rest) if n + 1 == len(spots) else at
+            new = rest[at:stop].lower()
+            key = kind, entity, role
+            assert made.setdefault(key, new) == new and (kind.startswith("name-") or shown.setdefault((kind, new), entity) == entity)
+            at = stop
+        assert rest[at:] == (text or "")[last:]
+    assert made and not {new for (kind, *_), new in made.items() if not kind.startswith("name-")} & {e for k, e, _ in made if not k.startswith("name-")}
