@@ -64,8 +64,8 @@ def test_operator(spark, name):
 
 
 def test_spelling_variants(spark):
-    plain = rows(spelling_variants(documents(spark, False)))
-    assert rows(spelling_variants(documents(spark, True))) == plain and len(plain) > 0
+    plain = rows(spelling_variants(documents(spark, False), least_length=4, least_count=2))
+    assert rows(spelling_variants(documents(spark, True), least_length=4, least_count=2)) == plain and len(plain) > 0
     assert spelling_variants(documents(spark, True).limit(0)).count() == 0
 
 
