@@ -45,14 +45,14 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
 
 def prune_dead_ends(edges: DataFrame, source: int, sink: int, keys: list[str]) -> DataFrame:
     """The edges (keys, s, t, ...) that lie on a way from source to sink: edges whose start has no way in, or whose end none out, go, round by round, until none does."""
-    edges = cut(edges)
+    edges, before = _cut_counting(edges, {"n": F.lit(True)})
     while True:
         live = edges.join(edges.select(*keys, F.col("t").alias("s")).union(edges.select(*keys, F.lit(source).cast("long").alias("s"))).distinct(), [*keys, "s"], "left_semi")
         live = live.join(edges.select(*keys, F.col("s").alias("t")).union(edges.select(*keys, F.lit(sink).cast("long").alias("t"))).distinct(), [*keys, "t"], "left_semi")
-        live = cut(live.select(*edges.columns))
-        if live.count() == edges.count():
-            return live
-        edges = live
+        edges, after = _cut_counting(live.select(*edges.columns), {"n": F.lit(True)})
+        if after == before:
+            return edges
+        before = after
 
 
 def degrees(edges: DataFrame, keys: list[str]) -> DataFrame:

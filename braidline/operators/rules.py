@@ -1,7 +1,7 @@
 """Rules on the vertices of splice graphs, each for all graphs at once.
 
 Vertices: (keys, v, l, r, ale, gt, weight, dev, ltype, rtype, empty); edges: (keys, s, t, w), with 0 for the start and no
-vertex for it or for the end. No rule looks at empty vertices.
+vertex for it or for the end. No rule looks at empty vertices, unless surroundings() that hold them are given as around.
 """
 
 from __future__ import annotations
@@ -19,45 +19,80 @@ ALLELES = ("ALLELE1", "ALLELE2")
 LEAST_SURVIVING, LEAST_HEAVIEST = 1.6, 1.5
 
 
-def surroundings(vertices: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
-    """The vertices that are not empty and have edges, with n_in, n_out, w_in, w_out, the least vertex before and after, whether they are joined to the start and to the end, and whether a neighbour touches them on the left and on the right."""
+def surroundings(vertices: DataFrame, edges: DataFrame, keys: list[str], empty: bool = False) -> DataFrame:
+    """The vertices that are not empty (with empty, those too) and have edges, with n_in, n_out, w_in, w_out, the least vertex before and after, whether they are joined to the start and to the end, and whether a neighbour touches them on the left and on the right."""
     side = lambda v, place, out: vertices.select(*keys, F.col("v").alias(v), F.col(place).alias(out))
     ends = edges.join(side("s", "r", "s_r"), [*keys, "s"], "left").join(side("t", "l", "t_l"), [*keys, "t"], "left")
     touch = F.coalesce(F.bool_or(F.col("s_r") == F.col("t_l")), F.lit(False))
     into = ends.groupBy(*keys, F.col("t").alias("v")).agg(F.count("*").alias("n_in"), F.sum("w").alias("w_in"), F.min("s").alias("before"), F.bool_or(F.col("s") == 0).alias("starts"), touch.alias("flush_left"))
     out = ends.groupBy(*keys, F.col("s").alias("v")).agg(F.count("*").alias("n_out"), F.sum("w").alias("w_out"), F.min("t").alias("after"), F.bool_or(F.col("t_l").isNull()).alias("ends"), touch.alias("flush_right"))
-    rows = vertices.where("not empty").join(into, [*keys, "v"], "left").join(out, [*keys, "v"], "left").where("n_in is not null or n_out is not null")
+    rows = (vertices if empty else vertices.where("not empty")).join(into, [*keys, "v"], "left").join(out, [*keys, "v"], "left").where("n_in is not null or n_out is not null")
     return rows.fillna(0, ["n_in", "n_out", "w_in", "w_out"]).fillna(False, ["starts", "ends", "flush_left", "flush_right"])
 
 
-def inner_boundaries(vertices: DataFrame, edges: DataFrame, keys: list[str], least_dev: float = 0.01) -> DataFrame:
+def inner_boundaries(vertices: DataFrame, edges: DataFrame, keys: list[str], least_dev: float = 0.01, around: DataFrame | None = None) -> DataFrame:
     """Plain vertices of even depth, with one edge in and one out, of which one is to an end and the other is not its neighbour's only one."""
-    around = cut(surroundings(vertices, edges, keys))
+    around = around or cut(surroundings(vertices, edges, keys))
     one = around.where((F.col("ale") == PLAIN) & (F.col("dev") < least_dev)).where("n_in = 1 and n_out = 1 and (starts or ends)")
     degree = lambda v, end: edges.groupBy(*keys, F.col(end).alias(v)).agg(F.count("*").alias(f"{v}_n"))  # noqa: E731  of all edges, those of empty vertices included
     rows = one.join(degree("before", "s"), [*keys, "before"], "left").join(degree("after", "t"), [*keys, "after"], "left")
     return rows.where("(starts or before_n > 1) and (ends or after_n > 1)").select(*keys, "v")
 
 
-def small_exons(vertices: DataFrame, edges: DataFrame, keys: list[str], least_length: int = 20) -> DataFrame:
+def small_exons(vertices: DataFrame, edges: DataFrame, keys: list[str], least_length: int = 20, around: DataFrame | None = None) -> DataFrame:
     """Short vertices that no neighbour touches and that are joined to an end."""
-    return surroundings(vertices, edges, keys).where(F.col("r") - F.col("l") < least_length).where("not flush_left and not flush_right and (starts or ends)").select(*keys, "v")
+    return (around or surroundings(vertices, edges, keys)).where(F.col("r") - F.col("l") < least_length).where("not flush_left and not flush_right and (starts or ends)").select(*keys, "v")
 
 
-def contaminated_introns(vertices: DataFrame, edges: DataFrame, keys: list[str], most: float = 2.0) -> DataFrame:
+def contaminated_introns(vertices: DataFrame, edges: DataFrame, keys: list[str], most: float = 2.0, around: DataFrame | None = None) -> DataFrame:
     """Vertices between two that touch them, with no other edges, of at most the weight of the edge that leads past them, and at most so much."""
-    rows = surroundings(vertices, edges, keys).where("n_in = 1 and n_out = 1 and not starts and not ends and flush_left and flush_right").where(F.col("weight") <= most)
+    rows = (around or surroundings(vertices, edges, keys)).where("n_in = 1 and n_out = 1 and not starts and not ends and flush_left and flush_right").where(F.col("weight") <= most)
     past = edges.select(*keys, F.col("s").alias("before"), F.col("t").alias("after"), F.col("w").alias("past"))
     return rows.join(past, [*keys, "before", "after"]).where("weight <= past").select(*keys, "v")
 
 
-def extended_boundaries(vertices: DataFrame, edges: DataFrame, keys: list[str], square: float = 10, more: float = 10) -> DataFrame:
+def extended_boundaries(vertices: DataFrame, edges: DataFrame, keys: list[str], square: float = 10, more: float = 10, around: DataFrame | None = None) -> DataFrame:
     """(keys, v, side, w): plain vertices not joined to the start (end) whose weight is at least that of their edges in (out), and so many times its square and so much more, with the difference."""
-    around = cut(surroundings(vertices, edges, keys).where(F.col("ale") == PLAIN))
+    around = (around or cut(surroundings(vertices, edges, keys))).where(F.col("ale") == PLAIN)
     side = lambda name, joined, w: around.where(~F.col(joined)).where((F.col("weight") >= F.col(w)) & (F.col("weight") >= square * F.col(w) * F.col(w) + more)).select(*keys, "v", F.lit(name).alias("side"), (F.col("weight") - F.col(w)).alias("w"))
     return side("start", "starts", "w_in").union(side("end", "ends", "w_out"))
 
 
+def _with_ends(vertices: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """The edges between vertices, with where these end and begin, their alleles and weights."""
+    for c, place in (("s", "r"), ("t", "l")):
+        edges = edges.join(vertices.select(*keys, F.col("v").alias(c), F.col(place).alias(f"{c}_{place}"), F.col("ale").alias(f"{c}_ale"), F.col("weight").alias(f"{c}_weight")), [*keys, c])
+    return edges
+
+
+def small_junctions(vertices: DataFrame, edges: DataFrame, keys: list[str], square: float = 2, more: float = 18) -> DataFrame:
+    """(keys, s, t, w): edges dwarfed at one of their vertices.
+
+    That vertex, and the heaviest plain one that touches it on the edge's side, both weigh at least so many times the
+    square of the edge's weight and so much more; the edge itself is not one that leads to such a neighbour.
+    """
+    ends = _with_ends(vertices, edges, keys)
+    bar = square * F.col("w") * F.col("w") + more
+    beside = {}
+    for c, o in ("st", "ts"):  # c is the neighbour, o the vertex
+        touches = (F.col("s_r") == F.col("t_l")) & (F.col(f"{c}_ale") == PLAIN)
+        heaviest = ends.where(touches).groupBy(*keys, o).agg(F.max(f"{c}_weight").alias(f"{c}_beside"))
+        beside[c] = heaviest, ~touches & (F.col(f"{c}_beside") >= bar) & (F.col(f"{o}_weight") >= bar)
+    rows = ends.join(beside["s"][0], [*keys, "t"], "left").join(beside["t"][0], [*keys, "s"], "left")
+    return rows.where(beside["s"][1] | beside["t"][1]).select(*keys, "s", "t", "w")
+
+
+def weak_junctions(vertices: DataFrame, edges: DataFrame, keys: list[str], square: float = 10, more: float = 10) -> DataFrame:
+    """(keys, s, t, to_end, from_start): junctions that are the only edge of a vertex that weighs at least so many times their weight's square and so much more, with the weights of the edges to the end and from the start that replace them (null: none)."""
+    ends = _with_ends(vertices, edges, keys).where(F.col("s_r") < F.col("t_l"))
+    for c in "st":
+        ends = ends.join(edges.groupBy(*keys, c).agg(F.count("*").alias(f"{c}_n")), [*keys, c])
+    bar = square * F.col("w") * F.col("w") + more
+    only = {c: F.when(F.col(f"{c}_n") == 1, F.col(f"{c}_weight")) for c in "st"}
+    rows = ends.where((only["s"] >= bar) | (only["t"] >= bar))
+    return rows.select(*keys, "s", "t", only["s"].alias("to_end"), only["t"].alias("from_start"))
+
+
 def vertex_classes(vertices: DataFrame, edges: DataFrame, loci: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, v, class, regional): allelic vertices, those beside them, and others; regional are those that begin and end inside the locus (keys, l, r)."""
     allelic = vertices.where(F.col("ale") != PLAIN).select(*keys, "v")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import intervals, regions, rules
+from ..operators import intervals, regions, revise, rules
 from ..runtime import table
 from .registry import DAY, HOUR, _as_intervals, query
 
@@ -270,3 +270,33 @@ def q47_surviving_edges(spark: SparkSession, d: str) -> DataFrame:
     """The edges that stay when weak ones go."""
     _, vertices, edges = _graph(spark, d)
     return _rounded(rules.surviving_edges(vertices, edges, KEYS), "w")
+
+
+_JOINED = f"""{_VERTICES}, j AS (SELECT e.*, a.r AS s_r, a.ale AS s_ale, a.weight AS s_weight, b.l AS t_l, b.ale AS t_ale, b.weight AS t_weight FROM e JOIN vertex a ON a.chrom = e.chrom AND a.locus = e.locus AND a.pid = e.s JOIN vertex b ON b.chrom = e.chrom AND b.locus = e.locus AND b.pid = e.t)"""
+
+
+@query(f"""WITH {_JOINED}, b AS (SELECT *, s_r = t_l AND s_ale = '$' AS before, s_r = t_l AND t_ale = '$' AS behind FROM j),
+    m AS (SELECT *, max(s_weight) FILTER (before) OVER (PARTITION BY chrom, locus, t) AS left_most, max(t_weight) FILTER (behind) OVER (PARTITION BY chrom, locus, s) AS right_most FROM b)
+    SELECT chrom, locus, s, t, round(w, 6) AS w FROM m WHERE NOT before AND least(left_most, t_weight) >= 0.5 * w * w AND left_most IS NOT NULL OR NOT behind AND least(right_most, s_weight) >= 0.5 * w * w AND right_most IS NOT NULL""")
+def q48_dwarfed_junctions(spark: SparkSession, d: str) -> DataFrame:
+    """Junctions beside much heavier parts that touch; by a lower bar than the rule's own, as few events are at once."""
+    _, vertices, edges = _graph(spark, d)
+    return _rounded(rules.small_junctions(vertices, edges, KEYS, square=0.5, more=0), "w")
+
+
+@query(f"""WITH {_JOINED}, outs AS (SELECT chrom, locus, s, count(*) AS s_n FROM e GROUP BY ALL), ins AS (SELECT chrom, locus, t, count(*) AS t_n FROM e GROUP BY ALL)
+    SELECT chrom, locus, s, t, round(CASE WHEN s_n = 1 THEN s_weight END, 6) AS to_end, round(CASE WHEN t_n = 1 THEN t_weight END, 6) AS from_start FROM j JOIN outs USING (chrom, locus, s) JOIN ins USING (chrom, locus, t)
+    WHERE s_r < t_l AND (s_n = 1 AND s_weight >= 0.5 * w * w OR t_n = 1 AND t_weight >= 0.5 * w * w)""")
+def q49_weak_junctions(spark: SparkSession, d: str) -> DataFrame:
+    """Junctions that are a heavy part's only edge, with what replaces them; by a lower bar than the rule's own, as few events are at once."""
+    _, vertices, edges = _graph(spark, d)
+    return _rounded(rules.weak_junctions(vertices, edges, KEYS, square=0.5, more=0), "to_end", "from_start")
+
+
+@query()
+def q50_revised_graphs(spark: SparkSession, d: str) -> DataFrame:
+    """The edges of the graphs after all rules, with the limits of q36 and q48 and else the rules' own. No SQL: what applies next depends on each step."""
+    _, vertices, edges = _graph(spark, d)
+    own, links = revise.revised(vertices, edges, KEYS, least_length=4 * HOUR, dwarfed=(0.5, 0))
+    empty = own.where("empty").select(*KEYS, F.col("v").alias("s"), F.lit(None).cast("long").alias("t"), F.lit(None).cast("double").alias("w"))
+    return _rounded(links.withColumn("kind", F.lit("edge")).union(empty.withColumn("kind", F.lit("empty"))), "w")
