@@ -134,6 +134,12 @@ def transcripts(ways: DataFrame, parts: DataFrame, keys: list[str], id_: str) ->
     return own.select(*keys, id_, F.coalesce("gt", F.lit("UNPHASED")).alias("gt"), joined.alias("exons"))
 
 
+def alleles_of_ways(ways: DataFrame, parts: DataFrame, keys: list[str], id_: str) -> DataFrame:
+    """(keys, id, alleles) of the ways that go through parts of one of the two alleles: array<struct<l, r, ale>>, by place."""
+    steps = ways.select(*keys, id_, F.explode("way").alias("pid")).join(parts.where(F.col("gt").isin(*ALLELES)).select(*keys, "pid", "l", "r", "ale"), [*keys, "pid"])
+    return steps.groupBy(*keys, id_).agg(F.array_sort(F.collect_set(F.struct("l", "r", "ale"))).alias("alleles"))
+
+
 def strand_votes(reads: DataFrame, keys: list[str], xs: str) -> DataFrame:
     """(keys, strand): the sign that most reads have, a dot where both have as many."""
     votes = reads.groupBy(*keys).agg(F.count_if(F.col(xs) == "+").alias("p"), F.count_if(F.col(xs) == "-").alias("q"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals, regions, revise, rules
 from ..runtime import table
+from ..sources import gvf
 from .registry import DAY, HOUR, _as_intervals, query
 
 KEYS = ["chrom", "locus"]
@@ -300,3 +301,29 @@ def q50_revised_graphs(spark: SparkSession, d: str) -> DataFrame:
     own, links = revise.revised(vertices, edges, KEYS, least_length=4 * HOUR, dwarfed=(0.5, 0))
     empty = own.where("empty").select(*KEYS, F.col("v").alias("s"), F.lit(None).cast("long").alias("t"), F.lit(None).cast("double").alias("w"))
     return _rounded(links.withColumn("kind", F.lit("edge")).union(empty.withColumn("kind", F.lit("empty"))), "w")
+
+
+_LINE = """chrom || chr(9) || 'braidline' || chr(9) || f || chr(9) || (l + 1) || chr(9) || r || chr(9) || '1000' || chr(9) || '+' || chr(9) || '.' || chr(9) || 'gene_id "' || chrom || '.' || locus || '"; transcript_id "' || chrom || '.' || locus || '.' || id || '"; '"""
+
+
+@query(f"""WITH {_WAYS}, step AS (SELECT chrom, locus, id, unnest(way) AS pid, generate_subscripts(way, 1) AS k FROM ways), placed AS (SELECT step.*, l, r, ale, gt FROM step JOIN pid USING (chrom, locus, pid)),
+    gts AS (SELECT chrom, locus, id, coalesce(arg_min(gt, k) FILTER (gt IN ('ALLELE1', 'ALLELE2')), CASE WHEN bool_or(gt = 'NONSPECIFIC') THEN 'NONSPECIFIC' END, 'UNPHASED') AS gt FROM placed GROUP BY ALL),
+    upto AS (SELECT *, max(r) OVER (PARTITION BY chrom, locus, id ORDER BY l, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM placed),
+    merged AS (SELECT *, sum(CASE WHEN m IS NULL OR l > m THEN 1 ELSE 0 END) OVER (PARTITION BY chrom, locus, id ORDER BY l, r) AS n FROM upto),
+    ex AS (SELECT chrom, locus, id, n::BIGINT AS exon, min(l) AS l, max(r) AS r FROM merged GROUP BY ALL), exl AS (SELECT chrom, locus, id, string_agg(l || '-' || r, ',' ORDER BY l) AS x FROM ex GROUP BY ALL),
+    al AS (SELECT DISTINCT chrom, locus, id, l, r, ale FROM placed WHERE gt IN ('ALLELE1', 'ALLELE2')), alx AS (SELECT chrom, locus, id, string_agg(l || ale, ',' ORDER BY l, r, ale) AS y FROM al GROUP BY ALL),
+    own AS (SELECT chrom, locus, gt, x, coalesce(y, '') AS y, min(id) AS id, count(*) AS reads FROM exl JOIN gts USING (chrom, locus, id) LEFT JOIN alx USING (chrom, locus, id) GROUP BY ALL),
+    chain AS (SELECT *, CASE WHEN contains(x, ',') THEN regexp_replace(x, '^\\d+-|-\\d+$', '', 'g') END AS introns FROM own),
+    sides AS (SELECT *, bool_or(gt <> 'ALLELE2') OVER w AS one, bool_or(gt <> 'ALLELE1') OVER w AS two FROM chain WINDOW w AS (PARTITION BY chrom, locus, introns)),
+    filed AS (SELECT chrom, locus, id, gt, reads, CASE WHEN introns IS NULL THEN NULL WHEN one AND two THEN 'nonspec.multi-exon' WHEN one THEN 'allele1spec.multi-exon' ELSE 'allele2spec.multi-exon' END AS file FROM sides),
+    rows AS (SELECT chrom, locus, id, 'transcript' AS f, min(l) AS l, max(r) AS r, NULL::BIGINT AS exon, NULL AS ale FROM ex GROUP BY chrom, locus, id UNION ALL SELECT chrom, locus, id, 'exon', l, r, exon, NULL FROM ex
+        UNION ALL SELECT al.chrom, al.locus, al.id, 'variant', al.l, al.r, (SELECT count(*) FROM ex WHERE ex.chrom = al.chrom AND ex.locus = al.locus AND ex.id = al.id AND ex.l <= al.l), ale FROM al)
+    SELECT file, {_LINE} || CASE f WHEN 'transcript' THEN 'allele "' || gt || '"; cov "' || reads || '.0000"; ' WHEN 'exon' THEN 'exon "' || exon || '"; ' ELSE 'exon "' || exon || '"; seq "' || ale || '"; allele "' || gt || '"; ' END AS line FROM rows JOIN filed USING (chrom, locus, id)""")
+def q51_gvf_lines(spark: SparkSession, d: str) -> DataFrame:
+    """The transcripts of reads' ways, equal ones of a genotype as one, as lines with their alleles, and the file that each is in."""
+    parts, ways = Reads(spark, d).ways()
+    own = rules.transcripts(ways, parts, KEYS, "id").join(rules.alleles_of_ways(ways, parts, KEYS, "id"), [*KEYS, "id"], "left")
+    own = own.groupBy(*KEYS, "gt", "exons", "alleles").agg(F.min("id").alias("id"), F.count("*").alias("reads"))
+    gene = F.concat_ws(".", "chrom", "locus")
+    filed = gvf.by_specificity(own, KEYS)
+    return gvf.gvf_lines(filed, gene, F.concat_ws(".", gene, "id"), F.col("chrom").cast("string"), F.lit("+"), F.col("gt"), F.col("exons"), F.col("alleles"), F.col("reads")).select("file", "line")
