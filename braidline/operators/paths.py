@@ -256,3 +256,19 @@ def decomposed_by_rounds(edges: DataFrame, keys: list[str], source: int, sink: i
         left = edges.join(used, [*keys, "s", "t"], "left").withColumn("w", F.col("w") - F.coalesce("taken", F.lit(0.0)))
         # graphs that had no way any more are done
         edges = cut(left.join(ways.select(*keys), keys, "left_semi").where("w > 0").select(*keys, "s", "t", "w"))
+
+
+def joined_mates(df: DataFrame, first: str, second: str, out: str, trim_first: int = 0, trim_second: int = 0) -> DataFrame:
+    """df with out: the way that two ways are parts of, null where there is none.
+
+    The first way without its last trim_first vertices, the second without its first trim_second: the first has to end at
+    a vertex of the second, and both have to be the same from there back to where one of them begins. Vertices ascend along a way,
+    so that place is unique, and the check reads each way once. Ways without vertices left have no way in common.
+    """
+    a, b = F.col("_a"), F.col("_b")
+    rows = df.withColumns({"_a": F.slice(first, F.lit(1), F.greatest(F.size(first) - trim_first, F.lit(0))), "_b": F.slice(second, F.lit(trim_second + 1), F.greatest(F.size(second) - trim_second, F.lit(0)))})
+    rows = rows.withColumn("_at", F.coalesce(F.array_position("_b", F.try_element_at(a, F.lit(-1))), F.lit(0)).cast("int"))
+    n = F.least(F.col("_at"), F.size(a))
+    same = F.slice(a, F.greatest(F.size(a) - n + 1, F.lit(1)), n) == F.slice(b, F.greatest(F.col("_at") - n + 1, F.lit(1)), n)
+    rest = F.slice(b, F.col("_at") + 1, F.greatest(F.size(b) - F.col("_at"), F.lit(0)))
+    return rows.withColumn(out, F.when((F.col("_at") > 0) & same, F.concat(a, rest))).drop("_a", "_b", "_at")

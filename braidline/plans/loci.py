@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import intervals, regions, revise, rules
-from ..runtime import table
+from ..operators import intervals, paths, regions, revise, rules
+from ..runtime import cut, table
 from ..sources import gvf
 from .registry import DAY, HOUR, _as_intervals, query
 
@@ -327,3 +327,19 @@ def q51_gvf_lines(spark: SparkSession, d: str) -> DataFrame:
     gene = F.concat_ws(".", "chrom", "locus")
     filed = gvf.by_specificity(own, KEYS)
     return gvf.gvf_lines(filed, gene, F.concat_ws(".", gene, "id"), F.col("chrom").cast("string"), F.lit("+"), F.col("gt"), F.col("exons"), F.col("alleles"), F.col("reads")).select("file", "line")
+
+
+@query(f"""WITH {_WAYS}, mates AS (SELECT chrom, locus, w.id, way AS a, lead(way) OVER (PARTITION BY chrom, locus ORDER BY m.l, id) AS b FROM ways w JOIN marked m USING (chrom, locus, id)),
+    shared AS (SELECT *, list_position(b, a[-1]) AS p FROM mates), ok AS (SELECT chrom, locus, id, a || b[p + 1:] AS way FROM shared WHERE p > 0 AND a[len(a) - least(p, len(a)) + 1:] = b[p - least(p, len(a)) + 1:p]),
+    long AS (SELECT chrom, locus, id, sum(r - l)::BIGINT AS length FROM (SELECT chrom, locus, id, unnest(way) AS pid FROM ok) JOIN pid USING (chrom, locus, pid) GROUP BY ALL)
+    SELECT chrom, locus, id, array_to_string(way, ',') AS way, length, CASE WHEN length BETWEEN {HOUR} AND {12 * HOUR} THEN 1 ELSE 2 END AS type FROM ok JOIN long USING (chrom, locus, id)""")
+def q52_joined_mates(spark: SparkSession, d: str) -> DataFrame:
+    """The ways of a read and the next one of its locus as one where they overlap; of type 1 if the parts' length is in bounds (an hour to twelve)."""
+    reads = Reads(spark, d)
+    parts, ways = reads.ways()
+    placed = ways.join(reads.rows.select(*KEYS, "id", "l", "_bin"), [*KEYS, "id"])
+    mates = intervals.following(placed, KEYS, "_bin", ["l", "id"], F.col("way"), "mate").where("mate is not null")
+    joined = cut(paths.joined_mates(mates, "way", "mate", "joined").where("joined is not null").select(*KEYS, "id", F.col("joined").alias("way")))
+    length = joined.select(*KEYS, "id", F.explode("way").alias("pid")).join(parts.select(*KEYS, "pid", (F.col("r") - F.col("l")).alias("n")), [*KEYS, "pid"]).groupBy(*KEYS, "id").agg(F.sum("n").alias("length"))
+    type_ = F.when(F.col("length").between(HOUR, 12 * HOUR), 1).otherwise(2)
+    return joined.join(length, [*KEYS, "id"]).select(*KEYS, "id", F.array_join("way", ",").alias("way"), "length", type_.alias("type"))
