@@ -45,11 +45,11 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
 
 def prune_dead_ends(edges: DataFrame, source: int, sink: int, keys: list[str]) -> DataFrame:
     """The edges (keys, s, t, ...) that lie on a way from source to sink: edges whose start has no way in, or whose end none out, go, round by round, until none does."""
-    edges, before = _cut_counting(edges, {"n": F.lit(True)})
+    edges, before = cut_counting(edges, {"n": F.lit(True)})
     while True:
         live = edges.join(edges.select(*keys, F.col("t").alias("s")).union(edges.select(*keys, F.lit(source).cast("long").alias("s"))).distinct(), [*keys, "s"], "left_semi")
         live = live.join(edges.select(*keys, F.col("s").alias("t")).union(edges.select(*keys, F.lit(sink).cast("long").alias("t"))).distinct(), [*keys, "t"], "left_semi")
-        edges, after = _cut_counting(live.select(*edges.columns), {"n": F.lit(True)})
+        edges, after = cut_counting(live.select(*edges.columns), {"n": F.lit(True)})
         if after == before:
             return edges
         before = after
@@ -75,7 +75,7 @@ def relaxed(edges: DataFrame, source: int, keys: list[str], start: Column, step:
         new = values.where("_new").drop("_new").join(edges.withColumnRenamed("s", "v"), [*keys, "v"])
         new = new.select(*keys, F.col("t").alias("v"), step(F.col(out), F.col("w")).alias(out), F.lit(None).cast(values.schema[out].dataType).alias("_old"))
         merged = values.select(*keys, "v", out, F.col(out).alias("_old")).union(new).groupBy(*keys, "v").agg(best(F.col(out)).alias(out), F.max("_old").alias("_old"))
-        values, seen = _cut_counting(merged.select(*keys, "v", out, (~F.col(out).eqNullSafe(F.col("_old"))).alias("_new")), {"changed": F.col("_new")})
+        values, seen = cut_counting(merged.select(*keys, "v", out, (~F.col(out).eqNullSafe(F.col("_old"))).alias("_new")), {"changed": F.col("_new")})
         if not seen["changed"]:
             return values.drop("_new")
 
@@ -101,22 +101,22 @@ def topological_levels(edges: DataFrame, keys: list[str]) -> DataFrame:
     edges = cut(edges.select(*keys, "s", "t").distinct())
     vertices = edges.select(*keys, F.explode(F.array("s", "t")).alias("v")).distinct().join(edges.groupBy(*keys, F.col("t").alias("v")).agg(F.count("*").alias("n")), [*keys, "v"], "left").fillna(0, ["n"])
     level, none = 0, F.lit(None).cast("long")
-    state, seen = _cut_counting(vertices.withColumn("level", F.when(F.col("n") == 0, F.lit(0).cast("long"))), {"free": F.col("level") == 0, "waiting": F.col("level").isNull()})
+    state, seen = cut_counting(vertices.withColumn("level", F.when(F.col("n") == 0, F.lit(0).cast("long"))), {"free": F.col("level") == 0, "waiting": F.col("level").isNull()})
     while seen["free"]:
         gone = edges.join(state.where(F.col("level") == level).select(*keys, F.col("v").alias("s")), [*keys, "s"], "left_semi").groupBy(*keys, F.col("t").alias("v")).agg(F.count("*").alias("gone"))
         left = F.col("n") - F.coalesce("gone", F.lit(0))
         level += 1
         state = state.join(gone, [*keys, "v"], "left").select(*keys, "v", left.alias("n"), F.coalesce("level", F.when(left == 0, F.lit(level).cast("long")).otherwise(none)).alias("level"))
-        state, seen = _cut_counting(state, {"free": F.col("level") == level, "waiting": F.col("level").isNull()})
+        state, seen = cut_counting(state, {"free": F.col("level") == level, "waiting": F.col("level").isNull()})
     if seen["waiting"]:
         raise ValueError("the graph has a cycle")
     return state.select(*keys, "v", "level")
 
 
-def _cut_counting(df: DataFrame, what: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
-    """cut(df), and how many rows meet each condition, counted by the job that writes them."""
+def cut_counting(df: DataFrame, what: dict[str, Column], to: Table | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """cut(df), or df as a part of the table to, and how many rows meet each condition, counted by the job that writes them."""
     seen = Observation()
-    df = cut(df.observe(seen, *(F.count_if(c).alias(k) for k, c in what.items())))
+    df = (to.add if to else cut)(df.observe(seen, *(F.count_if(c).alias(k) for k, c in what.items())))
     return df, seen.get
 
 
@@ -166,11 +166,11 @@ def with_heaviest_ways(chosen: DataFrame, edges: DataFrame, keys: list[str]) ->
     heaviest = turned(edges.select(*keys, "s", "t", "w"), "w").groupBy(*both, "v").agg(F.max_by("u", F.struct("w", -F.col("u"))).alias("u"))
     ends = turned(chosen)
     open_ = cut(heaviest.join(ends.select(*both, "v"), [*both, "v"], "left_anti"))
-    on_way, seen = _cut_counting(open_.select(*both, "v").join(ends.select(*both, F.col("u").alias("v")), [*both, "v"], "left_semi"), {"n": F.lit(True)})
+    on_way, seen = cut_counting(open_.select(*both, "v").join(ends.select(*both, F.col("u").alias("v")), [*both, "v"], "left_semi"), {"n": F.lit(True)})
     jump, n = open_, seen["n"]
     while n:
         further = on_way.join(jump, [*both, "v"]).select(*both, F.col("u").alias("v")).join(open_, [*both, "v"], "left_semi").select(*both, "v")
-        on_way, seen = _cut_counting(on_way.union(further).distinct(), {"n": F.lit(True)})
+        on_way, seen = cut_counting(on_way.union(further).distinct(), {"n": F.lit(True)})
         if seen["n"] == n:
             break
         n = seen["n"]

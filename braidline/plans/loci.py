@@ -158,6 +158,14 @@ _VERTICES = f"""{_GRAPH}, e AS (SELECT chrom, locus, s, t, sum(w) AS w FROM grap
         FROM vertex LEFT JOIN i USING (chrom, locus, pid) LEFT JOIN o USING (chrom, locus, pid) WHERE NOT empty AND (n_in IS NOT NULL OR n_out IS NOT NULL))"""
 
 
+def _edges_of(graph_edges: DataFrame) -> DataFrame:
+    return graph_edges.groupBy(*KEYS, "s", "t").agg(F.sum("w").alias("w"))
+
+
+def _vertices_of(parts: DataFrame) -> DataFrame:
+    return parts.select(*KEYS, F.col("pid").alias("v"), "l", "r", "ale", "gt", F.greatest("ave", F.lit(regions.LEAST_WEIGHT)).alias("weight"), "dev", "ltype", "rtype", "empty")
+
+
 def _graph(spark: SparkSession, d: str) -> tuple[Reads, DataFrame, DataFrame]:
     """The reads, and the vertices and edges of the graphs of their loci."""
     from ..runtime import cut
@@ -165,8 +173,8 @@ def _graph(spark: SparkSession, d: str) -> tuple[Reads, DataFrame, DataFrame]:
     reads = Reads(spark, d)
     parts, ways = reads.ways()
     parts = cut(parts)
-    edges = regions.splice_graph(parts, ways, KEYS)[1].groupBy(*KEYS, "s", "t").agg(F.sum("w").alias("w"))
-    vertices = parts.select(*KEYS, F.col("pid").alias("v"), "l", "r", "ale", "gt", F.greatest("ave", F.lit(regions.LEAST_WEIGHT)).alias("weight"), "dev", "ltype", "rtype", "empty")
+    edges = _edges_of(regions.splice_graph(parts, ways, KEYS)[1])
+    vertices = _vertices_of(parts)
     return reads, vertices, cut(edges)
 
 
