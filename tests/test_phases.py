@@ -3,6 +3,7 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
 from test_graphs import K, by_graph
 from test_revise import plain_refined
 
@@ -68,7 +69,7 @@ def test_shares_graphs_and_ways(spark):
         after = [x for h, a, x, _ in edges if h == g and a == t]
         ways.append((g, [s, t, rng.choice(after)] if after and rng.random() < 0.7 else [s, t, 99] if rng.random() < 0.2 else [s, t], rng.randrange(1, 9)))
     frames = spark.createDataFrame(vertices, VERTEX), spark.createDataFrame(edges, "g long, s long, t long, w double")
-    of_vertices, of_edges = phases.allele_shares(*frames, K)
+    of_vertices, of_edges = phases.allele_shares(frames[0].withColumn("r", F.lit(1)).withColumn("m", F.lit(1)), frames[1], K)  # further columns do no harm
     got_v, got_e = {(r.g, r.v): (r.w1, r.w2) for r in of_vertices.collect()}, {(r.g, r.s, r.t): (r.w1, r.w2) for r in of_edges.collect()}
     graphs, kept = defaultdict(dict), {(r.g, r.allele, tuple(r.way)): r.n for r in phases.allele_ways(spark.createDataFrame(ways, "g long, way array<long>, n long"), of_edges, K).collect()}
     for r in phases.allele_graphs(frames[0], of_edges, K).collect():

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from braidline.plans import loci, routes, ways  # noqa: F401  add their queries
+from braidline.plans import loci, overlaps, routes, ways  # noqa: F401  add their queries
 from braidline.plans import registry
 
 SF = "/root/testdata/sf0.001"
