@@ -1,9 +1,11 @@
-"""Near-duplicates by likeness: MinHash bands propose pairs, the five-word shingle sets themselves decide."""
+"""Near-duplicates by likeness: a trie self-join of SimHash fingerprints proposes pairs, the five-word shingle sets themselves decide."""
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
+from math import acos, ceil, comb, log, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -14,19 +16,26 @@ from ..operators.graph import connected_components
 from ..runtime import cut, is_empty
 from .simhash import SEED, first_of_each, smallest_reached
 from .skew import with_groups
+from .trie import copies_of, trie_links
 
 SHINGLE = 5
 #: Linked are texts with a likeness (Jaccard, of shingle sets) of at least LIKE of OUT_OF.
 LIKE, OUT_OF = 4, 5
-#: A band is ROWS minima. Texts of likeness 0.8 share one of the bands with a probability of 0.9977.
-BANDS, ROWS = 20, 6
-#: Buckets of at most so many texts are compared pair by pair; in larger ones each text meets so many heads first.
-ALL_PAIRS, HEADS = 16, 4
+#: A fingerprint has blocks; texts are compared whose fingerprints differ in at most BUDGET bits of a block. At the least likeness a pair is MISSED with this probability.
+BUDGET, MISSED = 2, 0.0023
+#: The share of bits in which fingerprints of the least likeness differ: by the angle between sets of equal sizes, and a little more, as for small ones.
+DIFFER = acos(2 * LIKE / (LIKE + OUT_OF)) / pi + 0.004
+#: Bits of the number of a block, and the most that a block has.
+TAG_BITS, MOST_BITS = 8, 40
+#: Fingerprints of a block under a trie node that a task takes on, about; copies of all its blocks that a fingerprint has in a round at most.
+LEAF, COPIES = 1 << 18, 256
+#: Buckets of at most so many texts are compared pair by pair; in larger ones each text meets so many heads first, in each of its buckets.
+ALL_PAIRS, HEADS = 16, 1
 #: Sizes of a class differ by less than this factor.
 CLASS = 1.05
-#: Shingle hashes multiplied at a time.
-AT_ONCE = 2048
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingle hashes counted at a time, in bytes.
+AT_ONCE = 240
+_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, 1 << TAG_BITS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str) -> np.ndarray:
@@ -43,26 +52,45 @@ def node_of(shingles: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
-def bands_of(shingles: np.ndarray) -> list[int]:
-    """The band keys of a set; keys of different bands are different."""
-    from xxhash import xxh64_intdigest
+def blocks_for(n: int) -> tuple[int, int]:
+    """(bits, blocks) for n texts: blocks so long that few of unlike texts are near, and as many as keep what is missed at MISSED."""
+    bits = min(MOST_BITS, max(16, ceil(log2(max(2, n))) + 14))
+    near = sum(comb(bits, i) * DIFFER**i * (1 - DIFFER) ** (bits - i) for i in range(BUDGET + 1))
+    return bits, ceil(log(MISSED) / log(1 - near))
 
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(shingles), AT_ONCE):
-        least = np.minimum(least, (shingles[i : i + AT_ONCE, None] * _FACTORS).min(0))
-    keys = np.array([xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
-    return keys.view(np.int64).tolist()
 
+def blocks_of(shingles: np.ndarray, bits: int, blocks: int) -> np.ndarray:
+    """The SimHash fingerprint of a set, in blocks: a bit is 1 if set in over half the hashes. A block's number is in its first TAG_BITS, its bits follow.
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        nodes, sizes, bands = [], [], []
-        for t in batch.column(1):
-            s = shingle_set(t.as_py() or "")
-            nodes.append(node_of(s))
-            sizes.append(len(s))
-            bands.append(bands_of(s))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "size", "bands"])
+    A block has hashes of its own, the first bits of the shingles' multiplied by an odd number.
+    """
+    size = (bits + 7) // 8
+    counts = np.zeros((blocks, size * 8), np.int64)
+    for i in range(0, len(shingles), AT_ONCE):
+        h = (shingles[i : i + AT_ONCE, None] * _FACTORS[:blocks]).astype(">u8").view(np.uint8).reshape(-1, blocks, 8)[:, :, :size]
+        counts += np.add.reduce(np.unpackbits(h.reshape(-1, blocks * size), axis=1), 0, np.uint8).reshape(blocks, -1)
+    packed = np.zeros((blocks, 8), np.uint8)
+    packed[:, 0] = np.arange(blocks)
+    ones = counts * 2 > len(shingles)
+    ones[:, bits:] = False
+    packed[:, 1 : size + 1] = np.packbits(ones, axis=1)
+    return packed.view(">i8")[:, 0]
+
+
+def _sketches(bits: int, blocks: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, sizes, fingerprints = [], [], []
+            for t in batch.column(1):
+                s = shingle_set(t.as_py() or "")
+                nodes.append(node_of(s))
+                sizes.append(len(s))
+                fingerprints.append(blocks_of(s, bits, blocks).astype(np.int64))
+            flat = pa.array(np.concatenate(fingerprints) if fingerprints else np.empty(0, np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(nodes) + 1) * blocks, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["doc_id", "node", "size", "blocks"])
+
+    return run
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,13 +208,29 @@ def crowded_links(own: DataFrame, entries: DataFrame, nodes: DataFrame) -> DataF
     return found.union(alike(sets, by_extra.union(by_hub)))
 
 
-def likeness_links(own: DataFrame, sketches: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(a, b) of nodes of the likeness that share a band, enough of them for the same components as all. own: doc_id, text; sketches: node, size, bands; nodes: node, least.
+def bucketed(sketches: DataFrame, n: int, blocks: int) -> DataFrame:
+    """(key, node, size): nodes with a block in one component of blocks within the budget have a key in common. sketches: node, size, blocks of n rows.
+
+    The trie self-join runs over all blocks' tries at once, or in rounds, so that its copies do not fill the disks.
+    """
+    entries = sketches.select("node", "size", F.explode("blocks").alias("block"))
+    number = F.shiftrightunsigned("block", 64 - TAG_BITS)
+    a_round = max(1, COPIES // copies_of(n, LEAF, BUDGET))
+    links = []
+    for first in range(0, blocks, a_round):
+        some = entries.where(number.between(first, first + a_round - 1)).select("block") if a_round < blocks else entries
+        links.append(cut(trie_links(some, "block", BUDGET, TAG_BITS, min(a_round, blocks), LEAF, spanning=True)))
+    joined = connected_components(reduce(DataFrame.union, links), "a", "b").withColumnRenamed("node", "block")
+    return entries.join(joined, "block", "left").select(F.coalesce("component", "block").alias("key"), "node", "size").distinct()
+
+
+def likeness_links(own: DataFrame, sketches: DataFrame, nodes: DataFrame, n: int, blocks: int) -> DataFrame:
+    """(a, b) of nodes of the likeness that share a bucket, enough of them for the same components as all. own: doc_id, text; sketches: node, size, blocks, a row for each of n nodes; nodes: node, least.
 
-    Nodes that share a band are in a bucket. Of small buckets all pairs are compared. A crowded one, as a large group of
+    See bucketed() for buckets. Of small ones all pairs are compared. A crowded one, as a large group of
     near copies makes, would have pairs by the square of its size; see crowded_links().
     """
-    entries = sketches.select("node", "size", F.explode("bands").alias("key")).distinct()
+    entries = bucketed(sketches, n, blocks)
     entries = cut(entries.join(entries.groupBy("key").count().where("count > 1"), "key"))
     found = small_bucket_links(own, entries.where(F.col("count") <= ALL_PAIRS), nodes)
     crowded = cut(entries.where(F.col("count") > ALL_PAIRS).select("key", "node", "size"))
@@ -199,9 +243,11 @@ def likeness_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts with equal shingle sets are one node, in a group of any size; texts without words (and nulls) are equal.
     """
     own = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
-    sketches = cut(own.mapInArrow(_sketches, "doc_id long, node long, size long, bands array<long>"))
-    nodes = cut(sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("size").alias("size"), F.count("*").alias("n")))
-    labels = smallest_reached(nodes, "node", likeness_links(own, sketches, nodes))
+    bits, blocks = blocks_for(docs.count())
+    sketches = cut(own.mapInArrow(_sketches(bits, blocks), "doc_id long, node long, size long, blocks array<long>"))
+    nodes = cut(sketches.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    distinct = cut(sketches.groupBy("node").agg(F.first("size").alias("size"), F.first("blocks").alias("blocks")))
+    labels = smallest_reached(nodes, "node", likeness_links(own, distinct, nodes, distinct.count(), blocks))
     return with_groups(sketches.select("doc_id", "node"), labels, "node", ["doc_id"], sketches.count()).select("doc_id", "component_id")
 
 

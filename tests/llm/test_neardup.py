@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from braidline.llm import neardup
+from braidline.llm.trie import trie_links
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -74,3 +76,51 @@ def test_crowded_buckets_by_heads(spark, monkeypatch, edits, families):
     texts += [" ".join(t.split()[:k]) for k in (70, 80, 90) for t in texts[:5]]
     sets = {i: shingles(t) for i, t in enumerate(texts)}
     assert stage(spark, texts) == {i for i, g in groups(sets, links(sets)).items() if i == g}
+
+
+def test_blocks_are_majorities_of_hashes():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 300, 1000):
+        s = rng.integers(0, 1 << 63, n, np.uint64)
+        for i, block in enumerate(neardup.blocks_of(s, 21, 5).tolist()):
+            hashes = [int(x) * int(neardup._FACTORS[i]) % 2**64 for x in s]
+            ones = sum(1 << 55 - b for b in range(21) if 2 * sum(h >> 63 - b & 1 for h in hashes) > n)
+            assert block == i << 56 | ones
+
+
+def test_missed_pairs_are_few():
+    for n in (0, 100, 10**6, 10**8):
+        bits, blocks = neardup.blocks_for(n)
+        assert blocks <= 1 << neardup.TAG_BITS and bits <= neardup.MOST_BITS
+    rng = np.random.default_rng(4)
+    bits, blocks = neardup.blocks_for(10**5)
+    caught = 0
+    for n in [12, 24, 80, 400] * 50:
+        s = rng.integers(0, 1 << 63, n // 4 * 5, np.uint64)  # of likeness 0.8
+        a, b = (neardup.blocks_of(x, bits, blocks) for x in (s, s[:n]))
+        caught += (np.bitwise_count(a ^ b) <= neardup.BUDGET).any()
+    assert caught >= 195
+
+
+@pytest.mark.parametrize("leaf, copies", [(1 << 18, 256), (8, 22), (8, 1)])
+def test_buckets_are_components_of_the_tries(spark, monkeypatch, leaf, copies):
+    monkeypatch.setattr(neardup, "LEAF", leaf)
+    monkeypatch.setattr(neardup, "COPIES", copies)
+    rng = random.Random(5)
+    bases = [rng.getrandbits(20) for _ in range(30)]
+    blocks = [[t << 56 | (rng.choice(bases) ^ (1 << rng.randrange(20) | 1 << rng.randrange(20))) << 36 for t in range(3)] for _ in range(120)]
+    rows = [(i, 9, x) for i, x in enumerate(blocks)]
+    got = neardup.bucketed(spark.createDataFrame(rows, "node long, size long, blocks array<long>"), len(rows), 3).collect()
+    assert len(got) == 3 * len(rows)
+    keys = {(r.key >> 56, r.node): r.key for r in got}
+    for t in range(3):
+        near = [(i, j) for i in range(120) for j in range(i) if (blocks[i][t] ^ blocks[j][t]).bit_count() <= neardup.BUDGET]
+        own = groups({i: None for i in range(120)}, near)
+        assert {frozenset(i for i in own if own[i] == g) for g in own.values()} == {frozenset(i for i in own if keys[t, i] == k) for k in keys.values() if k >> 56 == t}
+
+
+def test_stage_takes_its_pairs_from_the_trie(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(neardup, "trie_links", lambda *args, **more: seen.append(args) or trie_links(*args, **more))
+    texts = near_copies(6, 3, 2, 1)
+    assert len(stage(spark, texts)) == 3 and seen
