@@ -40,13 +40,15 @@ def slices_of(column: pa.Array, at_once: int) -> Iterator[tuple[slice, list[str]
 class Chunks:
     """Values by chunk, made for the missing ones at once.
 
-    make: gets chunks (each but a text's first with its leading space), returns a value for each. A text is cut by the
-    pattern, whose matches are single spaces.
+    make: gets chunks (each but a text's first with its leading space), returns a value for each. split divides a
+    text, at single spaces. twice: a second memory has what the first one had when it last started anew, and gives back
+    what is met again.
     """
 
-    def __init__(self, make: Callable[[list[str]], Iterable], pattern: re.Pattern = CUT):
-        self.make, self.split = make, pattern.split
+    def __init__(self, make: Callable[[list[str]], Iterable], split: Callable[[str], list[str]] = CUT.split, twice: bool = False):
+        self.make, self.split, self.twice = make, split, twice
         self.inner: dict = {}
+        self.older: dict = {}
         self.chars = 0
 
     def _fill(self, missing: list[str], prefix: str, into: dict) -> None:
@@ -56,10 +58,13 @@ class Chunks:
         """The values of each text's chunks, in order."""
         parts = [self.split(t) for t in texts]
         if len(self.inner) > MOST_CHUNKS or self.chars > MOST_CHARS:
-            self.inner, self.chars = {}, 0
-        missing = list(set().union(*(p[1:] for p in parts)).difference(self.inner))
+            self.older, self.inner, self.chars = self.inner if self.twice else {}, {}, 0
+        missing = set().union(*(p[1:] for p in parts)).difference(self.inner)
         self.chars += sum(map(len, missing))
-        self._fill(missing, " ", self.inner)
+        if known := missing.intersection(self.older):
+            self.inner.update((c, self.older[c]) for c in known)
+            missing -= known
+        self._fill(list(missing), " ", self.inner)
         heads: dict = {}
         self._fill(list({p[0] for p in parts}), "", heads)
         get = self.inner.__getitem__

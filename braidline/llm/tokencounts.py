@@ -5,8 +5,7 @@ from __future__ import annotations
 import gc
 import re
 from collections.abc import Iterator, Sequence
-from itertools import accumulate, chain
-from operator import itemgetter
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -18,9 +17,10 @@ from ..runtime import cut
 from .chunks import BYTE_PIECES, BYTE_SYMBOLS, SAFE, SPECIAL, Chunks, Kept, in_slices, once
 
 LIMIT = 1024
-_TOTAL, _COUNTS = itemgetter(0), itemgetter(1)
 #: A single space between non-spaces: also every prefix is cut there.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: White space but the space and the line feed.
+_OTHER_SPACE = re.compile(r"[^\S \n]").search
 #: A SAFE word without an apostrophe, or a sign with which special strings begin.
 _PLAIN = re.compile(r" ?[!-&(-;=-~À-ÖØ-öø-ÿ]+").fullmatch
 #: Entries of each kept table, at most.
@@ -29,11 +29,20 @@ _KEPT = 300_000
 _NONE = 0xFFFFFFFF
 #: By base: a table that adds it to small counts, for bytes.translate().
 _MORE = [bytes((base + c) % 256 for c in range(256)) for base in range(96)]
+#: For bytes.translate(): 1 for a byte that begins a character in UTF-8, else 0.
+_BEGINS = bytes(b & 0xC0 != 0x80 for b in range(256))
 _RUNS = re.compile(r"\s+")
 #: Contractions that are pieces of their own, but whose first two characters are not.
 _CONTRACTIONS = {"'re", "'ve", "'ll"}
 
 
+def _divided(text: str) -> list[str]:
+    """The text divided at _CUT: of most texts at all spaces."""
+    if "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _OTHER_SPACE(text):
+        return _CUT.split(text)
+    return text.split(" ")
+
+
 def _packed(counts: Sequence[int]) -> Sequence[int]:
     """Small counts as bytes, which take little memory and are joined at once."""
     try:
@@ -50,8 +59,8 @@ class PrefixCounts:
     beginning, if that beginning's first token stays apart from the token before; such tables are kept by pairs of
     tokens. Where it does not, the encoding of the prefix ends in the one token t for which the encoding of the rest
     ends in a token that stays apart from t, and the count is the rest's count plus one. Whether two tokens stay apart is
-    decided once for each pair, by the merge ranks (ids are in the order of the merges). Counts are also kept by piece
-    and by chunk, and a text's counts are the running sums.
+    decided once for each pair, by the merge ranks (ids are in the order of the merges). Counts are also kept by piece,
+    the steps between them by chunk, and a text's counts are the running sums of its chunks' steps.
     Where a prefix divides otherwise than the whole text (white space before a word, contractions, special strings), the
     count is that of the prefix's own division.
     """
@@ -75,7 +84,7 @@ class PrefixCounts:
         self.starts = Kept(self.merged, _KEPT)
         self.within = Kept(self._within, _KEPT)
         self.pieces = Kept(self._piece, _KEPT)
-        self.chunks = Chunks(self._make, _CUT)
+        self.chunks = Chunks(self._make, _divided, twice=True)
 
     def _within(self, pair: int) -> tuple[bytes, tuple[int, ...], tuple[int, ...]]:
         """(counts, undecided places, last tokens) of the prefixes of a token's bytes, the whole included, after another token (_NONE: after nothing).
@@ -93,31 +102,27 @@ class PrefixCounts:
         """Counts after each of the piece's characters."""
         s = piece.encode()
         tokens = self.merged(s)
-        within, before, at = self.within, _NONE, 0
-        parts, undecided = [], []
-        for base, t in enumerate(tokens):
-            counts, places, _ = within[before << 32 | t]
-            parts.append(counts.translate(_MORE[base]) if base < len(_MORE) else [base + c for c in counts])
+        within, before = self.within, _NONE
+        parts, undecided, last = [], [], []
+        for more, t in zip(chain(_MORE, repeat(None)), tokens):
+            counts, places, lasts = within[before << 32 | t]
             if places:
+                at = len(last)
                 undecided += [at + i for i in places]
-            at, before = at + len(counts), t
+            last += lasts
+            parts.append(counts.translate(more) if more else [len(parts) + c for c in counts])
+            before = t
         out = b"".join(parts) if len(tokens) <= len(_MORE) else [*chain.from_iterable(parts)]
         if undecided:
-            out = self._decided(s, tokens, [*out], undecided)
-        if len(s) == len(piece):
-            return _packed(out)
-        return _packed([out[e - 1] for e in accumulate(map(len, map(str.encode, piece)))])
-
-    def _decided(self, s: bytes, tokens: list[int], counts: list[int], undecided: list[int]) -> list[int]:
-        """The counts with those of undecided prefixes of s put in, from left to right."""
-        ids, apart = self.ids, self.apart
-        last, before = [], _NONE
-        for t in tokens:
-            last += self.within[before << 32 | t][2]
-            before = t
+            out = self._decided(s, [*out], last, undecided)
+        return _packed(out if len(s) == len(piece) else [*compress(out, s[1:].translate(_BEGINS) + b"\1")])
+
+    def _decided(self, s: bytes, counts: list[int], last: list[int], undecided: list[int]) -> list[int]:
+        """The counts with those of undecided prefixes of s put in, from left to right; last: the last tokens of the others."""
+        ids, apart, tokens = self.ids, self.apart, self.tokens
         for i in undecided:
             # most often the last token has grown by a byte, or begins with this byte or one shortly before
-            grown = i - len(self.tokens[last[i - 1]])
+            grown = i - len(tokens[last[i - 1]])
             start, step = grown, i
             while (t := ids.get(s[start : i + 1])) is None or start and not apart[last[start - 1] << 32 | t]:
                 if step == grown:
@@ -160,7 +165,7 @@ class PrefixCounts:
     def of_chunk(self, text: str) -> Sequence[int]:
         if _PLAIN(text):
             if (text[1:] if text[0] == " " else text).isalpha():
-                return self.pieces[text]
+                return self._piece(text)  # kept as a chunk
             out: list[int] = []
             for piece in BYTE_PIECES(text):
                 base = out[-1] if out else 0
@@ -182,32 +187,49 @@ class PrefixCounts:
                 at = end
         return _packed(out)
 
-    def _make(self, chunks: list[str]) -> Iterator[tuple[int, Sequence[int]]]:
-        for chunk in chunks:
-            counts = self.of_chunk(chunk) if chunk else b""
-            yield (self._encode(chunk) if chunk[-1:].isspace() or not chunk else counts[-1]), counts
+    def _make(self, chunks: list[str]) -> list[Sequence[int]]:
+        # a word of ASCII letters is a piece, and kept as a chunk
+        counts = [self._piece(c) if c.isascii() and c[1:].isalpha() and (c[0] == " " or c[0].isalpha()) else self.of_chunk(c) if c else b"" for c in chunks]
+        for i, chunk in enumerate(chunks):
+            if chunk[-1:].isspace():
+                counts[i] = _packed([*counts[i][:-1], self._encode(chunk)])
+        return steps_of(counts)
 
-    def totals_and_counts(self, texts: list[str]) -> Iterator[tuple[int, list[tuple[int, Sequence[int]]]]]:
+    def totals_and_counts(self, texts: list[str]) -> Iterator[tuple[int, list[Sequence[int]]]]:
+        """Of each text the count of the whole, and its chunks' steps; see whole()."""
         for values in self.chunks.of(texts):
-            yield sum(map(_TOTAL, values)), values
-
-
-def whole(values: list[tuple[int, Sequence[int]]]) -> np.ndarray:
-    """The counts of every prefix of a text, the empty one first, from those of its chunks."""
-    totals = np.fromiter(map(_TOTAL, values), np.int64, len(values))
-    sizes = np.fromiter(map(len, map(_COUNTS, values)), np.int64, len(values))
+            yield int(whole(values)[-1]), values
+
+
+def steps_of(counts: list[Sequence[int]]) -> list[Sequence[int]]:
+    """The steps between the counts of each chunk, from 0 on: as signed bytes, or a tuple where that is too little."""
+    joined = np.frombuffer(b"".join(c if type(c) is bytes else b"" for c in counts), np.uint8)
+    ends = np.cumsum(np.fromiter((len(c) if type(c) is bytes else 0 for c in counts), np.int64, len(counts)))
+    steps = joined.copy()
+    steps[1:] -= joined[:-1]
+    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    first = starts[starts < ends]
+    steps[first] = joined[first]
+    data, at = steps.tobytes(), ends.tolist()
+    out: list[Sequence[int]] = [data[i:j] for i, j in zip([0, *at], at, strict=False)]
+    large = np.searchsorted(ends, np.flatnonzero(joined > 127), "right")  # counts whose steps may not be bytes
+    for i in {*large.tolist(), *(i for i, c in enumerate(counts) if type(c) is not bytes)}:
+        wide = np.diff(np.array([0, *counts[i]], np.int64))
+        out[i] = wide.astype(np.int8).tobytes() if -128 <= wide.min() and wide.max() <= 127 else tuple(wide.tolist())
+    return out
+
+
+def whole(values: list[Sequence[int]]) -> np.ndarray:
+    """The counts of every prefix of a text, the empty one first, from its chunks' steps."""
+    return from_steps(as_steps(values))
+
+
+def as_steps(values: list[Sequence[int]]) -> bytes:
+    """The steps of a text from its chunks', each one byte, or four where that is too little; the first byte tells which."""
     try:
-        counts = np.frombuffer(b"".join(map(_COUNTS, values)), np.uint8).astype(np.int64)
+        return b"\1" + b"".join(values)
     except TypeError:  # some are not bytes
-        counts = np.concatenate([np.array([*v[1]], np.int64) for v in values])
-    return np.concatenate([np.zeros(1, np.int64), counts + np.repeat(np.cumsum(totals) - totals, sizes)])
-
-
-def as_steps(counts: np.ndarray) -> bytes:
-    """The steps between the counts, each one byte, or four where that is too little; the first byte tells which."""
-    steps = np.diff(counts)
-    small = not len(steps) or -128 <= steps.min() and steps.max() <= 127
-    return (b"\1" + steps.astype(np.int8).tobytes()) if small else (b"\4" + steps.astype("<i4").tobytes())
+        return b"\4" + np.concatenate([np.frombuffer(v, np.int8) if type(v) is bytes else np.array(v) for v in values]).astype("<i4").tobytes()
 
 
 def from_steps(steps: bytes) -> np.ndarray:
@@ -227,13 +249,11 @@ def prefix_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for s in in_slices(texts):
-                steps = []
                 gc.disable()  # the kept values have no cycles, and there are too many to go through within a slice
-                for total, values in counter.totals_and_counts(texts[s]):
-                    counts = whole(values)
-                    counts[-1] = total
-                    steps.append(as_steps(counts))
-                gc.enable()
+                try:
+                    steps = [as_steps(values) for values in counter.chunks.of(texts[s])]
+                finally:
+                    gc.enable()
                 yield pa.RecordBatch.from_arrays([batch.column(0)[s], pa.array([len(t.encode()) for t in texts[s]], pa.int64()), pa.array(steps, pa.binary())], names=[id_col, "n_bytes", "prefix_steps"])
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, prefix_steps binary")
