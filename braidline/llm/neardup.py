@@ -168,6 +168,22 @@ def _against(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _MEMBER = ("hub", "node", "size", "met", "component", "out")
 
 
+def rarest(members: DataFrame) -> DataFrame:
+    """members (hub, node, size, shared, extra, ...) with rare, how many extra shingles other members of the hub have too, and first, the rarest of these, in place of extra.
+
+    Sets of the likeness have LIKE / OUT_OF of the larger in common, and of that each has no more in the hub than it shares
+    with it; what is still needed they have in extra. Of so many common elements the rarest is among the first of either
+    set, in one order for all: as many as extra has, less what is needed but one. Elements of one set alone are rarer than all.
+    """
+    each = members.select("hub", "node", F.explode("extra").alias("shingle"))
+    known = each.join(each.groupBy("hub", "shingle").agg(F.count("*").alias("n")).where("n > 1"), ["hub", "shingle"])
+    known = known.groupBy("hub", "node").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("known"))
+    needed = F.greatest(F.ceil(F.col("size") * LIKE / OUT_OF) - F.col("shared"), F.lit(1))
+    rare = F.coalesce(F.array_size("known"), F.lit(0))
+    first = F.slice("known.shingle", F.lit(1), F.greatest(rare - needed + 1, F.lit(0)).cast("int"))
+    return cut(members.join(known, ["hub", "node"], "left").select(*_MEMBER, "shared", rare.alias("rare"), first.alias("first")))
+
+
 def crowded_links(own: DataFrame, entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links among the nodes of crowded buckets (key, node, size), enough of them for the same components as all.
 
@@ -175,8 +191,8 @@ def crowded_links(own: DataFrame, entries: DataFrame, nodes: DataFrame) -> DataF
     other, and is left out; the node with the fewest, near the text that a group's copies were made from, is a good head.
     Each node meets HEADS heads of its bucket. Then each bucket has a hub, of its largest component, and what is left are
     the nodes outside that component. Two sets that share nothing besides what the hub has share no more than either has
-    in common with the hub; so an outside node is compared with the nodes of other components that share a shingle with
-    it that the hub has not, and, by classes of sizes, with those with which the hub's part alone could be enough.
+    in common with the hub; so an outside node is compared with the nodes of other components that share one of the
+    rarest shingles with it that the hub has not (see rarest()), and, by classes of sizes, with those with which the hub's part alone could be enough.
     """
     sets = sets_of(own, entries, nodes)
     alone = sets.mapInArrow(_each, "shingle long, node long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("alone"))
@@ -196,11 +212,12 @@ def crowded_links(own: DataFrame, entries: DataFrame, nodes: DataFrame) -> DataF
     if is_empty(members.where("out")):
         return found
     members = members.join(sets, "node").join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_shingles")), "hub")
-    members = cut(members.mapInArrow(_against, "hub long, node long, size long, met long, component long, out boolean, shared long, extra array<long>"))
-    outside = members.where("out").select("hub", F.col("node").alias("x"), F.col("size").alias("x_size"), F.col("met").alias("x_met"), F.col("shared").alias("x_shared"), F.col("component").alias("x_component"), F.col("extra").alias("x_extra"))
+    members = rarest(cut(members.mapInArrow(_against, "hub long, node long, size long, met long, component long, out boolean, shared long, extra array<long>")))
+    outside = members.where("out").select("hub", *(F.col(c).alias(x) for c, x in zip(("node", "size", "met", "component", "shared", "rare", "first"), ("x", "x_size", "x_met", "x_component", "x_shared", "x_rare", "x_first"), strict=True)))
     other = (F.col("component") != F.col("x_component")) & _possible("size", "met", "x_size", "x_met")
+    enough = (F.least("shared", "x_shared") + F.least("rare", "x_rare")) * (LIKE + OUT_OF) >= (F.col("size") + F.col("x_size")) * LIKE
     columns = (F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-    by_extra = members.withColumn("shingle", F.explode("extra")).join(outside.withColumn("shingle", F.explode("x_extra")), ["hub", "shingle"]).where(other).select(*columns)
+    by_extra = members.withColumn("shingle", F.explode("first")).join(outside.withColumn("shingle", F.explode("x_first")), ["hub", "shingle"]).where(other & enough).select(*columns)
     # the sizes between which partners lie with which the hub's part is enough
     low, high = F.ceil(F.col("x_size") * LIKE / OUT_OF), F.floor(F.col("x_shared") * (LIKE + OUT_OF) / LIKE) - F.col("x_size")
     classed = outside.where(low <= high).withColumn("class", F.explode(F.sequence(_class(low), _class(high))))

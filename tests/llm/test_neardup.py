@@ -124,3 +124,30 @@ def test_stage_takes_its_pairs_from_the_trie(spark, monkeypatch):
     monkeypatch.setattr(neardup, "trie_links", lambda *args, **more: seen.append(args) or trie_links(*args, **more))
     texts = near_copies(6, 3, 2, 1)
     assert len(stage(spark, texts)) == 3 and seen
+
+
+def test_a_shared_passage_is_not_compared_by_pairs(spark, monkeypatch):
+    rng = random.Random(7)
+    words = lambda n: [f"v{rng.getrandbits(40)}" for _ in range(n)]
+    texts = near_copies(8, 1, 99, 2)
+    # half of each of these texts is a passage of all, the rest stands in one neighbour each, so that no shingle is alone
+    passage, tails = words(60), [words(20) for _ in range(51)]
+    own = [[*passage, *tails[i], *tails[i + 1]] for i in range(50)]
+    texts += [" ".join(w) for w in own]
+    # and some have a near copy, in which one of the passage's words, or of the tail's, is another
+    for i in range(0, 50, 10):
+        for at in (30, 99):
+            texts.append(" ".join([*own[i][:at], "other", *own[i][at + 1 :]]))
+    arrays = [neardup.shingle_set(t) for t in texts]
+    ids = [neardup.node_of(s) for s in arrays]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    entries = spark.createDataFrame([(1, n, len(s)) for n, s in zip(ids, arrays, strict=True)], "key long, node long, size long")
+    nodes = spark.createDataFrame([(n, i) for i, n in enumerate(ids)], "node long, least long")
+    rows = []
+    alike = neardup.alike
+    monkeypatch.setattr(neardup, "alike", lambda sets, pairs: (rows.append(pairs.count()), alike(sets, pairs))[1])
+    found = {(r.a, r.b) for r in neardup.crowded_links(docs, entries, nodes).collect()}
+    want = groups(dict.fromkeys(ids), [(ids[a], ids[b]) for a, b in links({i: shingles(t) for i, t in enumerate(texts)})])
+    assert len(set(want.values())) <= 51
+    assert groups(dict.fromkeys(ids), found) == want
+    assert sum(rows) < 150_000
