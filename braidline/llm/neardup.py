@@ -29,8 +29,8 @@ DIFFER = acos(2 * LIKE / (LIKE + OUT_OF)) / pi + 0.004
 TAG_BITS, MOST_BITS = 8, 40
 #: Fingerprints of a block under a trie node that a task takes on, about; copies of all its blocks that a fingerprint has in a round at most.
 LEAF, COPIES = 1 << 18, 256
-#: Buckets of at most so many texts are compared pair by pair; larger ones have so many heads at most, one after another.
-ALL_PAIRS, HEADS = 16, 3
+#: Buckets of at most so many texts are compared pair by pair; in larger ones each text meets a head first.
+ALL_PAIRS = 16
 #: Sizes of a class differ by less than this factor.
 CLASS = 1.05
 #: Shingle hashes counted at a time, in bytes.
@@ -189,8 +189,7 @@ def crowded_links(own: DataFrame, entries: DataFrame, nodes: DataFrame) -> DataF
 
     A shingle that only one of these nodes has can be in no intersection; a set with many such shingles can be like no
     other, and is left out. A bucket's head is the node whose shingles most nodes have, for its size, near the text that a
-    group's copies were made from. All nodes meet it; those that are not like it meet the next head, one of them, and so
-    on, until HEADS have been met or few are left. Then each bucket has a hub, of its largest component, and what is left are
+    group's copies were made from. All nodes meet it. Then each bucket has a hub, of its largest component, and what is left are
     the nodes outside that component. Two sets that share nothing besides what the hub has share no more than either has
     in common with the hub; so an outside node is compared with the nodes of other components that share one of the
     rarest shingles with it that the hub has not (see rarest()), and, by classes of sizes, with those with which the hub's part alone could be enough.
@@ -199,20 +198,13 @@ def crowded_links(own: DataFrame, entries: DataFrame, nodes: DataFrame) -> DataF
     each = sets.mapInArrow(_each, "shingle long, node long")
     weights = each.join(each.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "shingle").groupBy("node").agg(F.count("*").alias("met"), F.sum("n").alias("weight"))
     # a set like any other has enough met elements to be like one of LIKE / OUT_OF its size
-    hopeful = cut(entries.join(weights, "node").where(F.col("met") * OUT_OF >= F.col("size") * LIKE).select("key", "node", "size", "met", (F.col("weight") / F.sqrt("size")).alias("central")))
+    hopeful = cut(entries.join(weights, "node").where(F.col("met") * OUT_OF >= F.col("size") * LIKE).select("key", "node", "size", "met", (F.col("weight") / F.sqrt("size")).cast("float").alias("central")))
     best = F.struct("central", "node")
 
-    found, left = None, hopeful.select("key", "node", "size", "met", "central")
-    for _ in range(HEADS):
-        heads = left.groupBy("key").agg(F.max_by(F.struct("node", "size", "met"), best).alias("head"), F.count("*").alias("n"))
-        heads = heads.where(F.col("n") > (1 if found is None else ALL_PAIRS)).select("key", *(F.col(f"head.{c}").alias(f"h_{c}") for c in ("node", "size", "met")))
-        left = cut(left.join(heads, "key").where(F.col("node") != F.col("h_node")))
-        if found is not None and is_empty(left):
-            break
-        near = alike(sets, left.where(_possible("size", "met", "h_size", "h_met")).select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b")))
-        found = near if found is None else found.union(near)
-        of_heads = near.select(F.col("a").alias("h_node"), F.col("b").alias("node")).union(near.select("b", "a"))
-        left = left.join(of_heads, ["h_node", "node"], "left_anti").select("key", "node", "size", "met", "central")
+    heads = hopeful.groupBy("key").agg(F.max_by(F.struct("node", "size", "met"), best).alias("head"))
+    heads = heads.select("key", *(F.col(f"head.{c}").alias(f"h_{c}") for c in ("node", "size", "met")))
+    both = hopeful.join(heads, "key").where(F.col("node") != F.col("h_node")).where(_possible("size", "met", "h_size", "h_met"))
+    found = alike(sets, both.select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b")))
 
     labelled = cut(hopeful.join(connected_components(found, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node")))
     hubs = labelled.groupBy("key", "component").agg(F.count("*").alias("n"), F.max_by("node", best).alias("hub")).groupBy("key").agg(F.max_by(F.struct("component", "hub"), F.struct("n", "component")).alias("most"))
