@@ -27,6 +27,15 @@ def words_of(text: str) -> list[bytes]:
     return text.encode().translate(_FOLD).split()
 
 
+def _packed(raw: bytes) -> bytes:
+    """Compressed, behind its length. A slice's lists pass Spark's readers and writers as three such values: as arrays of single terms, or unpacked, they took most of an executor's memory."""
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(raw, asbytes=True)
+
+
+def _unpacked(value: bytes) -> bytes:
+    return pa.Codec("zstd").decompress(memoryview(value)[8:], int.from_bytes(value[:8], "little"), asbytes=True)
+
+
 class _Interned(dict):
     """Numbers in the order of first appearance."""
 
@@ -39,8 +48,8 @@ def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """The index of all rows, written to the shared folder, a row for each slice of documents: (part, ids, n_words, terms, sizes, postings).
 
     Words are counted through the slice: ids and n_words are those of its documents in order. A term has sizes[i]
-    postings, the places of its words in ascending order, kept as gaps of 32 bits. Null texts have no words; null and
-    repeated ids stay rows of their own.
+    postings, the places of its words in ascending order, kept as gaps of 32 bits. terms (joined by a space), sizes and
+    postings are packed. Null texts have no words; null and repeated ids stay rows of their own.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -62,10 +71,11 @@ def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 firsts = np.cumsum(sizes) - sizes
                 gaps[firsts] = order[firsts]
                 one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                columns = [one(batch.column(0)[s]), one(pa.array(counts, pa.int64())), one(pa.array(list(number), pa.binary())), one(pa.array(sizes, pa.int32())), pa.array([gaps.tobytes()], pa.binary())]
+                packed = (pa.array([_packed(raw)], pa.binary()) for raw in (b" ".join(number), sizes.astype(np.int32).tobytes(), gaps.tobytes()))
+                columns = [one(batch.column(0)[s]), one(pa.array(counts, pa.int64())), *packed]
                 yield pa.RecordBatch.from_arrays(columns, names=["ids", "n_words", "terms", "sizes", "postings"])
 
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"ids array<{kind}>, n_words array<bigint>, terms array<binary>, sizes array<int>, postings binary")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(run, f"ids array<{kind}>, n_words array<bigint>, terms binary, sizes binary, postings binary")
     return cut(rows.withColumn("part", F.monotonically_increasing_id()))
 
 
@@ -75,12 +85,12 @@ class _Lists:
     def __init__(self, row: dict, terms: pa.Array):
         self.n_words = np.asarray(row["n_words"], np.int64)
         self.ends = np.cumsum(self.n_words)
-        sizes = np.asarray(row["sizes"], np.int64)
+        sizes = np.frombuffer(_unpacked(row["sizes"]), np.int32).astype(np.int64)
         firsts = np.cumsum(sizes) - sizes
-        found = pc.index_in(terms, value_set=row["terms"])
+        found = pc.index_in(terms, value_set=pa.array(_unpacked(row["terms"]).split(), pa.binary()))
         here = np.asarray(found.is_valid())
         at = np.asarray(found.fill_null(0))
-        gaps = np.frombuffer(row["postings"], np.int32)
+        gaps = np.frombuffer(_unpacked(row["postings"]), np.int32)
         #: By number of a term: how many places it has, and where they begin.
         self.sizes = np.where(here, sizes[at] if len(sizes) else 0, 0)
         self.firsts = np.cumsum(self.sizes) - self.sizes
@@ -200,7 +210,7 @@ def _over(index: DataFrame, schema: str, answer) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {c: batch.column(c)[i] for c in batch.schema.names}
-                row = {c: (v.as_py() if c in ("part", "postings") else v.values) for c, v in row.items()}
+                row = {c: (v.values if c == "n_words" else v.as_py()) for c, v in row.items()}
                 yield from answer(row)
 
     return index.select("part", "n_words", "terms", "sizes", "postings").mapInArrow(run, schema)

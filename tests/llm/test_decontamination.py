@@ -67,6 +67,15 @@ def test_contamination_equals_brute_force(spark, block):
         assert r.items == sorted(r.items) and len(r.items) == r.n_items
 
 
+def test_lists_are_stored_packed(spark):
+    """Spark's readers hold a slice's lists as three values, all smaller than the text; as arrays of terms they filled the executors' heaps."""
+    rng = random.Random(7)
+    texts = [" ".join(f"w{rng.randrange(3000)}" for _ in range(2000)) for _ in range(100)]
+    index = postings.positional_index(frame(spark, texts))
+    assert {k: v for k, v in index.dtypes if k in ("terms", "sizes", "postings")} == dict.fromkeys(("terms", "sizes", "postings"), "binary")
+    assert index.selectExpr("sum(length(terms) + length(sizes) + length(postings)) AS n").first().n < 0.7 * sum(map(len, texts))
+
+
 def test_contamination_of_nothing(spark):
     docs, none = frame(spark, ["a b", None]), spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_hit, r.n_items, r.contaminated) for r in postings.contamination(docs, none).collect()] == [(0, 0, False)] * 2
