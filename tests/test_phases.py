@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from test_graphs import K, by_graph
 from test_revise import plain_refined
 
-from braidline.operators import phases
+from braidline.operators import graph, phases
 
 VERTEX = "g long, v long, ale string, gt string, weight double"
 
@@ -97,3 +97,26 @@ def test_large_graphs_have_one_ratio(spark):
     edges = spark.createDataFrame([(0, 0, 1, 3.0), (0, 1, 2, 3.0), (0, 0, 3, 2.0), (0, 2, 4, 1.0)], "g long, s long, t long, w double")
     near, far = ({(r.s, r.t): r.w1 for r in phases.allele_shares(vertices, edges, K, most)[1].collect()} for most in (1000, 3))
     assert abs(near[2, 4] - 3.01 / 3.02) < 1e-9 and abs(far[2, 4] - 6.01 / 8.02) < 1e-9
+
+
+def test_waves_in_tasks_and_by_jobs_are_the_same(spark):
+    """Graphs within the bound take no job a round; larger ones still go by rounds of jobs, with the same shares."""
+    vertices, edges = random_graphs(8, 40)
+    frames = spark.createDataFrame(vertices, VERTEX), spark.createDataFrame(edges, "g long, s long, t long, w double")
+
+    def shares(in_task):
+        before = spark.sparkContext.parallelize([0]).id()
+        got = {(r.g, r.s, r.t): r.w1 for r in phases.allele_shares(*frames, K, in_task=in_task)[1].collect()}
+        return got, spark.sparkContext.parallelize([0]).id() - before
+
+    (own, few), (rounds, many), (mixed, _) = map(shares, (1 << 16, 0, 30))
+    assert len(own) == len(edges) and few < many / 2
+    for other in (rounds, mixed):
+        assert own.keys() == other.keys() and all((own[e] is None and x is None) or abs(own[e] - x) < 1e-9 for e, x in other.items())
+
+
+def test_dead_ends_in_tasks_and_by_jobs_are_the_same(spark):
+    _, edges = random_graphs(9, 40)
+    frame = spark.createDataFrame([(g, s, t, w, str(w)) for g, s, t, w in edges] + [(99, 0, None, 1.0, "x")], "g long, s long, t long, w double, more string")
+    got = [sorted(map(tuple, graph.prune_dead_ends(frame, 0, 9, K, most).collect())) for most in (1 << 16, 0, 30)]
+    assert got[0] and got[0] == got[1] == got[2]
