@@ -192,3 +192,21 @@ def test_balanced_sample_never_deals_all_rows_by_the_group_alone(spark):
     plan = sample._jdf.queryExecution().executedPlan().toString()
     assert "_salt" in plan
     assert sorted((r.s, r.place) for r in sample.collect()) == [(k % 2, k) for k in sorted(range(20), key=lambda k: (k % 2, k))]
+
+
+def test_surviving_edges_in_tasks_and_by_jobs_are_the_same(spark):
+    """Graphs within the bound are not made by rounds of jobs; larger ones still are, with the same edges."""
+    rng, vertices, edges = random.Random(23), [], []
+    for g in range(30):
+        n = rng.randrange(2, 18)
+        vertices += [(g, v, *rng.choice([("$", "UNPHASED")] * 4 + [("A", "ALLELE1"), ("T", "ALLELE2"), ("A", "NONSPECIFIC")])) for v in range(1, n + 1)]
+        edges += [(g, s, t, rng.choice([0.01, 0.5, 1.55, 1.6, 3.0])) for s in range(n + 1) for t in range(s + 1, n + 2) if rng.random() < (0.25 if t - s < 5 else 0.05)]
+    frames = spark.createDataFrame(vertices, "g long, v long, ale string, gt string"), spark.createDataFrame(edges, "g long, s long, t long, w double")
+
+    def surviving(in_task):
+        before = spark.sparkContext.parallelize([0]).id()
+        got = sorted(map(tuple, rules.surviving_edges(*frames, K, in_task=in_task).collect()))
+        return got, spark.sparkContext.parallelize([0]).id() - before
+
+    (own, few), (rounds, many), (mixed, _) = map(surviving, (1 << 16, 0, 40))
+    assert own and own == rounds == mixed and few < many / 4
