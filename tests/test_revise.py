@@ -162,3 +162,18 @@ def test_weak_junctions(spark):
     edges = edges_of(spark, [(0, 1, 2, 1), (0, 2, 3, 1), (0, 0, 2, 3), (0, 3, 4, 1)])
     assert [tuple(r) for r in rules.weak_junctions(vertices, edges, K).collect()] == [(0, 1, 2, 20.0, None)]
     assert rules.weak_junctions(vertices, edges, K, more=10.5).count() == 0
+
+
+def test_rounds_of_small_graphs_take_no_job_for_dead_ends_and_surviving_edges(spark):
+    """As by rounds of jobs, which larger graphs still take, but with far fewer jobs."""
+    line = [(g, v, 100 * v, 100 * v + 100, "$", "UNPHASED", 3.0, 1.0, 0, 0, False) for g in range(3) for v in range(1, 9)]
+    edges = [(g, v, v + 1, float(1 + (v + g) % 3)) for g in range(3) for v in range(9)]
+
+    def jobs(in_task):
+        before = spark.sparkContext.parallelize([0]).id()
+        _, links = revise.revised(spark.createDataFrame(line, VERTEX), spark.createDataFrame(edges, "g long, s long, t long, w double"), K, in_task=in_task)
+        got = sorted(map(tuple, links.collect()))
+        return got, spark.sparkContext.parallelize([0]).id() - before
+
+    (own, few), (rounds, many) = map(jobs, (1 << 16, 0))
+    assert own == rounds and own and few < many / 2
